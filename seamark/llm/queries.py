@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from seamark.llm.decontamination import OP2_SQL, op2_decontamination
 from seamark.llm.language_id import op1_language_id
 
-QUERIES = {"op1_language_id": op1_language_id}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_decontamination": op2_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+}
