@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from seamark.llm.decontamination import OP2_SQL, op2_decontamination
+from seamark.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from seamark.llm.language_id import op1_language_id
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
+    "op7_jaccard_join": OP7_SQL,
 }
