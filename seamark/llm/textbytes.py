@@ -111,11 +111,10 @@ def combine(hashes: np.ndarray, k: int) -> np.ndarray:
 def powers(n: int, base: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     out = np.ones(max(n, 1), np.uint64)
-    filled, step = 1, np.uint64(base)
+    filled = 1
     while filled < n:
         take = min(filled, n - filled)
-        out[filled : filled + take] = out[:take] * step
-        step = step * step
+        out[filled : filled + take] = out[:take] * np.uint64(pow(base, filled, 1 << 64))
         filled += take
     return out[:n]
 
