@@ -5,11 +5,13 @@ from __future__ import annotations
 from seamark.llm.decontamination import OP2_SQL, op2_decontamination
 from seamark.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from seamark.llm.language_id import op1_language_id
+from seamark.llm.pii import op4_pii
 from seamark.llm.repeats import op10_repeats
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op4_pii": op4_pii,
     "op7_jaccard_join": op7_jaccard_join,
     "op10_repeats": op10_repeats,
 }
