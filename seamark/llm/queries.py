@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from seamark.llm.decontamination import OP2_SQL, op2_decontamination
+from seamark.llm.fingerprints import op3_fingerprints
 from seamark.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from seamark.llm.language_id import op1_language_id
 from seamark.llm.pii import op4_pii
@@ -11,6 +12,7 @@ from seamark.llm.repeats import op10_repeats
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
     "op7_jaccard_join": op7_jaccard_join,
     "op10_repeats": op10_repeats,
