@@ -39,9 +39,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, at_most: int, *key: str) -> DataFrame:
-    """At most ``at_most`` rows of df for fitting a model: an even sample chosen by a hash of ``key``."""
-    n = df.count()
+def bounded(df: DataFrame, at_most: int, *key: str, max_bytes: int | None = None) -> DataFrame:
+    """At most ``at_most`` rows of df for fitting a model: an even sample chosen by a hash of ``key``.
+
+    max_bytes: fewer rows, so that their first ``key`` column comes to about that many bytes at most.
+    """
+    size = F.sum(F.octet_length(key[0])) if max_bytes else F.lit(0)
+    n, total = df.agg(F.count("*"), size).first()
+    if max_bytes and total and total > max_bytes:
+        at_most = min(at_most, max(1, n * max_bytes // total))
     spread = 1 << 30
     if n > at_most:
         share = F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(spread))
