@@ -7,6 +7,7 @@ from seamark.llm.fingerprints import op3_fingerprints
 from seamark.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from seamark.llm.language_id import op1_language_id
 from seamark.llm.pii import op4_pii
+from seamark.llm.quality import op5_quality
 from seamark.llm.repeats import op10_repeats
 from seamark.llm.toxicity import op8_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
+    "op5_quality": op5_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op10_repeats": op10_repeats,
