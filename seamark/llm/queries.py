@@ -6,6 +6,7 @@ from seamark.llm.decontamination import OP2_SQL, op2_decontamination
 from seamark.llm.fingerprints import op3_fingerprints
 from seamark.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from seamark.llm.language_id import op1_language_id
+from seamark.llm.pieces import op9_pieces
 from seamark.llm.pii import op4_pii
 from seamark.llm.quality import op5_quality
 from seamark.llm.repeats import op10_repeats
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
+    "op9_pieces": op9_pieces,
     "op10_repeats": op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {
