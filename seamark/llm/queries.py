@@ -10,6 +10,7 @@ from seamark.llm.pieces import op9_pieces
 from seamark.llm.pii import op4_pii
 from seamark.llm.quality import op5_quality
 from seamark.llm.repeats import op10_repeats
+from seamark.llm.secrets import op6_secrets
 from seamark.llm.toxicity import op8_toxicity
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_pieces": op9_pieces,
