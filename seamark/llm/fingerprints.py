@@ -121,8 +121,11 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_
     ids = rows.select(down.alias("down"))
     parts = max(1, min(-(-ids.count() // rows_each), most_parts))
     cuts = sorted(set(ids.approxQuantile("down", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    cut = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="down", outputCol="slot", handleInvalid="keep")
-    rows = cut.transform(rows.withColumn("down", down)).select("doc_id", "text", F.col("slot").cast("int").alias("part"))  # nulls are kept in one more part
+    if cuts:
+        cut = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="down", outputCol="slot", handleInvalid="keep")  # a null id stays null
+        rows = cut.transform(rows.withColumn("down", down)).select("doc_id", "text", F.coalesce(F.col("slot").cast("int"), F.lit(len(cuts) + 1)).alias("part"))
+    else:
+        rows = rows.withColumn("part", down.isNull().cast("int"))
     # One row for each range: the largest id's smallest text.
     heads = rows.groupBy("part").agg(F.max("doc_id").alias("head"))
     used = sorted(r["part"] for r in heads.select("part").collect())
