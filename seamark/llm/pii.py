@@ -215,8 +215,9 @@ def boost(counts: list[tuple[tuple, float, float]], held: list[tuple[tuple, floa
     tp = fp = 0.0
     for m, p, n in sorted(held, reverse=True):
         tp, fp = tp + p, fp + n
-        if tp and tp / (tp + fp) >= precision:
-            model.cutoff = _sigmoid(m * model.scale + model.shift) - 1e-9
+        q = _sigmoid(m * model.scale + model.shift)
+        if tp and tp / (tp + fp) >= precision and q >= 0.5:
+            model.cutoff = q - 1e-9
     return model
 
 
