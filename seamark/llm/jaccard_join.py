@@ -35,7 +35,8 @@ SHINGLE = 5
 PERCENT = 80
 BUCKETS = 1 << 20
 CHUNK = 1 << 12
-BITS = 2048
+#: A bitmap has two to four bits for each element, a power of two in all.
+LEAST_BITS = 256
 BLOCK = 512
 LEAF = 16
 #: Pairs of ids are sent to every task only up to this many ids; beyond that they are joined by a shuffle.
@@ -78,6 +79,11 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
 
+def _width(n: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set of n elements."""
+    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64))
+
+
 def levels(docs: DataFrame, text: str, size: int = SHINGLE) -> np.ndarray:
     """For each bucket of hashes how much fuller than the mean it is, as a power of two; 0 proves all its elements rare."""
 
@@ -125,20 +131,33 @@ def profiles(docs: DataFrame, doc_id: str, text: str, level: np.ndarray, size: i
                 frequent = level[_bucket(h)] > 0
                 sums = [np.concatenate([[0], np.cumsum(tb.splitmix(h ^ np.uint64(s)).astype(np.uint64))]).astype(np.uint64) for s in (0, 0x5DEECE66D)]
                 signs = [pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums]
-                bits = np.zeros((j - i, BITS), bool)
-                bits[row, ((h >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)] = True
-                packed = np.packbits(bits, axis=1)
+                packed: list[bytes] = [b""] * (j - i)
+                width = _width(n)
+                for w in np.unique(width):
+                    own = np.flatnonzero(width == w)
+                    spot = np.full(j - i, -1)
+                    spot[own] = np.arange(len(own))
+                    at_w = np.flatnonzero(spot[row] >= 0)
+                    bits = np.zeros((len(own), w), bool)
+                    bits[spot[row[at_w]], ((h[at_w] >> np.uint64(20)) & np.uint64(w - 1)).astype(np.int64)] = True
+                    for k, v in zip(own, np.packbits(bits, axis=1), strict=True):
+                        packed[k] = v.tobytes()
+                # In the smaller set of a pair the first common key is among the first n - ceil(2 t n / (1 + t)) + 1.
+                short = rank <= np.repeat(n - (2 * percent * n + 99 + percent) // (100 + percent), n)
+                codes = (np.minimum(np.repeat(n, n), 32767) * 2 + short).astype(np.int32)
                 keys = []
                 for m in (prefix & ~frequent, prefix & frequent):
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row[m], minlength=j - i))]).astype(np.int32)
                     keys.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(h[m].view(np.int64))))
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *signs, *keys, pa.array([r.tobytes() for r in packed], pa.binary())], ["doc_id", "n", "s1", "s2", "rare", "frequent", "bitmap"])
+                    if not len(keys) - 1:
+                        keys.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[m])))
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *signs, *keys, pa.array(packed, pa.binary())], ["doc_id", "n", "s1", "s2", "rare", "codes", "frequent", "bitmap"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string"))
-    return rows.mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, rare array<long>, frequent array<long>, bitmap binary")
+    return rows.mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, rare array<long>, codes array<int>, frequent array<long>, bitmap binary")
 
 
-def _grouped_rare(reps: DataFrame) -> DataFrame:
+def _grouped_rare(reps: DataFrame, percent: int) -> DataFrame:
     """(gid, rep) of the groups of at least two that share a rare key; equal groups of a task once.
 
     Keys travel packed, many to a row. A rare key's bucket count bounds the members of its group, so no
@@ -153,19 +172,47 @@ def _grouped_rare(reps: DataFrame) -> DataFrame:
             n = np.diff(lists.offsets.to_numpy())
             key = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             rep = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n)
+            code = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.uint16)[:, None]
             part = (tb.splitmix(key) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cut))
-            pairs = np.stack([key[order].view(np.int64), rep[order]], 1)
-            # Rows of keys first, then of ids: either half compresses better than both mixed.
-            yield pa.record_batch([pa.array(full.astype(np.int64)), pa.array([np.ascontiguousarray(pairs[cut[p] : cut[p + 1]].T).tobytes() for p in full], pa.binary())], ["part", "pairs"])
+            # 48 bits of a key (a false meeting only makes a candidate) with its code, and ids from the batch's lowest up.
+            low = rep.min() if len(rep) else 0
+            wide = np.uint64 if len(rep) and rep.max() - low >= 1 << 32 else np.uint32
+            keys = np.concatenate([key[order].view(np.uint16).reshape(-1, 4)[:, 1:], code[order]], 1)
+            ids = (rep[order] - low).astype(wide)
+            head = np.array([low, np.dtype(wide).itemsize], np.int64).tobytes()
+            yield pa.record_batch([pa.array(full.astype(np.int64)), pa.array([head + keys[cut[p] : cut[p + 1]].tobytes() + ids[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], ["part", "pairs"])
+
+    def unpack(blob):
+        low, width = np.frombuffer(blob, np.int64, 2)
+        n = (len(blob) - 16) // (8 + int(width))
+        both = np.frombuffer(blob, np.uint16, 4 * n, 16).reshape(n, 4)
+        keys = np.zeros((n, 4), np.uint16)
+        keys[:, 1:] = both[:, :3]
+        ids = np.frombuffer(blob, np.uint32 if width == 4 else np.uint64, n, 16 + 8 * n)
+        return np.stack([keys.view(np.int64).ravel(), both[:, 3].astype(np.int64), ids.astype(np.int64) + low])
 
     def meet(batches):
-        got = [np.frombuffer(v, np.int64).reshape(2, -1) for b in batches for v in b.column(1).to_pylist()]
+        got = [unpack(v) for b in batches for v in b.column(1).to_pylist()]
         if not got:
             return
         both = np.concatenate(got, 1)
+        both = both[:, np.lexsort((both[2], both[1] >> 1, both[0]))]
+        # Members stay that have a partner of a size to reach, the smaller of the two by a short prefix.
+        key, size, short = both[0], both[1] >> 1, (both[1] & 1) > 0
+        same = np.append(key[1:] == key[:-1], False)
+        above = np.append(size[1:], 0)
+        stay = short & same & ((percent * above <= 100 * size) | (size == 32767))
+        at = np.arange(len(key))
+        last = np.maximum.accumulate(np.where(short, at, -1))
+        last = np.concatenate([[-1], last[:-1]]) if len(last) else last
+        near = np.maximum(last, 0)
+        stay |= (last >= 0) & (key[near] == key) & ((100 * size[near] >= percent * size) | (size == 32767))
+        both = both[:, stay][[0, 2]]
+        if not both.shape[1]:
+            return
         both = both[:, np.lexsort((both[1], both[0]))]
         new = np.ones(both.shape[1], bool)
         new[1:] = (both[:, 1:] != both[:, :-1]).any(0)
@@ -178,13 +225,13 @@ def _grouped_rare(reps: DataFrame) -> DataFrame:
         take = np.repeat(first[once], n[once]) + np.arange(n[once].sum()) - np.repeat(np.cumsum(n[once]) - n[once], n[once])
         yield pa.record_batch([pa.array(np.repeat(gid[once], n[once]).view(np.int64)), pa.array(both[1, take])], ["gid", "rep"])
 
-    packed = reps.where(F.size("rare") > 0).select("doc_id", "rare").mapInArrow(pack, "part long, pairs binary")
+    packed = reps.where(F.size("rare") > 0).select("rep", "rare", "codes").mapInArrow(pack, "part long, pairs binary")
     return packed.repartition(parts, "part").mapInArrow(meet, "gid long, rep long")
 
 
 def _grouped_frequent(reps: DataFrame) -> DataFrame:
     """The same for frequent keys, of which any one may hold a large part of all rows."""
-    posts = reps.where(F.size("frequent") > 0).select(F.col("doc_id").alias("rep"), F.explode("frequent").alias("key"))
+    posts = reps.where(F.size("frequent") > 0).select("rep", F.explode("frequent").alias("key"))
     stats = posts.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("lo < hi")
     return posts.join(stats, "key").select(F.xxhash64("lo", "hi", "c", "x").alias("gid"), "rep")
 
@@ -281,7 +328,15 @@ class SignatureTree:
 
 
 def _forest(a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """Indexes of the pairs of a spanning forest, likeliest links first."""
+    """Indexes of the pairs of a spanning forest: those of the most central member first, then the likeliest.
+
+    Groups that share most of their members so propose the same pairs.
+    """
+    if len(a) == 0:
+        return np.zeros(0, np.int64)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    centre = nodes[np.bincount(at, weights=np.concatenate([bound, bound])).argmax()]
+    bound = bound + ((a == centre) | (b == centre))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -299,35 +354,58 @@ def _forest(a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _tree_pairs(members: DataFrame, spanning: bool, percent: int) -> DataFrame:
+def _tree_pairs(members: DataFrame, bitmaps: DataFrame, spanning: bool, percent: int) -> DataFrame:
     """Distinct (a, b), a < b: pairs of each group that its signature tree doesn't rule out.
 
-    members: (task, side, rep, n, bitmap, comp). Sides 0 and 1 are compared with each other, side 2 with itself.
+    members: (task, side, rep, comp); bitmaps: (rep, n, bitmap). Sides 0 and 1 are compared with each other, side 2 with itself.
     """
 
+    def bitmaps_of(t, at):
+        """Equally wide bitmaps of some rows, as words."""
+        return np.stack([np.frombuffer(t[k].as_buffer(), np.uint64) for k in at])
+
     def join(batches):
         for t in _runs(batches):
             task, side, rep, n, comp = (t.column(c).to_numpy() for c in ("task", "side", "rep", "n", "comp"))
-            data, at = tb.flat(t.column("bitmap"))
-            bits = np.ascontiguousarray(data).reshape(len(at) - 1, -1).view(np.uint64)
+            bitmap, width = t.column("bitmap"), _width(n)
             edge = np.append(np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])), len(task))
             out = [np.zeros((0, 2), np.int64)]
             twos = edge[:-1][(np.diff(edge) == 2)]
-            twos = twos[(side[twos] == 2) & (side[twos + 1] == 2)]
-            if len(twos):  # trees of one leaf with one pair
-                leaf = (bits, n, n, n - np.bitwise_count(bits).sum(1), comp, comp)
-                twos = twos[SignatureTree.may(leaf, twos, leaf, twos + 1, percent)]
-                out.append(np.stack([rep[twos], rep[twos + 1]], 1))
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if e - s < 2 or e - s == 2 and side[s] == side[s + 1] == 2:
+            twos = twos[(side[twos] == 2) & (side[twos + 1] == 2) & (width[twos] == width[twos + 1])]
+            done = set(twos.tolist())
+            for w in np.unique(width[twos]):  # trees of one leaf with one pair
+                at = twos[width[twos] == w]
+                both = np.stack([at, at + 1], 1).ravel()
+                bits = bitmaps_of(bitmap, both)
+                leaf = (bits, n[both], n[both], n[both] - np.bitwise_count(bits).sum(1), comp[both], comp[both])
+                k = np.arange(0, len(both), 2)
+                k = k[SignatureTree.may(leaf, k, leaf, k + 1, percent)]
+                out.append(np.stack([rep[both[k]], rep[both[k + 1]]], 1))
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if e - s < 2 or s in done:
                     continue
                 own = []
-                sides = [s + np.flatnonzero(side[s:e] == k) for k in (0, 1, 2)]
-                trees = [SignatureTree(n[r], bits[r], comp[r]) if len(r) else None for r in sides]
-                for x, y in ((0, 1), (2, 2)):
-                    if trees[x] and trees[y]:
-                        i, j, bound = trees[x].join(trees[y], percent)
-                        own.append((rep[sides[x]][i], rep[sides[y]][j], bound))
+                by = {}  # trees of the sides, by width; sets of unlike width can only link with the next width
+                for k in (0, 1, 2):
+                    for w in np.unique(width[s:e][side[s:e] == k]):
+                        at = s + np.flatnonzero((side[s:e] == k) & (width[s:e] == w))
+                        by[k, int(w)] = at, bitmaps_of(bitmap, at)
+
+                def tree(k, w, to):
+                    at, bits = by[k, w]
+                    while bits.shape[1] * 64 > to:  # noqa: B023
+                        half = bits.shape[1] // 2
+                        bits = bits[:, :half] | bits[:, half:]
+                    return SignatureTree(n[at], bits, comp[at])  # noqa: B023
+
+                for (x, w), (at, _) in by.items():
+                    for v in (w // 2, w, 2 * w):
+                        y = 2 if x == 2 else 1
+                        if x == 1 or (y, v) not in by or (x == 2 and v < w):
+                            continue
+                        first = tree(x, w, min(v, w))
+                        i, j, bound = first.join(first if (x, w) == (y, v) else tree(y, v, min(v, w)), percent)
+                        own.append((rep[at][i], rep[by[y, v][0]][j], bound))
                 if own:
                     a, b, bound = (np.concatenate(p) for p in zip(*own, strict=True))
                     out.append(np.stack([a, b], 1)[_forest(a, b, bound) if spanning else slice(None)])
@@ -335,38 +413,52 @@ def _tree_pairs(members: DataFrame, spanning: bool, percent: int) -> DataFrame:
             pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], 1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    rows = members.select("task", "side", "rep", "n", "bitmap", "comp").repartition("task").sortWithinPartitions("task")
+    rows = members.join(bitmaps, "rep").select("task", "side", "rep", "n", "bitmap", "comp").repartition("task").sortWithinPartitions("task")
     return rows.mapInArrow(join, "a long, b long").distinct()
 
 
+def _with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """rows joined with ids on ``id``; ids is sent to every task while it is small."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
+    """The pairs (a, b) whose sets reach the threshold.
+
+    The texts of all partners of one document meet it in a task, ``BLOCK`` of them at most; they travel
+    as texts, which are smaller than their sets.
+    """
     pairs = stored(pairs)
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    small = ids.count() <= BROADCAST_IDS
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / BLOCK))
+    salted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("c")), "a").withColumn("task", F.xxhash64("a", salt))
+    roles = stored(salted.select(F.col("b").alias("id"), "task", F.lit(1).alias("side")).union(salted.select(F.col("a").alias("id"), "task", F.lit(0).alias("side")).distinct()))
 
-    def build(batches):
+    def check(batches):
+        task, firsts = None, []
         for b in batches:
-            data, at = tb.flat(b.column(1))
+            data, at = tb.flat(b.column(3))
+            a_out, b_out = [], []
+            meta = [b.column(k).to_pylist() for k in range(3)]
             for i, j in tb.pieces(at):
                 bounds, h = sets(data[at[i] : at[j]], at[i : j + 1] - at[i], None, size)
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["id", "own"])
-
-    def check(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(p) and len(q) else 0
-                ok.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
-            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    wanted = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    wanted = wanted.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    own = stored(wanted.mapInArrow(build, "id long, own binary"))
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
-    return both.select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long").distinct()
+                for k in range(i, j):
+                    own = h[bounds[k - i] : bounds[k - i + 1]]
+                    if meta[0][k] != task:
+                        task, firsts = meta[0][k], []
+                    if meta[1][k] == 0:
+                        firsts.append((meta[2][k], own.copy()))
+                        continue
+                    for first, other in firsts:
+                        spot = np.searchsorted(other, own)
+                        both = int((other[np.minimum(spot, len(other) - 1)] == own).sum()) if len(own) and len(other) else 0
+                        if both and 100 * both >= percent * (len(own) + len(other) - both):
+                            a_out.append(first)
+                            b_out.append(meta[2][k])
+            yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    met = _with_ids(texts, roles, "inner").select("task", "side", "id", "text").repartition("task").sortWithinPartitions("task", "side")
+    return met.mapInArrow(check, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -375,22 +467,25 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     prof = stored(profiles(docs, doc_id, text, level, size, percent))
     sign = ["n", "s1", "s2"]
     reps = stored(prof.where("n > 0 AND doc_id IS NOT NULL").groupBy(*sign).agg(F.min("doc_id").alias("rep")))
-    own = stored(prof.join(reps.withColumnRenamed("rep", "doc_id"), [*sign, "doc_id"], "left_semi").select("doc_id", "n", "bitmap", "rare", "frequent"))
-    groups = stored(_grouped_rare(own).union(_grouped_frequent(own)).distinct())
+    some = prof.where("n > 0 AND doc_id IS NOT NULL")
+    copies = stored(some.select("doc_id", *sign).join(reps.withColumnRenamed("rep", "doc_id"), [*sign, "doc_id"], "left_anti").select(F.col("doc_id").alias("id")))
+    own = _with_ids(some.withColumnRenamed("doc_id", "id"), copies, "left_anti").select(F.col("id").alias("rep"), "n", "bitmap", "rare", "codes", "frequent")
+    groups = stored(_grouped_rare(own, percent).union(_grouped_frequent(own)).distinct())
     groups = groups.join(groups.groupBy("gid").agg(F.count("*").alias("g")), "gid")
-    members = stored(groups.join(own.select(F.col("doc_id").alias("rep"), "n", "bitmap"), "rep").withColumns({"nb": F.ceil(F.col("g") / BLOCK), "block": F.pmod(F.xxhash64("rep"), F.ceil(F.col("g") / BLOCK))}))
+    members = stored(groups.withColumns({"nb": F.ceil(F.col("g") / BLOCK), "block": F.pmod(F.xxhash64("rep"), F.ceil(F.col("g") / BLOCK))}))
+    bitmaps = own.select("rep", "n", "bitmap")
 
     # Round 1: every block with itself and with block 0.
     alone = members.withColumns({"task": F.xxhash64("gid", "block"), "side": F.lit(2), "comp": F.col("rep")})
     many = members.where("nb > 1")
     with_first = many.where("block > 0").withColumns({"other": F.col("block"), "side": F.lit(1)}).unionByName(many.where("block = 0").withColumn("other", F.explode(F.sequence(F.lit(1).cast("long"), F.col("nb") - 1))).withColumn("side", F.lit(0)))
     with_first = with_first.withColumns({"task": F.xxhash64("gid", F.lit("first"), "other"), "comp": F.col("rep")})
-    cols = ["task", "side", "rep", "n", "bitmap", "comp"]
-    found = stored(_verified(_tree_pairs(alone.select(cols).union(with_first.select(cols)), True, percent), docs, doc_id, text, size, percent))
+    cols = ["task", "side", "rep", "comp"]
+    found = stored(_verified(_tree_pairs(alone.select(cols).union(with_first.select(cols)), bitmaps, True, percent), docs, doc_id, text, size, percent))
     comp = stored(components(found))
 
     # Round 2: members that are still in different components; those of a group's largest meet the others only.
-    known = members.select("gid", "rep", "nb", "n", "bitmap").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    known = members.select("gid", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     sizes = known.groupBy("gid", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("gid").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("kinds"), F.sum("c").alias("g")).where("kinds > 1").select("gid", F.col("top.comp").alias("top"), (F.col("g") - F.col("top.c")).alias("strays"), F.col("top.c").alias("mains"))
     rest = stored(known.join(main, "gid"))
@@ -402,7 +497,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     s_s = stray.withColumn("p", F.explode(F.sequence(zero, F.col("ns") - 1))).withColumns({"task": F.xxhash64("gid", F.lit("ss"), F.least("block", "p"), F.greatest("block", "p")), "side": F.when(F.col("block") == F.col("p"), 2).when(F.col("block") < F.col("p"), 0).otherwise(1)})
     s_m = stray.withColumn("p", F.explode(F.sequence(zero, F.col("nm") - 1))).withColumns({"task": F.xxhash64("gid", F.lit("sm"), "block", "p"), "side": F.lit(0)})
     m_s = major.withColumn("p", F.explode(F.sequence(zero, F.col("ns") - 1))).withColumns({"task": F.xxhash64("gid", F.lit("sm"), "p", "block"), "side": F.lit(1)})
-    more = _verified(_tree_pairs(s_s.select(cols).union(s_m.select(cols)).union(m_s.select(cols)), False, percent), docs, doc_id, text, size, percent)
+    more = _verified(_tree_pairs(s_s.select(cols).union(s_m.select(cols)).union(m_s.select(cols)), bitmaps, False, percent), docs, doc_id, text, size, percent)
     return prof, reps, components(found.union(more))
 
 
