@@ -53,3 +53,11 @@ def bounded(df: DataFrame, at_most: int, *key: str, max_bytes: int | None = None
         share = F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(spread))
         df = df.where(share < int(spread * min(1.0, 1.1 * at_most / n))).limit(at_most)
     return df
+
+
+def labelled(docs: DataFrame, labels: DataFrame, at_most: int, doc_id: str = "doc_id") -> DataFrame:
+    """docs joined with an even sample of at most ``at_most`` rows of labels, chosen by their ids alone.
+
+    Only the sample is sent to the tasks; no text is shuffled for it.
+    """
+    return docs.join(F.broadcast(bounded(labels, at_most, doc_id)), doc_id)

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from seamark.llm import crf
 from seamark.llm import textbytes as tb
-from seamark.llm.common import bounded, bucket, read
+from seamark.llm.common import bounded, bucket, labelled, read
 from seamark.llm.decontamination import WORD
 
 #: Leading bytes of a word that count as its stem.
 STEMS = (5, 7)
 RIDGE = 2e-6
+#: Labelled rows that a model is fitted on, at most.
+AT_MOST = 4000
 _END = np.zeros(256, bool)
 _END[[10, 33, 46, 63]] = True
 
@@ -100,8 +102,8 @@ def _toxic_words(rows: np.ndarray, hashes: np.ndarray, toxic: np.ndarray) -> np.
     return words[(t >= 3) & (t >= 0.8 * n) & (g >= 8 + 4 * np.log(max(1.0, (n_t + n_c) / 40)))]
 
 
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", at_most: int = 4000, max_bytes: int = 24 << 20) -> ToxicModel:
-    rows = bounded(labelled.where(F.col(toxic).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(toxic).cast("int").alias("y")), at_most, "text", max_bytes=max_bytes)
+def fit(rows: DataFrame, text: str = "text", toxic: str = "toxic", at_most: int = AT_MOST, max_bytes: int = 24 << 20) -> ToxicModel:
+    rows = bounded(rows.where(F.col(toxic).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(toxic).cast("int").alias("y")), at_most, "text", max_bytes=max_bytes)
     got = rows.toArrow()
     y = got.column("y").to_numpy() > 0
     none = ToxicModel(None, np.zeros(4), float(y.mean()) if len(y) else 0.0)
@@ -161,6 +163,6 @@ def tag(docs: DataFrame, model: ToxicModel, text: str = "text", least: float = 0
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = bucket(F.col("doc_id"), 3) == 1
-    model = fit(docs.where(~held_out).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id"))
+    model = fit(labelled(docs.select("doc_id", "text"), labels.where(~held_out & F.col("toxic").isNotNull()).select("doc_id", "toxic"), AT_MOST))
     score = F.col("toxicity.score")
     return tag(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), F.size("toxicity.spans").cast("long").alias("n_spans"))
