@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.llm import textbytes as tb
-from seamark.llm.common import bounded, bucket, read
+from seamark.llm.common import bounded, bucket, labelled, read
 
 DIM = 1024
 RANK = 8
+#: Labelled rows that a model is fitted on, at most.
+AT_MOST = 4000
 _SPACE = np.ones(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = False
 _LINE = np.ones(256, bool)
@@ -132,8 +134,8 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate
     return m
 
 
-def fit(labelled: DataFrame, text: str = "text", quality: str = "quality", at_most: int = 4000, max_bytes: int = 32 << 20) -> Machine:
-    rows = bounded(labelled.where(F.col(quality).isNotNull()).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(quality).cast("int").alias("y")), at_most, "text", max_bytes=max_bytes)
+def fit(rows: DataFrame, text: str = "text", quality: str = "quality", at_most: int = AT_MOST, max_bytes: int = 32 << 20) -> Machine:
+    rows = bounded(rows.where(F.col(quality).isNotNull()).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(quality).cast("int").alias("y")), at_most, "text", max_bytes=max_bytes)
 
     def vectors(batches):
         for b in batches:
@@ -165,6 +167,6 @@ def judge(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = bucket(F.col("doc_id"), 5) == 0
-    model = fit(docs.where(~held_out).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id"))
+    model = fit(labelled(docs.select("doc_id", "text"), labels.where(~held_out & F.col("quality").isNotNull()).select("doc_id", "quality"), AT_MOST))
     out = judge(docs.select("doc_id", "text", held_out.alias("held_out")), model)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
