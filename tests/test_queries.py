@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from seamark.plans.queries import ORACLE_SQL, QUERIES
@@ -18,7 +19,7 @@ def duck(sf_dir):
 
 
 def _plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return ""
     return f"{float(value):.6f}" if isinstance(value, (int, float, bool)) or hasattr(value, "dtype") else str(value)
 
