@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamark.llm import textbytes as tb
 from seamark.llm.common import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 VARIANTS = 4
 #: Words remembered by a task, over all variants; then it starts anew.
-MEMO = 400_000
+MEMO = 300_000
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
 _M64 = (1 << 64) - 1
 
@@ -152,18 +153,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encoder = Encoder(vocabulary, dropout, seed)
         for texts, keys in batches:
-            out = [None if t is None else encoder.encode(t, k) for t, k in zip(texts.to_pylist(), keys.to_pylist(), strict=True)]
-            yield pa.array(out, pa.list_(pa.int32()))
+            _, at = tb.flat(texts)
+            parts = [pa.array([], pa.list_(pa.int32()))]
+            for i, j in tb.pieces(at):  # Python's numbers take ten times the room of the array's
+                rows = zip(texts.slice(i, j - i).to_pylist(), keys.slice(i, j - i).to_pylist(), strict=True)
+                parts.append(pa.array([None if t is None else encoder.encode(t, k) for t, k in rows], pa.list_(pa.int32())))
+            yield pa.concat_arrays(parts)
 
     return docs.withColumn("ids", cut(F.col(text).cast("string"), F.xxhash64(key)))
 
 
+def _own_list(row: pa.ListScalar) -> pa.ListScalar | None:
+    return row if row.is_valid else None
+
+
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
     """docs with ``decoded``."""
 
     @F.arrow_udf("string")
     def join(lists: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else vocabulary.decode(v) for v in lists.to_pylist()], pa.string())
+        return pa.array([None if v is None else vocabulary.decode(v.values.to_numpy().tolist()) for v in map(_own_list, lists)], pa.string())
 
     return docs.withColumn("decoded", join(F.col(ids)))
 
