@@ -107,7 +107,7 @@ class SecretModel:
         inside = tags > 0
         new = inside & ((tags == 1) | ~np.concatenate([[False], inside[:-1]]) | np.concatenate([[True], rows[1:] != rows[:-1]])[: len(rows)])
         at = np.flatnonzero(new)
-        stop = np.append(at[1:], len(tags))
+        stop = np.append(at, len(tags))[1:]
         for a, b in zip(at, stop, strict=True):
             last = a
             while last + 1 < b and inside[last + 1]:
