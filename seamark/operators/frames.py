@@ -6,9 +6,12 @@ Rows that fail keep the first reason and go to quarantine; rows that wait for an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seamark.operators.replay import replayed
+from seamark.streaming import reassembly
+
 # Fixed values of the standard: field widths, in order.
 POSITION_A = (("type", 6), ("repeat", 2), ("mmsi", 30), ("nav_status", 4), ("rot", 8), ("sog", 10), ("accuracy", 1), ("lng", 28), ("lat", 27), ("cog", 12), ("heading", 9), ("second", 6), ("rest", 25))
 POSITION_B = (("type", 6), ("repeat", 2), ("mmsi", 30), ("reserved", 8), ("sog", 10), ("accuracy", 1), ("lng", 28), ("lat", 27), ("cog", 12), ("heading", 9), ("second", 6), ("rest", 29))
@@ -84,8 +87,8 @@ def static_sentences(statics: DataFrame) -> DataFrame:
     piece = F.when(c("part") == 1, F.substring("payload", F.lit(1), F.lit(PART_CHARS))).otherwise(F.substring("payload", F.lit(PART_CHARS + 1), F.lit(100)))
     body = F.concat(F.lit("AIVDM,2,"), c("part"), F.lit(","), c("seq") % 10, F.lit(",A,"), piece, F.lit(","), F.when(c("part") == 2, 2).otherwise(0))
     late = F.when(c("seq") % 3 == 0, 2 - c("part")).otherwise(c("part") - 1)
-    # Ten messages share a message id in turn, ten seconds apart.
-    return rows.withColumn("body", body).select((c("seq") * 2 + late).alias("seq"), (F.lit(1704067200) + c("seq") * 10 + late).cast("long").alias("t_s"), F.lit(0).alias("source_id"), sentence(c("body")).alias("raw"))
+    # Messages take ten ids in turn, five in two seconds: an id comes again three seconds after its last part.
+    return rows.withColumn("body", body).select((c("seq") * 2 + late).alias("seq"), (F.lit(1704067200) + F.floor(c("seq") * 2 / 5) + late).cast("long").alias("t_s"), F.lit(0).alias("source_id"), sentence(c("body")).alias("raw"))
 
 
 # Checks and decoding
@@ -118,20 +121,21 @@ def enveloped(frames: DataFrame) -> DataFrame:
 def reassembled(frames: DataFrame, ttl_s: int = PART_TTL_S) -> DataFrame:
     """Sentences of one part as they are; of several parts one row per complete message, its payload joined.
 
-    Parts of a key (source, channel, message id) are cut where ttl_s and more pass in silence, which starts
-    any buffer anew; a message is the first of each of its parts within the piece, in any order. Incomplete
-    ones stay out. ``streaming.reassembly`` holds the exact buffer for parts that interleave.
+    The buffer of ``streaming.reassembly`` runs over the parts of each key (source, channel, message id) in order:
+    a message ends with its last part, so the next one of its id starts anew however soon it comes. Its row has
+    that part's time and seq. Incomplete ones stay out.
     """
     single = frames.where("reason IS NOT NULL OR fragments = 1")
     parts = frames.where("reason IS NULL AND fragments > 1")
     key = ["source_id", "channel", "message_id"]
-    w = Window.partitionBy(*key).orderBy("t_s", "seq")
-    gap = F.col("t_s") - F.lag("t_s").over(w)
-    cut = parts.withColumn("piece", F.sum(F.when(gap > ttl_s, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = cut.groupBy(*key, "piece", "fragments", "fragment").agg(F.min(F.struct("t_s", "seq", "payload")).alias("m"))
-    whole = first.groupBy(*key, "piece", "fragments").agg(F.sort_array(F.collect_list(F.struct("fragment", "m.payload"))).alias("all"), F.max("m.t_s").alias("t_s"), F.max("m.seq").alias("seq")).where(F.size("all") == F.col("fragments"))
-    joined = whole.withColumn("payload", F.array_join(F.transform("all", lambda x: x["payload"]), ""))
-    return single.unionByName(joined.select("seq", "t_s", *key, "fragments", "payload"), allowMissingColumns=True)
+
+    def whole(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple | None]:
+        seq, t, *part = row
+        state, payload = reassembly.step(state, (t, *part), ttl_s)
+        return state, None if payload is None else (seq, t, part[0], payload)
+
+    joined = replayed(parts, key, ["seq", "t_s", "fragments", "fragment", "payload"], whole, "seq long, t_s long, fragments int, payload string")
+    return single.unionByName(joined, allowMissingColumns=True)
 
 
 def bits_of(payload: Column) -> Column:

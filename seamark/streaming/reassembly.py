@@ -14,16 +14,17 @@ TTL_S = 5
 def step(state: tuple | None, row: tuple, ttl_s: int = TTL_S) -> tuple[tuple | None, str | None]:
     """One part against the buffer of its key: (new buffer, whole payload if it is complete).
 
-    buffer: (parts wanted, time of its first part, parts held). It is dropped more than ttl_s after its first part,
+    buffer: (parts wanted, time of its first part, parts held by number). It is dropped more than ttl_s after its first part,
     and starts anew when the number of parts changes; a part that it holds already is ignored.
     """
     t, wanted, number, payload = row
     if state is not None and (t - state[1] > ttl_s or state[0] != wanted):
         state = None
-    wanted, first, held = state if state is not None else (wanted, t, [None] * wanted)
-    held = [payload if k == number - 1 and v is None else v for k, v in enumerate(held)]
-    if all(v is not None for v in held):
-        return None, "".join(held)
+    # By number: a sentence may claim any number of parts, and room is taken only for those that came.
+    wanted, first, held = state if state is not None else (wanted, t, {})
+    held = {number: payload} | held
+    if len(held) == wanted:
+        return None, "".join(held[k] for k in range(1, wanted + 1))
     return (wanted, first, held), None
 
 
@@ -32,10 +33,13 @@ class Reassembly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("parts", "wanted int, first long, held array<string>")
+        self.state = handle.getValueState("parts", "wanted int, first long, numbers array<int>, held array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = self.state.get() if self.state.exists() else None
+        now = None
+        if self.state.exists():
+            wanted, first, numbers, held = self.state.get()
+            now = wanted, first, dict(zip(numbers, held, strict=True))
         out = []
         for pdf in rows:
             for r in pdf.sort_values(["t_s", "seq"]).itertuples():
@@ -47,7 +51,7 @@ class Reassembly(StatefulProcessor):
         if now is None:
             self.state.clear()
         else:
-            self.state.update((now[0], now[1], list(now[2])))
+            self.state.update((*now[:2], list(now[2]), list(now[2].values())))
             self.handle.registerTimer((now[1] + TTL_S + 1) * 1000)
         yield pd.DataFrame(out, columns=["source_id", "channel", "message_id", "seq", "t_s", "fragments", "payload"])
 

@@ -73,3 +73,31 @@ def test_frames_round_trip(spark):
 def test_lines(spark):
     df = spark.createDataFrame([("a\r\n\n b \n" + "x" * 90,)], "value string")
     assert [r["value"] for r in quality.lines(df).where(~quality.too_long(F.col("value"), True)).collect()] == ["a", "b"]
+
+
+def _parts(spark, rows):
+    """Rows (t_s, fragments, fragment, payload) of one source, channel and message id, in order of seq."""
+    kind = "seq long, t_s long, source_id int, channel string, message_id string, fragments int, fragment int, payload string, reason string"
+    return spark.createDataFrame([(k, t, 0, "A", "3", n, i, p, None) for k, (t, n, i, p) in enumerate(rows)], kind)
+
+
+def test_reassembly_of_ids_that_come_again(spark):
+    """A busy id never falls silent: every message counts, as do dropped, repeated, late and swapped parts."""
+    rows = [(4 * k + j, 2, j + 1, f"{k}{'ab'[j]}") for k in range(50) for j in (0, 1)]
+    got = {(r["seq"], r["t_s"], r["payload"]) for r in frames.reassembled(_parts(spark, rows)).collect()}
+    assert got == {(2 * k + 1, 4 * k + 1, f"{k}a{k}b") for k in range(50)}
+    faults = [(0, 2, 1, "a"), (3, 2, 2, "b"), (4, 2, 2, "d"), (4, 2, 2, "x"), (5, 2, 1, "c"), (8, 2, 1, "dropped"), (14, 2, 2, "late"), (15, 3, 1, "e"), (15, 3, 3, "g"), (16, 3, 2, "f"), (17, 2_000_000_000, 1, "h")]
+    assert sorted(r["payload"] for r in frames.reassembled(_parts(spark, faults)).collect()) == ["ab", "cd", "efg"]
+
+
+def test_reassembly_stream(spark, tmp_path):
+    from seamark.streaming import reassembly, tracks
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", tracks.ROCKSDB)
+    rows = _parts(spark, [(1704067200 + 4 * k + j, 2, j + 1, f"{k}{'ab'[j]}") for k in range(20) for j in (1, 0) if (k, j) != (7, 0)])
+    rows.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    stream = tracks.timed(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "parts")), "10 days")
+    q = reassembly.reassembled(stream).writeStream.outputMode("append").format("memory").queryName("whole").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["seq"], r["payload"]) for r in spark.table("whole").collect()}
+    assert got == {(r["seq"], r["payload"]) for r in frames.reassembled(rows).collect()} and len(got) > 15
