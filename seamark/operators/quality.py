@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamark.functions import ais
 from seamark.operators import tracks
+from seamark.operators.replay import replayed
 
 LONGEST_LINE = 82
 
@@ -35,10 +36,10 @@ def gated(positions: DataFrame) -> DataFrame:
 
 
 def admitted(positions: DataFrame, burst: int = 200, per_minute: int = 100) -> DataFrame:
-    """positions with ``admitted``: unknown vessels share a quota per minute; the first of a minute get in, known ones pass.
+    """positions with ``admitted``: each vessel is judged once, by the minute of its first frame, for all its frames.
 
-    This is the scalable form: a frame is known from its vessel's first admitted frame on, and a minute admits
-    per_minute new vessels (the first one ``burst``), in arrival order of their first frames.
+    A minute admits per_minute new vessels (the first one ``burst``), in arrival order of their first frames; the
+    others never get in. ``admitted_by_bucket`` tries them again.
     """
     first = positions.groupBy("mmsi").agg(F.min(F.struct("t_s", "seq")).alias("f")).select("mmsi", F.floor(F.col("f.t_s") / 60).alias("minute"), F.col("f.seq").alias("first_seq"))
     start = first.agg(F.min("minute").alias("m0"))
@@ -48,6 +49,42 @@ def admitted(positions: DataFrame, burst: int = 200, per_minute: int = 100) -> D
     return positions.join(first.select("mmsi", (F.col("rank") <= quota).alias("admitted")), "mmsi")
 
 
+def admission_step(burst: int, per_minute: int):
+    """(bucket, (mmsi, t_s, seq)) -> (bucket, the row if it admits a vessel so far unknown).
+
+    bucket: (sixtieths of tokens, time, known vessels). It starts full; a known vessel costs nothing, and one that
+    finds no token stays unknown.
+    """
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        mmsi, t, _ = row
+        tokens, last, known = state if state is not None else (60 * burst, t, set())
+        if mmsi in known:
+            return (tokens, last, known), None
+        tokens = min(60 * burst, tokens + (t - last) * per_minute)
+        if tokens < 60:
+            return (tokens, t, known), None
+        known.add(mmsi)
+        return (tokens - 60, t, known), row
+
+    return step
+
+
+def admitted_by_bucket(positions: DataFrame, burst: int = 200, per_minute: int = 100) -> DataFrame:
+    """positions with ``admitted``: vessels so far unknown share one bucket of ``burst`` tokens, refilled by per_minute.
+
+    A vessel is tried again at each frame until it gets a token, and all its frames pass from that one on. One bucket
+    has one order: a single task goes over the first frame of each vessel and second, as no second frame of one
+    second fares otherwise, and holds the known vessels. All else is spread by vessel.
+    """
+    tried = positions.groupBy("mmsi", "t_s").agg(F.min("seq").alias("seq")).withColumn("bucket", F.lit(0))
+    fields = ["mmsi", "t_s", "seq"]
+    kind = ", ".join(f"{as_} {tried.schema[c].dataType.simpleString()}" for c, as_ in zip(fields, ("mmsi", "from_t", "from_seq"), strict=True))
+    since = replayed(tried, ["bucket"], fields, admission_step(burst, per_minute), kind).drop("bucket")
+    passed = F.struct("t_s", "seq") >= F.struct(F.col("from_t").alias("t_s"), F.col("from_seq").alias("seq"))
+    return positions.join(since, "mmsi", "left").withColumn("admitted", F.coalesce(passed, F.lit(False)) & F.col("from_t").isNotNull()).drop("from_t", "from_seq")
+
+
 def limited(positions: DataFrame) -> DataFrame:
     """gated positions with the per-vessel rate limit applied to those that passed."""
     rows = gated(positions)

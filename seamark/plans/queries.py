@@ -303,6 +303,12 @@ def new_vessels_admitted(spark, sf_dir):
     return quality.admitted(fixtures.positions(spark, sf_dir), burst=20, per_minute=10).select("seq", "mmsi", "admitted")
 
 
+@_query()
+def new_vessels_bucket(spark, sf_dir):
+    """The same quotas as one bucket, at which rejected vessels try again; tested against a fold."""
+    return quality.admitted_by_bucket(fixtures.positions(spark, sf_dir), burst=20, per_minute=10).select("seq", "mmsi", "admitted")
+
+
 @_query(f"""{_P} SELECT seq, CASE WHEN coalesce(sog_t > 5, FALSE) THEN 1 ELSE 0 END + CASE WHEN lng IS NOT NULL AND lat IS NOT NULL THEN 2 ELSE 0 END
   + CASE WHEN floor(mmsi / 1000000) BETWEEN 200 AND 799 THEN 4 ELSE 0 END AS flags FROM p""")
 def update_flags(spark, sf_dir):

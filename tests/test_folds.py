@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from seamark.operators import geo, tracks
+from seamark.operators import geo, quality, tracks
 from seamark.sources import fixtures
 
 
@@ -117,3 +117,17 @@ def test_evict_policy_and_zone_checks(spark, sf_dir):
     edited = geo.edited_zones(zones, added=added, deleted=zones.where("id = 'A'"))
     assert {r["id"] for r in edited.collect()} == {"x|y", "B", "C", "D", "E"}
     assert {r["check"]: r["failures"] for r in geo.zone_problems(edited).collect()}["pipe_in_id"] == 1
+
+
+def test_admission_tries_again(spark, sf_dir, rows):
+    """Against one bucket over all frames: vessels beyond the burst get in as it refills."""
+    got = {r["seq"]: r["admitted"] for r in quality.admitted_by_bucket(fixtures.positions(spark, sf_dir), burst=3, per_minute=2).collect()}
+    tokens, last, known, late = 3 * 60, None, set(), 0
+    for t, seq, mmsi in sorted((r["t_s"], r["seq"], r["mmsi"]) for track in rows.values() for r in track):
+        tokens, last = min(3 * 60, tokens + (t - (last if last is not None else t)) * 2), t
+        if mmsi not in known and tokens >= 60:
+            tokens -= 60
+            late += any(got[r["seq"]] is False for r in rows[mmsi])
+            known.add(mmsi)
+        assert got[seq] == (mmsi in known)
+    assert known == set(rows) and late > 0 and len(got) == sum(map(len, rows.values()))
