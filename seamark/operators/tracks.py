@@ -1,16 +1,19 @@
 """Operators on the ordered fixes of each vessel: latest, merge, hysteresis, rate limit, trails, filter.
 
 Rows need (mmsi, t_s, seq); every order is (t_s, seq) or seq, so results don't depend on partitioning.
-Recurrences are folds over the sorted fixes of a piece. Pieces are cut where a recurrence provably starts
-afresh (a full bucket, an evicted vessel), which bounds them however long a vessel's history is.
+Recurrences are steps over the sorted fixes of a vessel, with a small state carried from fix to fix: memory doesn't
+grow with a vessel's history, but one vessel's fixes are one task's work. ``streaming.tracks`` runs the same steps.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.functions import ais
+from seamark.operators.replay import replayed
 
 EVICT_S = 600
 OUTLIER_KNOTS, OUTLIER_SLACK_M = 60.0, 75.0
@@ -35,6 +38,21 @@ def sessions(positions: DataFrame, gap_s: int = EVICT_S, inclusive: bool = False
     return positions.withColumn("session", F.sum(F.when(cut, 1).otherwise(0)).over(by_vessel().rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def moving_step(on: float = 0.5, off: float = 0.3):
+    """(state, (t_s, seq, knots)) -> (state, (seq, session, moving)): ``hysteresis`` a fix at a time; state: (session, time, moving)."""
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        t, seq, sog = row
+        session, last, moving = state if state is not None else (0, t, False)
+        if t - last > EVICT_S:
+            session, moving = session + 1, False
+        if sog is not None:
+            moving = sog > on or (moving and sog >= off)
+        return (session, t, moving), (seq, session, moving)
+
+    return step
+
+
 def live_merge(positions: DataFrame, fields: list[str]) -> DataFrame:
     """Each fix with the last known value of every field in its session."""
     w = by_vessel("session").rowsBetween(Window.unboundedPreceding, 0)
@@ -54,49 +72,44 @@ def coalesce_window(frames: DataFrame, fields: list[str], seconds: int = 1) -> D
     return frames.groupBy("mmsi", (F.floor(F.col("t_s") / seconds) * seconds).alias("window_s")).agg(F.count("*").alias("n_frames"), F.max("seq").alias("last_seq"), F.max("t_s").alias("last_seen_s"), F.max_by("source_id", "seq").alias("last_source"), *last)
 
 
-def _fold(positions: DataFrame, piece: list[str], item: Column, zero: Column, step) -> DataFrame:
-    """step folded over the sorted items of each piece; out: array of structs with seq."""
-    grouped = positions.groupBy(*piece).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return grouped.select(*piece, F.explode(F.aggregate("items", zero, step, lambda acc: acc["out"])).alias("r"))
+def rate_step(size: int = BUCKET_SIZE, per_s: int = BUCKET_PER_S):
+    """(bucket, (t_s, seq)) -> (bucket, (seq, accepted)); bucket: (thousandths of tokens, time)."""
 
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        t, seq = row
+        tokens, last = state if state is not None else (1000 * size, t)
+        tokens = min(1000 * size, tokens + (t - last) * 1000 * per_s)
+        ok = tokens >= 1000
+        return (tokens - 1000 * ok, t), (seq, ok)
 
-def rate_limit(frames: DataFrame, key: str = "mmsi", size: int = BUCKET_SIZE, per_s: int = BUCKET_PER_S) -> DataFrame:
-    """(key, seq, accepted) of a token bucket per key that starts full.
-
-    After size / per_s silent seconds a bucket is full again, so pieces are cut there.
-    """
-    w = Window.partitionBy(key).orderBy("t_s", "seq")
-    gap = F.col("t_s") - F.lag("t_s").over(w)
-    cut = frames.withColumn("piece", F.sum(F.when(gap * per_s >= size, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct(F.col("t_s").alias("t"), F.col("seq").alias("seq"))
-    zero = F.struct(F.lit(1000 * size).cast("long").alias("tokens"), F.lit(None).cast("long").alias("t"), F.array().cast("array<struct<seq: bigint, accepted: boolean>>").alias("out"))
+    return step
 
-    def step(acc, x):
-        refilled = F.least(F.lit(1000 * size).cast("long"), acc["tokens"] + (x["t"] - F.coalesce(acc["t"], x["t"])) * (1000 * per_s))
-        ok = refilled >= 1000
-        return F.struct((refilled - F.when(ok, 1000).otherwise(0)).cast("long").alias("tokens"), x["t"].alias("t"), F.array_append(acc["out"], F.struct(x["seq"].cast("long").alias("seq"), ok.alias("accepted"))).alias("out"))
 
-    return _fold(cut, [key, "piece"], item, zero, step).select(key, "r.seq", "r.accepted")
+def rate_limit(frames: DataFrame, key: str = "mmsi", size: int = BUCKET_SIZE, per_s: int = BUCKET_PER_S) -> DataFrame:
+    """(key, seq, accepted) of a token bucket per key that starts full."""
+    return replayed(frames, [key], ["t_s", "seq"], rate_step(size, per_s), "seq long, accepted boolean")
+
+
+def outlier_step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+    """(state, (t_s, seq, lng, lat)) -> (state, row of trail_outliers); state: (session, time before, last accepted t, lng and lat)."""
+    t, seq, lng, lat = row
+    session, before, t0, lng0, lat0 = state if state is not None else (0, t, None, None, None)
+    if t - before > EVICT_S:
+        session, t0 = session + 1, None
+    ok = True
+    if t0 is not None and t > t0:
+        east = (lng - lng0) * ais.METRES_PER_DEGREE * math.cos(math.radians((lat0 + lat) / 2))
+        # A distance that is no number is far.
+        ok = math.hypot(east, (lat - lat0) * ais.METRES_PER_DEGREE) <= OUTLIER_KNOTS * ais.KNOT_M_PER_S * (t - t0) + OUTLIER_SLACK_M
+    if ok:
+        t0, lng0, lat0 = t, lng, lat
+    return (session, t, t0, lng0, lat0), (session, seq, t, lng, lat, ok)
 
 
 def trail_outliers(positions: DataFrame) -> DataFrame:
     """(mmsi, session, seq, t_s, lng, lat, accepted): a fix too far from the last accepted one is an outlier."""
-    fixes = sessions(positions.where("lng IS NOT NULL AND lat IS NOT NULL"))
-    item = F.struct(F.col("t_s").alias("t"), F.col("seq").alias("seq"), F.col("lng").alias("lng"), F.col("lat").alias("lat"))
-    kind = "array<struct<seq: bigint, t: bigint, lng: double, lat: double, accepted: boolean>>"
-    last = F.lit(None).cast("struct<t: bigint, lng: double, lat: double>")
-    zero = F.struct(last.alias("last"), F.array().cast(kind).alias("out"))
-
-    def step(acc, x):
-        old = acc["last"]
-        dt = x["t"] - old["t"]
-        far = ais.distance_m(old["lng"], old["lat"], x["lng"], x["lat"]) > OUTLIER_KNOTS * ais.KNOT_M_PER_S * dt + OUTLIER_SLACK_M
-        ok = ~F.coalesce(far & (dt > 0), F.lit(False))
-        new = F.struct(x["t"].cast("long").alias("t"), x["lng"].alias("lng"), x["lat"].alias("lat"))
-        row = F.struct(x["seq"].cast("long").alias("seq"), x["t"].cast("long").alias("t"), x["lng"].alias("lng"), x["lat"].alias("lat"), ok.alias("accepted"))
-        return F.struct(F.when(ok, new).otherwise(old).alias("last"), F.array_append(acc["out"], row).alias("out"))
-
-    return _fold(fixes, ["mmsi", "session"], item, zero, step).select("mmsi", "session", "r.seq", F.col("r.t").alias("t_s"), "r.lng", "r.lat", "r.accepted")
+    fixes = positions.where("lng IS NOT NULL AND lat IS NOT NULL")
+    return replayed(fixes, ["mmsi"], ["t_s", "seq", "lng", "lat"], outlier_step, "session long, seq long, t_s long, lng double, lat double, accepted boolean")
 
 
 def trails(positions: DataFrame, age_s: int = TRAIL_S, points: int = TRAIL_POINTS) -> DataFrame:
@@ -112,38 +125,34 @@ def trails(positions: DataFrame, age_s: int = TRAIL_S, points: int = TRAIL_POINT
 MEASURE_SIGMA, ACCEL_SIGMA, START_SIGMA, START_SPEED_SIGMA, COVARIANCE_CAP, MOST_S = 9e-5, 9e-7, 9e-4, 1e-5, 1000.0, 60
 
 
+def kalman_step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+    """(state, (t_s, seq, lng, lat)) -> (state, row of kalman); state: time and the row's values."""
+    t, seq, lng, lat = row
+    new = None
+    if state is not None:
+        last, x, y, vx, vy, p00, p01, p11 = state
+        dt, q, r = float(max(min(t - last, MOST_S), 0)), ACCEL_SIGMA**2, MEASURE_SIGMA**2
+        p00 = p00 + 2 * dt * p01 + dt * dt * p11 + q * dt * dt * dt * dt / 4
+        p01 = p01 + dt * p11 + q * dt * dt * dt / 2
+        p11 = p11 + q * dt * dt
+        k0, k1 = p00 / (p00 + r), p01 / (p00 + r)
+        e_lng, e_lat = lng - (x + vx * dt), lat - (y + vy * dt)
+        n00, n01, n11 = (1 - k0) * p00, (1 - k0) * p01, p11 - k1 * p01
+        if abs(n00) <= COVARIANCE_CAP and abs(n01) <= COVARIANCE_CAP and abs(n11) <= COVARIANCE_CAP:
+            new = (x + vx * dt + k0 * e_lng, y + vy * dt + k0 * e_lat, vx + k1 * e_lng, vy + k1 * e_lat, n00, n01, n11)
+    if new is None:
+        new = (lng, lat, 0.0, 0.0, START_SIGMA**2, 0.0, START_SPEED_SIGMA**2)
+    return (t, *new), (seq, *new)
+
+
 def kalman(positions: DataFrame) -> DataFrame:
     """(mmsi, seq, lng, lat, vlng, vlat, p00, p01, p11): constant-velocity filter of each vessel's fixes.
 
     The axes share one gain, as they start alike and never mix; so the state is one 2 x 2 covariance and
-    two positions and speeds. The filter has no fresh start, so its fold runs over a vessel's whole history;
-    ``streaming.tracks`` carries the same step in keyed state for long ones.
+    two positions and speeds.
     """
-    fixes = positions.where("lng IS NOT NULL AND lat IS NOT NULL")
-    item = F.struct(F.col("t_s").alias("t"), F.col("seq").alias("seq"), F.col("lng").alias("lng"), F.col("lat").alias("lat"))
-    fields = ("lng", "lat", "vlng", "vlat", "p00", "p01", "p11")
-    state = "struct<t: bigint, " + ", ".join(f"{f}: double" for f in fields) + ">"
-    row = "struct<seq: bigint, " + ", ".join(f"{f}: double" for f in fields) + ">"
-    zero = F.struct(F.lit(None).cast(state).alias("s"), F.array().cast(f"array<{row}>").alias("out"))
-    named = lambda values: [v.alias(f) for f, v in zip(fields, values, strict=True)]
-
-    def step(acc, x):
-        s, r = acc["s"], MEASURE_SIGMA**2
-        dt = F.greatest(F.least(x["t"] - s["t"], F.lit(MOST_S)), F.lit(0)).cast("double")
-        q = ACCEL_SIGMA**2
-        p00 = s["p00"] + 2 * dt * s["p01"] + dt * dt * s["p11"] + q * dt * dt * dt * dt / 4
-        p01 = s["p01"] + dt * s["p11"] + q * dt * dt * dt / 2
-        p11 = s["p11"] + q * dt * dt
-        k0, k1 = p00 / (p00 + r), p01 / (p00 + r)
-        e_lng, e_lat = x["lng"] - (s["lng"] + s["vlng"] * dt), x["lat"] - (s["lat"] + s["vlat"] * dt)
-        n00, n01, n11 = (1 - k0) * p00, (1 - k0) * p01, p11 - k1 * p01
-        moved = [s["lng"] + s["vlng"] * dt + k0 * e_lng, s["lat"] + s["vlat"] * dt + k0 * e_lat, s["vlng"] + k1 * e_lng, s["vlat"] + k1 * e_lat, n00, n01, n11]
-        fresh = [x["lng"], x["lat"], F.lit(0.0), F.lit(0.0), F.lit(START_SIGMA**2), F.lit(0.0), F.lit(START_SPEED_SIGMA**2)]
-        again = s.isNull() | ~((F.abs(n00) <= COVARIANCE_CAP) & (F.abs(n01) <= COVARIANCE_CAP) & (F.abs(n11) <= COVARIANCE_CAP))
-        new = [F.when(again, f).otherwise(m) for f, m in zip(fresh, moved, strict=True)]
-        return F.struct(F.struct(x["t"].cast("long").alias("t"), *named(new)).alias("s"), F.array_append(acc["out"], F.struct(x["seq"].cast("long").alias("seq"), *named(new))).alias("out"))
-
-    return _fold(fixes, ["mmsi"], item, zero, step).select("mmsi", "r.*")
+    fixes = positions.where("lng IS NOT NULL AND lat IS NOT NULL").withColumns({c: F.col(c).cast("double") for c in ("lng", "lat")})
+    return replayed(fixes, ["mmsi"], ["t_s", "seq", "lng", "lat"], kalman_step, "seq long, lng double, lat double, vlng double, vlat double, p00 double, p01 double, p11 double")
 
 
 def covariance16(p00: Column, p01: Column, p11: Column) -> Column:

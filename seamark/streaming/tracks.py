@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from seamark.operators import tracks
 from seamark.operators.geo import DWELL_S, SILENCE_S
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -81,6 +82,50 @@ def geofence_events(memberships: DataFrame) -> DataFrame:
     return rows.groupBy("mmsi", "zone_id").transformWithStateInPandas(DwellProcessor(), outputStructType=_EVENT, outputMode="Append", timeMode="EventTime")
 
 
+class Carried(StatefulProcessor):
+    """A step of ``operators.tracks`` over the rows of one vessel as they come, sorted within a batch; its state stays."""
+
+    def __init__(self, step, state: str, fields: list[str], columns: list[str]) -> None:
+        self.step, self.kind, self.fields, self.columns = step, state, fields, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("carried", self.kind)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # A vessel's rows of one batch may come in several frames, which aren't in order.
+        batch = pd.concat(rows).sort_values(["t_s", "seq"])[self.fields]
+        state, out = tuple(self.state.get()) if self.state.exists() else None, []
+        for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
+            state, got = self.step(state, row)
+            out.append((*key, *got))
+        self.state.update(state)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _carried(fixes: DataFrame, step, state: str, fields: list[str], kind: str) -> DataFrame:
+    columns = ["mmsi", *(c.split()[0] for c in kind.split(", "))]
+    rows = fixes.select("mmsi", *fields).groupBy("mmsi")
+    return rows.transformWithStateInPandas(Carried(step, state, fields, columns), outputStructType=f"mmsi {fixes.schema['mmsi'].dataType.simpleString()}, {kind}", outputMode="Append", timeMode="None")
+
+
+def kalman(positions: DataFrame) -> DataFrame:
+    """``operators.tracks.kalman`` of a stream. This and the two below need the RocksDB state store."""
+    names = "lng double, lat double, vlng double, vlat double, p00 double, p01 double, p11 double"
+    return _carried(positions.where("lng IS NOT NULL AND lat IS NOT NULL"), tracks.kalman_step, f"t long, {names}", ["t_s", "seq", "lng", "lat"], f"seq long, {names}")
+
+
+def rate_limit(frames: DataFrame) -> DataFrame:
+    return _carried(frames, tracks.rate_step(), "tokens long, t long", ["t_s", "seq"], "seq long, accepted boolean")
+
+
+def hysteresis(positions: DataFrame) -> DataFrame:
+    """(mmsi, seq, session, moving) of a stream with ``sog`` in knots."""
+    return _carried(positions, tracks.moving_step(), "session long, t long, moving boolean", ["t_s", "seq", "sog"], "seq long, session long, moving boolean")
+
+
 def upsert_versions(spark: SparkSession, path: str, key: str = "mmsi", order: str = "seq"):
     """A foreachBatch sink that keeps one row per key under path, as numbered versions with a pointer to the newest.
 

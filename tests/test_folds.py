@@ -131,3 +131,12 @@ def test_admission_tries_again(spark, sf_dir, rows):
             known.add(mmsi)
         assert got[seq] == (mmsi in known)
     assert known == set(rows) and late > 0 and len(got) == sum(map(len, rows.values()))
+
+
+@pytest.mark.parametrize("operator", [tracks.rate_limit, tracks.trail_outliers, tracks.kalman])
+def test_a_vessel_on_air_without_a_break(spark, operator):
+    """One vessel's unbroken 200,000 fixes, dealt over many partitions, without gathering them in a row."""
+    fixes = spark.range(0, 200_000, 1, 8).select(F.lit(261000001).alias("mmsi"), (F.col("id") + 1704067200).alias("t_s"), F.col("id").alias("seq"), F.lit(14.5).alias("lng"), F.lit(53.4).alias("lat"))
+    got = operator(fixes)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert got.agg(F.count("*"), F.countDistinct("seq")).first() == (200_000, 200_000)

@@ -47,3 +47,18 @@ def test_upsert_is_idempotent(spark, tmp_path):
     sink(second, 1)
     got = {tuple(r) for r in spark.read.parquet(sink.current()).collect()}
     assert got == {(1, 3, "a", 7), (2, 2, "b", None), (3, 4, "c", 1)}
+
+
+@pytest.mark.parametrize("name", ["kalman", "rate_limit", "hysteresis"])
+def test_carried_state_stream(spark, landed, tmp_path, name):
+    """Two batches, the second of which goes on from the first one's state."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    rows = spark.read.parquet(landed).withColumn("sog", F.col("sog_t") / 10).cache()
+    half = int(rows.approxQuantile("t_s", [0.5], 0)[0])
+    for part in (rows.where(F.col("t_s") <= half), rows.where(F.col("t_s") > half)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+        stream = getattr(live, name)(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows")))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    want = tracks.hysteresis(rows, F.col("sog")).select("mmsi", "seq", "session", "moving") if name == "hysteresis" else getattr(tracks, name)(rows)
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(want.columns).collect()}
+    assert got == {tuple(r) for r in want.collect()} and got
