@@ -3,17 +3,18 @@
 Tokens are runs of value characters and single marks; chains are lines. Each token is tagged as the begin
 of a secret, inside or outside one, from its shape, the tokens beside it and the make-up of its document;
 Viterbi decodes the tags. The chain learns from what the fixed base patterns find in a sample of at most
-``at_most`` documents and ``max_bytes`` of text, half of them with a find where there are enough; it doesn't
+``at_most`` documents and ``max_bytes`` of text, half of them from all documents with a find; it doesn't
 see the patterns themselves, so it tags look-alikes as well. Decoded runs that overlap no base span are
 added to those.
 
-Defined results: null and empty texts have no spans; without any base find in the sample nothing is added;
+Defined results: null and empty texts have no spans; without any base find in the table nothing is added;
 rows are independent of one another; columns of the input named like an output column are replaced.
 """
 
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from seamark.llm import crf
 from seamark.llm import textbytes as tb
-from seamark.llm.common import bounded, read
+from seamark.llm.common import read
 
 #: Kinds in the order in which spans of one start are listed, and the base patterns.
 KINDS = ("assign", "access", "hex")
@@ -115,12 +116,22 @@ class SecretModel:
             yield int(rows[a]), int(starts[a]), int(ends[last])
 
 
+def sample(docs: DataFrame, text: str, at_most: int, max_bytes: int, key: str = "doc_id") -> DataFrame:
+    """(text) of documents to learn from: of all with a find, and of all others, an even half each by a hash of ``key``."""
+    some = docs.where(F.length(F.col(text)) > 0).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("hit", F.col("text").rlike(ANY))
+    counts = {r["hit"]: r for r in some.groupBy("hit").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    halves = []
+    for seed, (hit, r) in enumerate(sorted(counts.items())):
+        most = max(1, min(at_most // 2, r["n"] * (max_bytes // 2) // r["size"]))
+        share = F.pmod(F.xxhash64("key", F.lit(101 + seed)), F.lit(1 << 30))
+        # In order of the hash, so that the bound on rows takes an even sample as well.
+        near = some.where((share < int((1 << 30) * min(1.0, 1.1 * most / r["n"] + 20 / r["n"]))) & (F.col("hit") == hit))
+        halves.append(near.orderBy(share, F.xxhash64("text")).limit(most).select("text"))
+    return reduce(DataFrame.union, halves) if halves else some.select("text")
+
+
 def fit(docs: DataFrame, text: str = "text", at_most: int = 3000, max_bytes: int = 12 << 20) -> SecretModel:
-    some = docs.where(F.length(F.col(text)) > 0).select(F.col(text).cast("string").alias("text"))
-    # Of ten times the sample, those with a find and as many others.
-    pool = bounded(some, 10 * at_most, "text").withColumn("hit", F.col("text").rlike(ANY))
-    half = lambda hit: bounded(pool.where(F.col("hit") == hit), at_most // 2, "text", max_bytes=max_bytes // 2)
-    texts = half(True).union(half(False)).select("text").toArrow().column("text")
+    texts = sample(docs, text, at_most, max_bytes).toArrow().column("text")
     data, offsets = tb.flat(texts)
     starts, ends, rows, begin = tokens(data, offsets)
     states = np.zeros(len(starts), np.int64)

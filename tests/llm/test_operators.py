@@ -271,3 +271,15 @@ def test_pieces(odd, empty):
     word = "internationalisation of everything"
     assert a.encode(word, 1) == a.encode(word, 1) and len({tuple(e.encode(word, k)) for e in (a, b) for k in range(20)}) > 3
     assert pieces.encode(empty, vocabulary).count() == 0
+
+
+def test_rare_secrets_are_learnt_from(spark):
+    """Two finds in 20,000 documents, far outside a pool of 200; and a bound on rows takes no head of the table."""
+    secret = F.when(F.col("id").isin(77, 19_003), F.concat(F.lit("password = abcdef"), F.col("id"))).otherwise(F.concat(F.lit("plain words "), F.col("id")))
+    docs = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), secret.alias("text"))
+    assert secrets.fit(docs, at_most=20).chain is not None
+    got = [r["text"] for r in secrets.sample(docs, "text", 2000, 1 << 20).collect()]
+    at = [int(re.search(r"[0-9]+$", t)[0]) for t in got if t.startswith("plain")]
+    assert len(got) - len(at) == 2 and len(at) == 1000 and 400 < sum(k < 10_000 for k in at) < 600
+    copies = docs.select("doc_id", F.lit("token = abcdef123").alias("text"))
+    assert secrets.sample(copies, "text", 2000, 1 << 20).count() == 1000
