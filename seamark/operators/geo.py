@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,12 +140,26 @@ def near(positions: DataFrame, lng: float, lat: float, metres: float) -> DataFra
 def nearby_pairs(fixes: DataFrame, metres: float, cell_deg: float = 0.02) -> DataFrame:
     """(a, b, metres) of vessels, a < b, at most metres apart: rows meet in grid cells, one side also in the cells around.
 
-    cell_deg must span at least metres in both directions.
+    Cells span cell_deg, or more where metres need it: latitude is cut in bands, and each band's circle in equal
+    cells as wide as metres reach at its end nearer to a pole. They wrap at 180 degrees; at a pole one cell is a band.
     """
-    rows = fixes.where("lng IS NOT NULL AND lat IS NOT NULL").withColumns({"cx": F.floor(F.col("lng") / cell_deg), "cy": F.floor(F.col("lat") / cell_deg)})
-    left = rows.select(F.col("mmsi").alias("a"), F.col("lng").alias("lng_a"), F.col("lat").alias("lat_a"), "cx", "cy")
-    around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    right = rows.select(F.col("mmsi").alias("b"), F.col("lng").alias("lng_b"), F.col("lat").alias("lat_b"), "cx", "cy").withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    right = right.withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
+    # A trifle more than metres, so that rounding loses no pair.
+    angle = metres / 6_371_008.8 * (1 + 1e-9) + 1e-12
+    height = max(cell_deg, math.degrees(angle))
+    rows = fixes.where("lng IS NOT NULL AND lat IS NOT NULL").select("mmsi", "lng", "lat", F.floor(F.col("lat") / height).alias("cy"))
+
+    def cells(band: Column) -> Column:
+        end = F.greatest(F.abs(band * height), F.abs((band + 1) * height))
+        reach = F.degrees(F.asin(F.lit(math.sin(angle)) / F.cos(F.radians(end)))) * (1 + 1e-9)
+        return F.when(end + math.degrees(angle) >= 90, 1).otherwise(F.greatest(F.floor(360 / F.greatest(reach, F.lit(cell_deg))), F.lit(1))).cast("long")
+
+    def cell(band: Column) -> Column:
+        return F.floor((F.col("lng") + 180) / 360 * cells(band))
+
+    left = rows.select(F.col("mmsi").alias("a"), F.col("lng").alias("lng_a"), F.col("lat").alias("lat_a"), "cy", F.pmod(cell(F.col("cy")), cells(F.col("cy"))).alias("cx"))
+    right = rows.withColumn("cy", F.explode(F.array(*(F.col("cy") + k for k in (-1, 0, 1)))))
+    # Of three cells or fewer in a band, some are the same on both sides.
+    around = F.array_distinct(F.array(*(F.pmod(cell(F.col("cy")) + k, cells(F.col("cy"))) for k in (-1, 0, 1))))
+    right = right.select(F.col("mmsi").alias("b"), F.col("lng").alias("lng_b"), F.col("lat").alias("lat_b"), "cy", F.explode(around).alias("cx"))
     d = ais.great_circle_m(F.col("lng_a"), F.col("lat_a"), F.col("lng_b"), F.col("lat_b"))
     return left.join(right, ["cx", "cy"]).where("a < b").withColumn("metres", d).where(F.col("metres") <= metres).select("a", "b", "metres")

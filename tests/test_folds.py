@@ -140,3 +140,25 @@ def test_a_vessel_on_air_without_a_break(spark, operator):
     got = operator(fixes)
     assert "collect_list" not in got._jdf.queryExecution().toString()
     assert got.agg(F.count("*"), F.countDistinct("seq")).first() == (200_000, 200_000)
+
+
+@pytest.mark.parametrize("metres", [1000.0, 5000.0])
+def test_nearby_pairs_anywhere(spark, metres):
+    """Against every pair: at all latitudes, across the 180th meridian and around the poles."""
+    import random
+
+    draw, spots = random.Random(7), []
+    for lat in (0.0, 53.0, -64.0, 75.0, 85.0, 89.5, 89.99, -89.995):
+        for lng in (14.5, 179.99, -180.0):
+            for _ in range(12):
+                east = draw.uniform(-0.1, 0.1) / max(math.cos(math.radians(lat)), 1e-3)
+                spots.append(((lng + east + 180) % 360 - 180, max(-90.0, min(90.0, lat + draw.uniform(-0.05, 0.05)))))
+    fixes = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(spots)], "mmsi int, lng double, lat double")
+    want = set()
+    for a, (x, y) in enumerate(spots):
+        for b, (u, v) in enumerate(spots[a + 1 :], a + 1):
+            h = math.sin(math.radians(v - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(v)) * math.sin(math.radians(u - x) / 2) ** 2
+            if 2 * 6_371_008.8 * math.asin(math.sqrt(h)) <= metres:
+                want.add((a, b))
+    got = [(r["a"], r["b"]) for r in geo.nearby_pairs(fixes, metres).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
