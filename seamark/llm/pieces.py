@@ -1,9 +1,9 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 The merge-type (BPE) vocabulary of a model file is applied from an agenda: the candidate merge of highest
-score, the leftmost of equals, is taken next, and skipped if a keyed hash of seed, variant, text and place
-falls below ``dropout``. A skipped candidate returns only when a neighbour changes. Each document draws one
-of ``VARIANTS`` variants from its own key, so equal words are cut differently in different documents, and
+score, the leftmost of equals, is taken next, and skipped if a keyed hash of seed, document, place of the word
+and of the merge falls below ``dropout``. A skipped candidate returns only when a neighbour changes. So equal
+words are cut differently in different documents and places, and
 the same run always gives the same pieces, whichever executor makes them. Without dropout the result is
 that of the model's own encoder.
 
@@ -29,8 +29,7 @@ from seamark.llm.common import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-VARIANTS = 4
-#: Words remembered by a task, over all variants; then it starts anew.
+#: Words remembered by a task, with their merges without dropout; then it starts anew.
 MEMO = 300_000
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
 _M64 = (1 << 64) - 1
@@ -71,8 +70,8 @@ class Vocabulary:
             raise ValueError("pieces that run across words aren't supported")
         return cls(ids, scores, first, out)
 
-    def split(self, chunk: str, key: int, dropout: float) -> list[int]:
-        """Ids of a chunk (leading spaces and what follows); key: of the keyed hash."""
+    def split(self, chunk: str, key: int, dropout: float, merges: list[int] | None = None) -> list[int]:
+        """Ids of a chunk (leading spaces and what follows); key: of the keyed hash. The terms of the hash are added to merges."""
         sym: list[str | None] = [MARK if c == " " else c for c in chunk]
         literal = {i for i, c in enumerate(chunk) if c == MARK}
         n = len(sym)
@@ -93,7 +92,10 @@ class Vocabulary:
             _, i, j, both = heapq.heappop(agenda)
             if sym[i] is None or sym[j] is None or right[i] != j or sym[i] + sym[j] != both:
                 continue  # a part of it has gone into another merge
-            if cut and _mix(key + i * 0x9E3779B97F4A7C15 + self.ids[both] * 0xD6E8FEB86659FD93 & _M64) < cut:
+            term = i * 0x9E3779B97F4A7C15 + self.ids[both] * 0xD6E8FEB86659FD93 & _M64
+            if merges is not None:
+                merges.append(term)
+            if cut and _mix(key + term & _M64) < cut:
                 continue
             sym[i], sym[j] = both, None
             right[i] = right[j]
@@ -114,33 +116,39 @@ class Vocabulary:
 
 
 class Encoder:
-    """Cuts texts into ids and remembers words."""
+    """Cuts texts into ids and remembers how words are cut without dropout."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int):
-        self.vocabulary, self.dropout = vocabulary, dropout
-        self.memos = [_Memo(vocabulary, dropout, _mix(seed * VARIANTS + v + 1)) for v in range(VARIANTS if dropout else 1)]
+        self.vocabulary, self.dropout, self.seed = vocabulary, dropout, _mix(seed + 1 & _M64)
+        self.memo = _Memo(vocabulary)
 
     def encode(self, text: str, key: int) -> list[int]:
         if not text:
             return []
-        if sum(map(len, self.memos)) > MEMO:
-            for m in self.memos:
-                m.clear()
-        memo = self.memos[_mix(key & _M64) % len(self.memos)]
-        return list(chain.from_iterable(map(memo.__getitem__, _CHUNK.findall(" " + text))))
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        chunks = _CHUNK.findall(" " + text)
+        if not self.dropout:
+            return list(chain.from_iterable(self.memo[c][0] for c in chunks))
+        out, own, cut = [], _mix(self.seed ^ key & _M64), int(self.dropout * (1 << 64))
+        for place, chunk in enumerate(chunks):
+            ids, merges = self.memo[chunk]
+            at = _mix(own + place * 0xA0761D6478BD642F & _M64)
+            # Until a merge is dropped, the agenda is the same as without dropout.
+            if any(_mix(at + m & _M64) < cut for m in merges):
+                ids = self.vocabulary.split(chunk, at, self.dropout)
+            out += ids
+        return out
 
 
 class _Memo(dict):
-    def __init__(self, vocabulary: Vocabulary, dropout: float, key: int):
+    def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.dropout, self.key = vocabulary, dropout, key
-
-    def __missing__(self, chunk: str) -> list[int]:
-        key = self.key
-        if self.dropout:
-            for b in chunk.encode():
-                key = (key ^ b) * 0x100000001B3 & _M64
-        out = self.vocabulary.split(chunk, key, self.dropout)
+        self.vocabulary = vocabulary
+
+    def __missing__(self, chunk: str) -> tuple[list[int], list[int]]:
+        merges: list[int] = []
+        out = self.vocabulary.split(chunk, 0, 0.0, merges), merges
         if len(chunk) <= 64:
             self[chunk] = out
         return out

@@ -283,3 +283,19 @@ def test_rare_secrets_are_learnt_from(spark):
     assert len(got) - len(at) == 2 and len(at) == 1000 and 400 < sum(k < 10_000 for k in at) < 600
     copies = docs.select("doc_id", F.lit("token = abcdef123").alias("text"))
     assert secrets.sample(copies, "text", 2000, 1 << 20).count() == 1000
+
+
+def test_pieces_vary_by_document_and_place():
+    """A word of many documents, or many times in one, has more than a handful of cuts; the shortcut equals the agenda."""
+    vocabulary = pieces.Vocabulary.load()
+    encoder = pieces.Encoder(vocabulary, 0.3, 1)
+    assert len({tuple(encoder.encode("internationalisation", k)) for k in range(200)}) > 10
+    ids = encoder.encode(" ".join(["internationalisation"] * 200), 5)
+    words = collections.Counter(vocabulary.decode([0, *ids]).split())
+    assert words == {"internationalisation": 200}
+    assert len({tuple(encoder.encode("a " * n + "internationalisation", 5)[-8:]) for n in range(50)}) > 4
+    merges = []
+    plain = vocabulary.split(" internationalisation", 0, 0.0, merges)
+    cut = int(0.05 * (1 << 64))
+    kept = [k for k in range(200) if all(pieces._mix(k + m & (1 << 64) - 1) >= cut for m in merges)]
+    assert kept and all(vocabulary.split(" internationalisation", k, 0.05) == plain for k in kept)
