@@ -1,21 +1,23 @@
 """N-gram Jaccard join with signature trees, and the components of its links.
 
 A document's set holds the hashes of its distinct runs of five words. Documents of equal sets are one
-representative. Two representatives can reach similarity t only if they share one of the first
-n - ceil(t n) + 1 elements of their sets in any common order; the order used here puts elements of
-frequent buckets last (counts of all elements in a fixed table of buckets), so that common passages
-rarely decide. Representatives that share such a key form a group, and each group is joined by a
-signature tree: nodes hold OR-combined token bitmaps and size ranges, and a dual traversal prunes node
-pairs by the largest overlap that they allow. Pairs that are left are verified on the sets themselves.
-
-Links only matter for components, so a group is joined in two rounds: the first compares its members
-with one block of them and verifies a spanning forest; the second compares members that are still in
-different components, all blocks. Large groups are cut into blocks of ``BLOCK`` members, each pair of
-blocks in a task of its own. Keys that a bucket count proves rare are grouped in packed form; the others
-by aggregation and a join, which Spark can split.
+representative. ``prefix`` gives each representative that can meet another one its keys: elements of its
+set in the order of real document frequencies, rarest first. Representatives that share a key form a group,
+and each group is joined by a signature tree: nodes hold OR-combined token bitmaps and size ranges, and a
+dual traversal prunes node pairs by the largest overlap that they allow. Pairs that are left are verified on
+the sets themselves.
+
+Links only matter for components, so the groups are joined in rounds, and what is linked is contracted
+before the next one. In the first rounds each representative is in one group only, of an element that
+similar texts most likely agree on, and the trees of a group propose a spanning forest. The last round
+takes every key of the prefix, which no link escapes, but only groups whose members are still in different
+components, and pairs across components. Large groups are cut into blocks of ``BLOCK`` members, each pair of
+blocks in a task of its own.
 
 Defined results: a null text, an empty one or one without words has an empty set and stands alone;
-fewer than five words are one element; rows that share a doc_id are one node; null ids stand alone.
+fewer than five words are one element; rows that share a doc_id are one node, whatever their texts; null
+ids stand alone; an empty table gives an empty result. Texts are used whole, however long. Only the two
+columns that are named are read, so others may have any name; the result has its own three columns.
 """
 
 from __future__ import annotations
@@ -27,16 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamark.llm import prefix
 from seamark.llm import textbytes as tb
 from seamark.llm.common import read, stored
 from seamark.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 80
-BUCKETS = 1 << 20
-CHUNK = 1 << 12
-#: A bitmap has two to four bits for each element, a power of two in all.
-LEAST_BITS = 256
 BLOCK = 512
 LEAF = 16
 #: Pairs of ids are sent to every task only up to this many ids; beyond that they are joined by a shuffle.
@@ -64,10 +63,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     return np.concatenate(out_rows), np.concatenate(out)
 
 
-def sets(data: np.ndarray, offsets: np.ndarray, level: np.ndarray | None = None, size: int = SHINGLE):
-    """(bounds of each row, its distinct hashes in the common order)."""
+def sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds of each row, its distinct hashes in order)."""
     rows, h = shingles(data, offsets, size)
-    order = np.lexsort((h, rows)) if level is None else np.lexsort((h, level[_bucket(h)], rows))
+    order = np.lexsort((h, rows))
     rows, h = rows[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
@@ -75,165 +74,20 @@ def sets(data: np.ndarray, offsets: np.ndarray, level: np.ndarray | None = None,
     return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(offsets) - 1))]), h
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+def signatures(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE) -> DataFrame:
+    """Per row: id, set size and a 128-bit hash of the set."""
 
-
-def _width(n: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap of a set of n elements."""
-    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64))
-
-
-def levels(docs: DataFrame, text: str, size: int = SHINGLE) -> np.ndarray:
-    """For each bucket of hashes how much fuller than the mean it is, as a power of two; 0 proves all its elements rare."""
-
-    def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            data, at = tb.flat(b.column(0))
-            for i, j in tb.pieces(at):
-                _, h = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
-                total += np.bincount(_bucket(h), minlength=BUCKETS)
-        if total.any():
-            small = np.uint16 if total.max() < 65536 else np.int64
-            kept = [total[k : k + CHUNK].astype(small).tobytes() for k in range(0, BUCKETS, CHUNK)]
-            yield pa.record_batch([pa.array(range(len(kept)), pa.int32()), pa.array(kept, pa.binary())], ["chunk", "counts"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(c, np.uint16 if len(c) == 2 * CHUNK else np.int64)
-                total[k] = total.get(k, 0) + v.astype(np.int64)
-        if total:
-            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
-
-    kind = "chunk int, counts binary"
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in docs.select(text).mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).toLocalIterator():
-        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
-    mean = max(counts.mean(), 1.0)
-    return np.where(counts > 2 * mean + 8, np.log2(np.maximum(counts, 1) / mean), 0).astype(np.uint8)
-
-
-def profiles(docs: DataFrame, doc_id: str, text: str, level: np.ndarray, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: set size, a 128-bit hash of the set, its rare and frequent prefix keys and its token bitmap."""
-
-    def profile(batches):
+    def sign(batches):
         for b in batches:
             data, at = tb.flat(b.column(1))
             for i, j in tb.pieces(at):
-                bounds, h = sets(data[at[i] : at[j]], at[i : j + 1] - at[i], level, size)
-                n = np.diff(bounds)
-                row = np.repeat(np.arange(j - i), n)
-                rank = np.arange(len(h)) - np.repeat(bounds[:-1], n)
-                prefix = rank < np.repeat(n - (percent * n + 99) // 100 + 1, n)
-                frequent = level[_bucket(h)] > 0
-                sums = [np.concatenate([[0], np.cumsum(tb.splitmix(h ^ np.uint64(s)).astype(np.uint64))]).astype(np.uint64) for s in (0, 0x5DEECE66D)]
+                bounds, h = sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
+                sums = [np.concatenate([[np.uint64(0)], np.cumsum(tb.splitmix(h ^ np.uint64(s)), dtype=np.uint64)]) for s in (0, 0x5DEECE66D)]
                 signs = [pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums]
-                packed: list[bytes] = [b""] * (j - i)
-                width = _width(n)
-                for w in np.unique(width):
-                    own = np.flatnonzero(width == w)
-                    spot = np.full(j - i, -1)
-                    spot[own] = np.arange(len(own))
-                    at_w = np.flatnonzero(spot[row] >= 0)
-                    bits = np.zeros((len(own), w), bool)
-                    bits[spot[row[at_w]], ((h[at_w] >> np.uint64(20)) & np.uint64(w - 1)).astype(np.int64)] = True
-                    for k, v in zip(own, np.packbits(bits, axis=1), strict=True):
-                        packed[k] = v.tobytes()
-                # In the smaller set of a pair the first common key is among the first n - ceil(2 t n / (1 + t)) + 1.
-                short = rank <= np.repeat(n - (2 * percent * n + 99 + percent) // (100 + percent), n)
-                codes = (np.minimum(np.repeat(n, n), 32767) * 2 + short).astype(np.int32)
-                keys = []
-                for m in (prefix & ~frequent, prefix & frequent):
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(row[m], minlength=j - i))]).astype(np.int32)
-                    keys.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(h[m].view(np.int64))))
-                    if not len(keys) - 1:
-                        keys.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[m])))
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *signs, *keys, pa.array(packed, pa.binary())], ["doc_id", "n", "s1", "s2", "rare", "codes", "frequent", "bitmap"])
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(np.diff(bounds).astype(np.int64)), *signs], ["doc_id", "n", "s1", "s2"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string"))
-    return rows.mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, rare array<long>, codes array<int>, frequent array<long>, bitmap binary")
-
-
-def _grouped_rare(reps: DataFrame, percent: int) -> DataFrame:
-    """(gid, rep) of the groups of at least two that share a rare key; equal groups of a task once.
-
-    Keys travel packed, many to a row. A rare key's bucket count bounds the members of its group, so no
-    task gets more than its share; the number of tasks follows the number of keys.
-    """
-    total = reps.agg(F.sum(F.size("rare"))).first()[0] or 0
-    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 2_000_000))
-
-    def pack(batches):
-        for b in batches:
-            lists = b.column(1)
-            n = np.diff(lists.offsets.to_numpy())
-            key = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            rep = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n)
-            code = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.uint16)[:, None]
-            part = (tb.splitmix(key) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(cut))
-            # 48 bits of a key (a false meeting only makes a candidate) with its code, and ids from the batch's lowest up.
-            low = rep.min() if len(rep) else 0
-            wide = np.uint64 if len(rep) and rep.max() - low >= 1 << 32 else np.uint32
-            keys = np.concatenate([key[order].view(np.uint16).reshape(-1, 4)[:, 1:], code[order]], 1)
-            ids = (rep[order] - low).astype(wide)
-            head = np.array([low, np.dtype(wide).itemsize], np.int64).tobytes()
-            yield pa.record_batch([pa.array(full.astype(np.int64)), pa.array([head + keys[cut[p] : cut[p + 1]].tobytes() + ids[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary())], ["part", "pairs"])
-
-    def unpack(blob):
-        low, width = np.frombuffer(blob, np.int64, 2)
-        n = (len(blob) - 16) // (8 + int(width))
-        both = np.frombuffer(blob, np.uint16, 4 * n, 16).reshape(n, 4)
-        keys = np.zeros((n, 4), np.uint16)
-        keys[:, 1:] = both[:, :3]
-        ids = np.frombuffer(blob, np.uint32 if width == 4 else np.uint64, n, 16 + 8 * n)
-        return np.stack([keys.view(np.int64).ravel(), both[:, 3].astype(np.int64), ids.astype(np.int64) + low])
-
-    def meet(batches):
-        got = [unpack(v) for b in batches for v in b.column(1).to_pylist()]
-        if not got:
-            return
-        both = np.concatenate(got, 1)
-        both = both[:, np.lexsort((both[2], both[1] >> 1, both[0]))]
-        # Members stay that have a partner of a size to reach, the smaller of the two by a short prefix.
-        key, size, short = both[0], both[1] >> 1, (both[1] & 1) > 0
-        same = np.append(key[1:] == key[:-1], False)
-        above = np.append(size[1:], 0)
-        stay = short & same & ((percent * above <= 100 * size) | (size == 32767))
-        at = np.arange(len(key))
-        last = np.maximum.accumulate(np.where(short, at, -1))
-        last = np.concatenate([[-1], last[:-1]]) if len(last) else last
-        near = np.maximum(last, 0)
-        stay |= (last >= 0) & (key[near] == key) & ((100 * size[near] >= percent * size) | (size == 32767))
-        both = both[:, stay][[0, 2]]
-        if not both.shape[1]:
-            return
-        both = both[:, np.lexsort((both[1], both[0]))]
-        new = np.ones(both.shape[1], bool)
-        new[1:] = (both[:, 1:] != both[:, :-1]).any(0)
-        both = both[:, new]
-        first = np.flatnonzero(np.concatenate([[True], both[0, 1:] != both[0, :-1]]))
-        n = np.diff(np.append(first, both.shape[1]))
-        gid = np.add.reduceat(tb.splitmix(both[1].view(np.uint64)), first) + n.astype(np.uint64)
-        _, once = np.unique(gid, return_index=True)
-        once = once[n[once] > 1]
-        take = np.repeat(first[once], n[once]) + np.arange(n[once].sum()) - np.repeat(np.cumsum(n[once]) - n[once], n[once])
-        yield pa.record_batch([pa.array(np.repeat(gid[once], n[once]).view(np.int64)), pa.array(both[1, take])], ["gid", "rep"])
-
-    packed = reps.where(F.size("rare") > 0).select("rep", "rare", "codes").mapInArrow(pack, "part long, pairs binary")
-    return packed.repartition(parts, "part").mapInArrow(meet, "gid long, rep long")
-
-
-def _grouped_frequent(reps: DataFrame) -> DataFrame:
-    """The same for frequent keys, of which any one may hold a large part of all rows."""
-    posts = reps.where(F.size("frequent") > 0).select("rep", F.explode("frequent").alias("key"))
-    stats = posts.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("lo < hi")
-    return posts.join(stats, "key").select(F.xxhash64("lo", "hi", "c", "x").alias("gid"), "rep")
+    return rows.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -354,10 +208,15 @@ def _forest(a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def _by_short(n: np.ndarray, short: np.ndarray, i: np.ndarray, m: np.ndarray, other: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the key can be the first common one of a pair: it is in the short prefix of the smaller set."""
+    return ((n[i] > m[j]) | short[i]) & ((m[j] > n[i]) | other[j])
+
+
 def _tree_pairs(members: DataFrame, bitmaps: DataFrame, spanning: bool, percent: int) -> DataFrame:
     """Distinct (a, b), a < b: pairs of each group that its signature tree doesn't rule out.
 
-    members: (task, side, rep, comp); bitmaps: (rep, n, bitmap). Sides 0 and 1 are compared with each other, side 2 with itself.
+    members: (task, side, rep, comp, short); bitmaps: (rep, n, bitmap). Sides 0 and 1 are compared with each other, side 2 with itself.
     """
 
     def bitmaps_of(t, at):
@@ -366,8 +225,8 @@ def _tree_pairs(members: DataFrame, bitmaps: DataFrame, spanning: bool, percent:
 
     def join(batches):
         for t in _runs(batches):
-            task, side, rep, n, comp = (t.column(c).to_numpy() for c in ("task", "side", "rep", "n", "comp"))
-            bitmap, width = t.column("bitmap"), _width(n)
+            task, side, rep, n, comp, short = (t.column(c).to_numpy() for c in ("task", "side", "rep", "n", "comp", "short"))
+            bitmap, width = t.column("bitmap"), prefix.width(n)
             edge = np.append(np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])), len(task))
             out = [np.zeros((0, 2), np.int64)]
             twos = edge[:-1][(np.diff(edge) == 2)]
@@ -379,7 +238,7 @@ def _tree_pairs(members: DataFrame, bitmaps: DataFrame, spanning: bool, percent:
                 bits = bitmaps_of(bitmap, both)
                 leaf = (bits, n[both], n[both], n[both] - np.bitwise_count(bits).sum(1), comp[both], comp[both])
                 k = np.arange(0, len(both), 2)
-                k = k[SignatureTree.may(leaf, k, leaf, k + 1, percent)]
+                k = k[SignatureTree.may(leaf, k, leaf, k + 1, percent) & _by_short(n[both], short[both], k, n[both], short[both], k + 1)]
                 out.append(np.stack([rep[both[k]], rep[both[k + 1]]], 1))
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if e - s < 2 or s in done:
@@ -405,7 +264,9 @@ def _tree_pairs(members: DataFrame, bitmaps: DataFrame, spanning: bool, percent:
                             continue
                         first = tree(x, w, min(v, w))
                         i, j, bound = first.join(first if (x, w) == (y, v) else tree(y, v, min(v, w)), percent)
-                        own.append((rep[at][i], rep[by[y, v][0]][j], bound))
+                        to = by[y, v][0]
+                        ok = _by_short(n[at], short[at], i, n[to], short[to], j)
+                        own.append((rep[at][i[ok]], rep[to][j[ok]], bound[ok]))
                 if own:
                     a, b, bound = (np.concatenate(p) for p in zip(*own, strict=True))
                     out.append(np.stack([a, b], 1)[_forest(a, b, bound) if spanning else slice(None)])
@@ -413,7 +274,7 @@ def _tree_pairs(members: DataFrame, bitmaps: DataFrame, spanning: bool, percent:
             pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], 1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    rows = members.join(bitmaps, "rep").select("task", "side", "rep", "n", "bitmap", "comp").repartition("task").sortWithinPartitions("task")
+    rows = members.join(bitmaps, "rep").select("task", "side", "rep", "n", "bitmap", "comp", "short").repartition("task").sortWithinPartitions("task")
     return rows.mapInArrow(join, "a long, b long").distinct()
 
 
@@ -422,8 +283,8 @@ def _with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold.
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold; texts: (id, text).
 
     The texts of all partners of one document meet it in a task, ``BLOCK`` of them at most; they travel
     as texts, which are smaller than their sets.
@@ -440,7 +301,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: i
             a_out, b_out = [], []
             meta = [b.column(k).to_pylist() for k in range(3)]
             for i, j in tb.pieces(at):
-                bounds, h = sets(data[at[i] : at[j]], at[i : j + 1] - at[i], None, size)
+                bounds, h = sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
                 for k in range(i, j):
                     own = h[bounds[k - i] : bounds[k - i + 1]]
                     if meta[0][k] != task:
@@ -456,63 +317,103 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: i
                             b_out.append(meta[2][k])
             yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     met = _with_ids(texts, roles, "inner").select("task", "side", "id", "text").repartition("task").sortWithinPartitions("task", "side")
     return met.mapInArrow(check, "a long, b long").distinct()
 
 
+COLS = ("task", "side", "rep", "comp")
+
+
+def _joined(groups: DataFrame, profiles: DataFrame, comp: DataFrame | None, spanning: bool, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that the trees of groups (gid, rep, short) don't rule out; comp: (node, component) so far.
+
+    Members of a group's largest component meet the others only. spanning: a forest of each task's pairs, from
+    every block with itself and with block 0; otherwise all pairs of blocks.
+    """
+    known = groups.withColumn("comp", F.col("rep"))
+    if comp is not None:
+        known = groups.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    # Groups of one component only have nothing to add, and of groups of equal members one is enough.
+    own = F.xxhash64("rep", "short")
+    span = known.groupBy("gid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("c"), F.bit_xor(own).alias("x"), F.sum(F.pmod(own, F.lit((1 << 31) - 1))).alias("y")).where("c0 < c1")
+    once = span.groupBy("lo", "hi", "c", "x", "y").agg(F.min("gid").alias("gid")).select("gid")
+    members = stored(known.join(once, "gid"))
+    sizes = members.groupBy("gid", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("gid").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("g")).select("gid", F.when(F.col("top.c") > 1, F.col("top.comp")).alias("top"), (F.col("g") - F.when(F.col("top.c") > 1, F.col("top.c")).otherwise(0)).alias("strays"), F.when(F.col("top.c") > 1, F.col("top.c")).otherwise(0).alias("mains"))
+    rest = members.join(main, "gid").withColumns({"ns": F.ceil(F.col("strays") / BLOCK), "nm": F.ceil(F.col("mains") / BLOCK)})
+    stray = rest.where("NOT comp <=> top").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("ns")))
+    major = rest.where("comp <=> top").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nm")))
+    cols, zero = [*COLS, "short"], F.lit(0).cast("long")
+    if spanning:
+        alone = stray.withColumns({"task": F.xxhash64("gid", "block"), "side": F.lit(2)})
+        others = stray.where("block > 0").withColumns({"p": F.col("block"), "side": F.lit(1)})
+        firsts = stray.where("block = 0 AND ns > 1").withColumn("p", F.explode(F.sequence(F.lit(1).cast("long"), F.col("ns") - 1))).withColumn("side", F.lit(0))
+        s_s = alone.select(cols).union(others.unionByName(firsts).withColumn("task", F.xxhash64("gid", F.lit("first"), "p")).select(cols))
+    else:
+        # Two tasks for each pair of stray blocks would be one too many: the lower block is side 0.
+        s_s = stray.withColumn("p", F.explode(F.sequence(zero, F.col("ns") - 1))).withColumns({"task": F.xxhash64("gid", F.lit("ss"), F.least("block", "p"), F.greatest("block", "p")), "side": F.when(F.col("block") == F.col("p"), 2).when(F.col("block") < F.col("p"), 0).otherwise(1)}).select(cols)
+    s_m = stray.where("nm > 0").withColumn("p", F.explode(F.sequence(zero, F.col("nm") - 1))).withColumns({"task": F.xxhash64("gid", F.lit("sm"), "block", "p"), "side": F.lit(0)})
+    m_s = major.withColumn("p", F.explode(F.sequence(zero, F.col("ns") - 1))).withColumns({"task": F.xxhash64("gid", F.lit("sm"), "p", "block"), "side": F.lit(1)})
+    return _tree_pairs(s_s.union(s_m.select(cols)).union(m_s.select(cols)), profiles.select("rep", "n", "bitmap"), spanning, percent)
+
+
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles, representatives of equal sets, components of the representatives that have links)."""
-    level = levels(docs, text, size)
-    prof = stored(profiles(docs, doc_id, text, level, size, percent))
+    """(ids with signatures, representatives of equal sets, components of the ids that have links)."""
     sign = ["n", "s1", "s2"]
-    reps = stored(prof.where("n > 0 AND doc_id IS NOT NULL").groupBy(*sign).agg(F.min("doc_id").alias("rep")))
-    some = prof.where("n > 0 AND doc_id IS NOT NULL")
-    copies = stored(some.select("doc_id", *sign).join(reps.withColumnRenamed("rep", "doc_id"), [*sign, "doc_id"], "left_anti").select(F.col("doc_id").alias("id")))
-    own = _with_ids(some.withColumnRenamed("doc_id", "id"), copies, "left_anti").select(F.col("id").alias("rep"), "n", "bitmap", "rare", "codes", "frequent")
-    groups = stored(_grouped_rare(own, percent).union(_grouped_frequent(own)).distinct())
-    groups = groups.join(groups.groupBy("gid").agg(F.count("*").alias("g")), "gid")
-    members = stored(groups.withColumns({"nb": F.ceil(F.col("g") / BLOCK), "block": F.pmod(F.xxhash64("rep"), F.ceil(F.col("g") / BLOCK))}))
-    bitmaps = own.select("rep", "n", "bitmap")
-
-    # Round 1: every block with itself and with block 0.
-    alone = members.withColumns({"task": F.xxhash64("gid", "block"), "side": F.lit(2), "comp": F.col("rep")})
-    many = members.where("nb > 1")
-    with_first = many.where("block > 0").withColumns({"other": F.col("block"), "side": F.lit(1)}).unionByName(many.where("block = 0").withColumn("other", F.explode(F.sequence(F.lit(1).cast("long"), F.col("nb") - 1))).withColumn("side", F.lit(0)))
-    with_first = with_first.withColumns({"task": F.xxhash64("gid", F.lit("first"), "other"), "comp": F.col("rep")})
-    cols = ["task", "side", "rep", "comp"]
-    found = stored(_verified(_tree_pairs(alone.select(cols).union(with_first.select(cols)), bitmaps, True, percent), docs, doc_id, text, size, percent))
-    comp = stored(components(found))
-
-    # Round 2: members that are still in different components; those of a group's largest meet the others only.
-    known = members.select("gid", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    sizes = known.groupBy("gid", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("gid").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("kinds"), F.sum("c").alias("g")).where("kinds > 1").select("gid", F.col("top.comp").alias("top"), (F.col("g") - F.col("top.c")).alias("strays"), F.col("top.c").alias("mains"))
-    rest = stored(known.join(main, "gid"))
-    block = lambda c: F.ceil(F.col(c) / BLOCK)
-    stray = rest.where("comp <> top").withColumns({"block": F.pmod(F.xxhash64("rep"), block("strays")), "ns": block("strays"), "nm": block("mains")})
-    major = rest.where("comp = top").withColumns({"block": F.pmod(F.xxhash64("rep"), block("mains")), "ns": block("strays")})
-    zero = F.lit(0).cast("long")
-    # Two tasks for each pair of stray blocks would be one too many: the lower block is side 0.
-    s_s = stray.withColumn("p", F.explode(F.sequence(zero, F.col("ns") - 1))).withColumns({"task": F.xxhash64("gid", F.lit("ss"), F.least("block", "p"), F.greatest("block", "p")), "side": F.when(F.col("block") == F.col("p"), 2).when(F.col("block") < F.col("p"), 0).otherwise(1)})
-    s_m = stray.withColumn("p", F.explode(F.sequence(zero, F.col("nm") - 1))).withColumns({"task": F.xxhash64("gid", F.lit("sm"), "block", "p"), "side": F.lit(0)})
-    m_s = major.withColumn("p", F.explode(F.sequence(zero, F.col("ns") - 1))).withColumns({"task": F.xxhash64("gid", F.lit("sm"), "p", "block"), "side": F.lit(1)})
-    more = _verified(_tree_pairs(s_s.select(cols).union(s_m.select(cols)).union(m_s.select(cols)), bitmaps, False, percent), docs, doc_id, text, size, percent)
-    return prof, reps, components(found.union(more))
+    signed = stored(signatures(docs, doc_id, text, size))
+    some = signed.where("n > 0 AND doc_id IS NOT NULL")
+    reps = stored(some.groupBy(*sign).agg(F.min("doc_id").alias("rep")))
+    # Ids of several rows: their sets are one node, and their equal rows one text.
+    several = stored(some.groupBy("doc_id").agg(F.count("*").alias("c"), (F.min(F.struct(*sign)) < F.max(F.struct(*sign))).alias("mixed")).where("c > 1"))
+    mixed = some.join(several.where("mixed").select("doc_id"), "doc_id", "left_semi").join(reps, sign).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    if several.take(1):
+        repeated = several.select(F.col("doc_id").alias("id"))
+        again = _with_ids(texts, repeated, "left_semi").groupBy("id", F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text")).drop("h")
+        texts = _with_ids(texts, repeated, "left_anti").unionByName(again)
+    copies = some.select(F.col("doc_id").alias("id")).distinct().join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_anti")
+
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    firsts = _with_ids(texts, stored(copies), "left_anti")
+    found = stored(prefix.profiles(firsts, lambda data, at: sets(data, at, size), total, percent))
+    comp = stored(components(mixed)) if several.where("mixed").take(1) else None
+    for k in range(len(prefix.SEEDS)):
+        groups = found.select(F.col("groups")[k].alias("gid"), "rep", F.lit(True).alias("short"))
+        comp = _contracted(comp, _verified(_joined(groups, found, comp, True, percent), texts, size, percent))
+    groups = found.select("rep", F.explode(F.arrays_zip("keys", "short")).alias("key")).select(F.col("key.keys").alias("gid"), "rep", F.col("key.short").alias("short"))
+    return signed, reps, _contracted(comp, _verified(_joined(groups, found, comp, False, percent), texts, size, percent))
+
+
+def _contracted(comp: DataFrame | None, more: DataFrame) -> DataFrame:
+    """The components so far, joined by the links ``more``."""
+    stars = more if comp is None else more.union(comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return stored(components(stars))
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
-    prof, reps, comp = links(docs, doc_id, text, size, percent)
+    signed, reps, comp = links(docs, doc_id, text, size, percent)
     named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    alone = prof.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return prof.where("n > 0 AND doc_id IS NOT NULL").join(named, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return signed.where("n > 0 AND doc_id IS NOT NULL").join(named, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest id of their component; rows without words stay."""
-    kept = join_components(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[doc_id].cast("long") == F.col("__keep"), "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    """One row of each component: of its smallest id, and of several rows of that id the least by a hash.
+
+    Rows without words stay, as they are linked with nothing, and so do rows without an id.
+    """
+    found = join_components(docs, doc_id, text)
+    kept = stored(found.where("n_shingles > 0 AND doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__rows")))
+    own = docs[doc_id].cast("long") == F.col("__keep")
+    free = F.col(doc_id).cast("long").isNull() | ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    out = docs.where(~free).join(kept.where("__rows = 1"), own, "left_semi").unionByName(docs.where(free))
+    if kept.where("__rows > 1").take(1):
+        again = docs.where(~free).join(kept.where("__rows > 1"), own, "left_semi")
+        one = again.groupBy(F.col(doc_id).cast("long")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(text)).alias("__row"))
+        out = out.unionByName(one.select("__row.*"))
+    return out
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

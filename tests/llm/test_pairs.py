@@ -72,11 +72,33 @@ def test_components(spark, monkeypatch, block):
     assert {r["doc_id"] for r in kept.collect()} == {*want.values(), None}
 
 
-def test_frequent_keys(spark, monkeypatch):
-    """All keys by the path for frequent ones."""
-    whole = jaccard_join.levels
-    monkeypatch.setattr(jaccard_join, "levels", lambda *a: np.maximum(whole(*a), 1))
-    rows = list(enumerate(_family(1, 60, 30, 5) + _family(2, 60, 10, 5)))
+def test_shared_ids(spark):
+    """An id with two texts is one node; repeated rows and unlike columns change nothing."""
+    words = [f"w{k}" for k in range(200)]
+    a, b = " ".join(words[:60]), " ".join(words[100:140])
+    rows = [(3, a), (5, a), (5, b), (9, b + " tail"), (9, b + " tail"), (11, b + " another end of it and more and more and more"), (4, None), (4, "")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, n string, gid int")
+    got = jaccard_join.join_components(df).collect()
+    want = _components(rows)
+    assert want[9] == 3 and sorted(r["doc_id"] for r in got) == sorted(d for d, _ in rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    kept = jaccard_join.keep_one_of_each(df).collect()
+    assert sorted(r["doc_id"] for r in kept) == [3, 4, 4, 11] and kept[0].asDict().keys() == {"doc_id", "text", "n", "gid"}
+
+
+def test_common_passages(spark, monkeypatch):
+    """Many texts that share most of their words and don't link, with a few that do; tiny chunks and tasks."""
+    monkeypatch.setattr(jaccard_join.prefix, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(jaccard_join.prefix, "TASK_ELEMENTS", 500)
+    rng = np.random.default_rng(7)
+    shared = [f"s{k}" for k in range(100)]
+    texts = []
+    for k in range(60):
+        w = [*shared, *(f"u{k}-{x}" for x in range(int(rng.integers(8, 30))))]
+        texts.append(" ".join(w))
+        if k % 6 == 0:
+            texts.append(" ".join(w[2:]))
+    rows = list(enumerate(texts))
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == _components(rows)
 
