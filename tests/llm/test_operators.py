@@ -299,3 +299,19 @@ def test_pieces_vary_by_document_and_place():
     cut = int(0.05 * (1 << 64))
     kept = [k for k in range(200) if all(pieces._mix(k + m & (1 << 64) - 1) >= cut for m in merges)]
     assert kept and all(vocabulary.split(" internationalisation", k, 0.05) == plain for k in kept)
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_pieces_equal_an_agenda_word_by_word(dropout):
+    """The agendas of many words at once against one of each word, by its own heap."""
+    vocabulary = pieces.Vocabulary.load()
+    rng = np.random.default_rng(4)
+    texts = ["", None, "a", "  two  spaces \n\n x ", "▁mark ▁▁ a▁b", "x" * 200, "日本語 テキスト 🎉🎉 ñandú", "\t tab\r\n"]
+    texts += ["".join(rng.choice(list("abcde fgh▁é\n日"), int(rng.integers(1, 80)))) for _ in range(200)]
+    keys = rng.integers(-(1 << 62), 1 << 62, len(texts))
+    ids, bounds = pieces.Encoder(vocabulary, dropout, 1).encode_all(texts, keys)
+    for k, t in enumerate(texts):
+        own = pieces._mix(pieces._mix(2) ^ int(keys[k]) & pieces._M64)
+        chunks = pieces._CHUNK.findall(" " + t) if t else []
+        want = [x for place, c in enumerate(chunks) for x in vocabulary.split(c, pieces._mix(own + place * 0xA0761D6478BD642F & pieces._M64), dropout)]
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == want
