@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from seamark.llm import textbytes as tb
 from seamark.llm.common import stored
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Elements that a task adds up, about.
-TASK_ELEMENTS = 2_000_000
+TASK_ELEMENTS = 1_000_000
 #: A bitmap has four to eight bits for each element, a power of two in all.
 LEAST_BITS = 256
 #: Keys by which a text joins its first groups, one after the other.
@@ -61,8 +61,8 @@ def _packed(key: np.ndarray, count: np.ndarray) -> bytes:
     return key.astype(np.uint32).tobytes() + (key >> np.uint64(32)).astype(np.uint16).tobytes() + np.minimum(count, 65535).astype(np.uint16).tobytes()
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 8
+def _unpacked(blob: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    n = blob.size // 8
     key = np.frombuffer(blob, np.uint32, n).astype(np.uint64) | (np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
     return key, np.frombuffer(blob, np.uint16, n, 6 * n)
 
@@ -86,32 +86,39 @@ def _counted(sent: DataFrame, parts: int) -> DataFrame:
     """(chunk, part, elements): the elements of each chunk that two texts or more hold, with their numbers of texts."""
 
     def count(batches):
-        # Pieces of a part, in order of arrival; the sums of a part need all of them.
-        chunk, part, got = [], [], []
+        # The sums of a part need all its pieces; the parts of a task come one after the other.
+        part, chunk, got = None, [], []
         for b in batches:
-            chunk += b.column(0).to_pylist()
-            part += b.column(1).to_pylist()
-            got += b.column(2).to_pylist()
-        of: dict[int, list[int]] = {}
-        for k, p in enumerate(part):
-            of.setdefault(p, []).append(k)
-        for p, own in of.items():
-            pieces = [_unpacked(got[k]) for k in own]
-            key, n = np.concatenate([k for k, _ in pieces]), np.concatenate([c for _, c in pieces]).astype(np.int64)
-            source = np.repeat(np.arange(len(own)), [len(k) for k, _ in pieces])
-            order = np.argsort(key, kind="stable")
-            key, n, source = key[order], n[order], source[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            total = np.add.reduceat(n, first)
-            total = np.repeat(total, np.diff(np.append(first, len(key))))
-            keep = np.flatnonzero(total > 1)
-            keep = keep[np.argsort(source[keep], kind="stable")]
-            cut = np.searchsorted(source[keep], np.arange(len(own) + 1))
-            full = np.flatnonzero(np.diff(cut))
-            blobs = [_packed(key[keep[cut[k] : cut[k + 1]]], total[keep[cut[k] : cut[k + 1]]]) for k in full]
-            yield pa.record_batch([pa.array([chunk[own[k]] for k in full], pa.int64()), pa.array([p] * len(full), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "elements"])
-
-    return sent.repartition(parts, "part").mapInArrow(count, "chunk long, part int, elements binary")
+            for k in range(b.num_rows):
+                if (p := b.column(1)[k].as_py()) != part:
+                    if got:
+                        yield _summed(part, chunk, got)
+                    part, chunk, got = p, [], []
+                chunk.append(b.column(0)[k].as_py())
+                got.append(_unpacked(b.column(2)[k].as_buffer()))
+        if got:
+            yield _summed(part, chunk, got)
+
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "chunk long, part int, elements binary")
+
+
+def _summed(part: int, chunk: list[int], got: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """What goes back to each chunk of a part: its elements of two texts or more, with their numbers of texts."""
+    key = np.concatenate([k for k, _ in got])
+    source = np.repeat(np.arange(len(got), dtype=np.int32), [len(k) for k, _ in got])
+    order = np.argsort(key, kind="stable")
+    key, source = key[order], source[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    total = np.add.reduceat(np.concatenate([c for _, c in got])[order], first, dtype=np.int64)
+    times = np.diff(np.append(first, len(key)))
+    keep = np.flatnonzero(np.repeat(total > 1, times))
+    key, source, total = key[keep], source[keep], np.repeat(total, times)[keep]
+    order = np.argsort(source, kind="stable")
+    key, source, total = key[order], source[order], total[order]
+    cut = np.searchsorted(source, np.arange(len(got) + 1))
+    full = np.flatnonzero(np.diff(cut))
+    blobs = [_packed(key[cut[k] : cut[k + 1]], total[cut[k] : cut[k + 1]]) for k in full]
+    return pa.record_batch([pa.array([chunk[k] for k in full], pa.int64()), pa.array([part] * len(full), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "elements"])
 
 
 def profiles(texts: DataFrame, sets: Sets, total: int, percent: int) -> DataFrame:
@@ -125,7 +132,7 @@ def profiles(texts: DataFrame, sets: Sets, total: int, percent: int) -> DataFram
     parts = int(max(1, -(-total // TASK_ELEMENTS)))
     chunks = stored(_chunked(texts))
 
-    def own_sets(at: bytes, data: bytes):
+    def own_sets(at: pa.Buffer, data: pa.Buffer):
         ends, every = np.frombuffer(at, np.int64), np.frombuffer(data, np.uint8)
         for i, j in tb.pieces(ends):
             bounds, h = sets(every[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
@@ -133,7 +140,8 @@ def profiles(texts: DataFrame, sets: Sets, total: int, percent: int) -> DataFram
 
     def send(batches):
         for b in batches:
-            for chunk, at, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for r in range(b.num_rows):
+                chunk, at, data = b.column(0)[r].as_py(), b.column(1)[r].as_buffer(), b.column(2)[r].as_buffer()
                 every = [h >> np.uint64(16) for _, _, _, h in own_sets(at, data)]
                 key, n = np.unique(np.concatenate(every), return_counts=True)
                 cut = np.searchsorted(key, (np.arange(parts + 1).astype(np.float64) * (2.0**48 / parts)).astype(np.uint64))
@@ -150,13 +158,13 @@ def profiles(texts: DataFrame, sets: Sets, total: int, percent: int) -> DataFram
 
         held, known = None, []
         for b in batches:
-            for _, part, elements, *texts_ in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if part < 0:
+            for r in range(b.num_rows):
+                if b.column(1)[r].as_py() < 0:
                     if held:
                         yield from chosen()
-                    held, known = texts_, []
+                    held, known = [b.column(k)[r].as_buffer() for k in (3, 4, 5)], []
                 else:
-                    known.append(_unpacked(elements))
+                    known.append(_unpacked(b.column(2)[r].as_buffer()))
         if held:
             yield from chosen()
 
