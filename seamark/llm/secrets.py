@@ -3,12 +3,14 @@
 Tokens are runs of value characters and single marks; chains are lines. Each token is tagged as the begin
 of a secret, inside or outside one, from its shape, the tokens beside it and the make-up of its document;
 Viterbi decodes the tags. The chain learns from what the fixed base patterns find in a sample of at most
-``at_most`` documents and ``max_bytes`` of text, half of them from all documents with a find; it doesn't
-see the patterns themselves, so it tags look-alikes as well. Decoded runs that overlap no base span are
-added to those.
+``at_most`` documents and ``max_bytes`` of text, half of them from all documents with a find. It doesn't see
+the patterns themselves, and half of what it learns from a find has the secret's name masked, so it tags
+values beside names that the patterns don't know as well. Decoded runs that overlap no base span are added
+to those.
 
 Defined results: null and empty texts have no spans; without any base find in the table nothing is added;
-rows are independent of one another; columns of the input named like an output column are replaced.
+an empty table gives an empty one; texts and lines are scanned whole, however long; rows are independent of
+one another, so repeated ones get the same spans; columns of the input named like an output column are replaced.
 """
 
 import re
@@ -27,11 +29,14 @@ from seamark.llm.common import read
 
 #: Kinds in the order in which spans of one start are listed, and the base patterns.
 KINDS = ("assign", "access", "hex")
-ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+NAMES = ("password", "passwd", "secret", "token", "api_?key")
+#: Either case of A-Z only: the flag would also take letters that fold to them, such as U+017F.
+_EITHER = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name) for name in NAMES)
+ASSIGN = re.compile(rf"""({_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: The same for Spark's own functions, to choose documents for the sample.
-ANY = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+ANY = rf"""({_EITHER})["']?\x20*[:=]|AKIA[A-Z0-9]{{16}}|[0-9a-f]{{24}}"""
 
 _VALUE = np.zeros(256, bool)
 _VALUE[48:58] = _VALUE[65:91] = _VALUE[97:123] = True
@@ -70,8 +75,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, rows, np.flatnonzero(begin)
 
 
-def features(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Shape, shape with the token before, short words around, and shape with the document's share of marks."""
+def features(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, masked: np.ndarray | None = None) -> np.ndarray:
+    """Shape, shape with the token before, short words around, and shape with the document's share of marks.
+
+    masked: tokens that count as any unknown word.
+    """
     if not len(starts):
         return np.zeros((0, 6), np.int64)
     size = ends - starts
@@ -81,6 +89,8 @@ def features(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np
     length = np.minimum(np.where(size < 8, size, 6 + np.log2(np.maximum(size, 1)) * 2).astype(np.int64), 24)
     shape = (((length * 5 + part(low)) * 5 + part(up)) * 5 + part(dig)) * 2 + (hexa == size)
     word = np.where(size <= 12, tb.word_hashes(tb.LOWER[data], starts, ends), np.uint64(1))
+    if masked is not None:
+        word = np.where(masked, np.uint64(1), word)
     near = np.concatenate([np.zeros(3, np.uint64), word, np.zeros(1, np.uint64)])
     marks = np.bincount(rows, (size == 1) & ~_VALUE[data[starts]], len(offsets) - 1) / np.maximum(np.bincount(rows, minlength=len(offsets) - 1), 1)
     file = np.minimum(marks * 10, 5).astype(np.int64)
@@ -134,26 +144,39 @@ def fit(docs: DataFrame, text: str = "text", at_most: int = 3000, max_bytes: int
     texts = sample(docs, text, at_most, max_bytes).toArrow().column("text")
     data, offsets = tb.flat(texts)
     starts, ends, rows, begin = tokens(data, offsets)
-    states = np.zeros(len(starts), np.int64)
+    states, named = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
     for k, t in enumerate(texts.to_pylist()):
         spans = base_spans(t)
         if not spans:
             continue
         at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in t])]) if not t.isascii() else np.arange(len(t) + 1)
-        for _, _, end, value in spans:
+        for begun, _, end, value in spans:
             a, b = np.searchsorted(starts, [offsets[k] + at[value], offsets[k] + at[end]])
             states[a:b] = 2
             states[a : a + 1] = 1
+            named[np.searchsorted(ends, offsets[k] + at[begun], "right") : a] = True
     if not states.any():
         return SecretModel(None)
     first, length = crf.chains(begin, len(starts))
-    # All chains with a secret; of the others an even tenth, which is plenty of outside.
+    # All chains with a secret; of the others an even tenth, each of which counts as ten. Chains with a secret count
+    # half as they are and half with the name of the secret masked, so that values are told without a known name too.
     found = np.concatenate([[0], np.cumsum(states > 0)])
-    use = np.flatnonzero((found[first + length] > found[first]) | (np.arange(len(first)) % 10 == 0))
-    first, length = first[use], length[use]
-    take = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    x = features(data, offsets, starts, ends, rows)
-    return SecretModel(crf.fit(x[take], states[take], np.cumsum(length) - length, length, 3))
+    some = found[first + length] > found[first]
+    use = np.flatnonzero(some | (np.arange(len(first)) % 10 == 0))
+    some = some[use]
+    named &= _VALUE[data[starts]]
+    every, weight = [], []
+    for masked, chosen, w in ((None, use, np.where(some, 0.5, 10.0)), (named, use[some], np.full(some.sum(), 0.5))):
+        part, size = first[chosen], length[chosen]
+        take = np.repeat(part - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        every.append((features(data, offsets, starts, ends, rows, masked)[take], states[take], size))
+        weight.append(np.repeat(w, size))
+    x, y, length = (np.concatenate(v) for v in zip(*every, strict=True))
+    # Longest first again.
+    first, order = np.cumsum(length) - length, np.argsort(-length, kind="stable")
+    take = np.repeat(first[order] - (np.cumsum(length[order]) - length[order]), length[order]) + np.arange(length.sum())
+    length = length[order]
+    return SecretModel(crf.fit(x[take], y[take], np.cumsum(length) - length, length, 3, weight=np.concatenate(weight)[take]))
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())])

@@ -9,7 +9,9 @@ logistic regression on the document labels.
 Models are fitted on at most ``at_most`` labelled rows and ``max_bytes`` of their text.
 
 Defined results: null and empty texts have the score of a text without toxic words; without labelled rows
-of both kinds every score is the share of toxic rows (0 without any); rows are independent of one another.
+of both kinds every score is the share of toxic rows (0 without any); an empty table gives an empty one; texts
+are tagged whole, however long; rows are independent of one another, so repeated ones get the same result;
+columns of the input named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -118,11 +120,11 @@ def fit(rows: DataFrame, text: str = "text", toxic: str = "toxic", at_most: int
         return none
     states = (marked & y[doc]).astype(np.int64)
     x, (first, length) = features(data, starts, ends, hashes), crf.chains(begin, len(starts))
-    # All chains with toxic words; of the others an even tenth, which is plenty of outside.
+    # All chains with toxic words; of the others an even tenth, each of which counts as ten.
     some = np.add.reduceat(states[np.concatenate([np.arange(f, f + n) for f, n in zip(first, length, strict=True)])], np.cumsum(length) - length) > 0
     use = np.flatnonzero(some | (np.arange(len(first)) % 10 == 0))
     take = np.concatenate([np.arange(first[k], first[k] + length[k]) for k in use])
-    chain = crf.fit(x[take], states[take], np.cumsum(length[use]) - length[use], length[use], 2, ridge=RIDGE)
+    chain = crf.fit(x[take], states[take], np.cumsum(length[use]) - length[use], length[use], 2, ridge=RIDGE, weight=np.repeat(np.where(some[use], 1.0, 10.0), length[use]))
     model = ToxicModel(chain, np.zeros(4), 0.0)
     p = np.concatenate([chain.marginals(chain.scores(x), first, length)[0][:, 1]])
     z = summary(doc, p, hashes[:, 0], len(y))
