@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +22,12 @@ def bucket(doc_id: Column, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests on one machine) is a local folder set.
+    A session of one machine that names none gets a local folder; on a cluster that would lose data, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/seamark-{uuid.uuid4().hex}"
@@ -39,19 +41,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, at_most: int, *key: str, max_bytes: int | None = None) -> DataFrame:
-    """At most ``at_most`` rows of df for fitting a model: an even sample chosen by a hash of ``key``.
+def bounded(df: DataFrame, at_most: int, *key: str, text: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """At most ``at_most`` rows of df for fitting a model: the least by a hash of ``key``, however the rows are laid out.
 
-    max_bytes: fewer rows, so that their first ``key`` column comes to about that many bytes at most.
+    max_bytes: fewer rows, so that ``text`` comes to about that many bytes at most. No one text may have more.
     """
-    size = F.sum(F.octet_length(key[0])) if max_bytes else F.lit(0)
-    n, total = df.agg(F.count("*"), size).first()
+    size = F.coalesce(F.octet_length(text), F.lit(0)) if text and max_bytes else F.lit(0)
+    if text and max_bytes:
+        df = df.where(size <= max_bytes)
+    n, total = df.agg(F.count("*"), F.sum(size)).first()
     if max_bytes and total and total > max_bytes:
         at_most = min(at_most, max(1, n * max_bytes // total))
     spread = 1 << 30
     if n > at_most:
         share = F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(spread))
-        df = df.where(share < int(spread * min(1.0, 1.1 * at_most / n))).limit(at_most)
+        df = df.where(share < int(spread * min(1.0, (1.1 * at_most + 20) / n))).orderBy(share, *key, *([text] if text else [])).limit(at_most)
     return df
 
 

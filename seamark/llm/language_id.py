@@ -6,7 +6,8 @@ pair of languages of that family vote for the language. Platt scaling turns marg
 
 Defined results: a null text, an empty one, or one without any letter gives ``und`` with score 0;
 without labelled rows every text gives ``und``; with a single learned language every other text gets
-that language with score 1. Columns of the input named like an output column are replaced.
+that language with score 1; an empty table gives an empty one. Texts are read whole, however long; equal texts
+get equal results, so repeated rows do; of classes with equal votes and margins the first by name wins. Columns of the input named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from seamark.llm import textbytes as tb
 from seamark.llm.common import bounded, bucket, read
 
 DIM = 4096
+#: Rows of features that a task holds at once.
+ROWS = 512
 #: Families of common language codes. A code that is not listed is a family of its own.
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -104,19 +107,21 @@ class PairSvm:
 
 def _svm(x: np.ndarray, y: np.ndarray, steps: int = 150, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Squared-hinge SVM by accelerated gradient steps, classes weighted evenly; and Platt's scale and shift."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
+    y = y.astype(np.float32)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = v = np.zeros(x1.shape[1], np.float32)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
+    grad = np.empty_like(w)
     for t in range(steps):
-        slack = np.maximum(0, 1 - y * (x1 @ v))
-        step = v + 0.25 * ((weight * slack * y) @ x1 * 2 - ridge * v)
-        w, v = step, step + t / (t + 3) * (step - w)
-    margin, ab = x1 @ w, np.array([2.0, 0.0])
+        pull = weight * np.maximum(np.float32(0), 1 - y * (x @ v[:-1] + v[-1])) * y
+        grad[:-1], grad[-1] = pull @ x, pull.sum()
+        step = v + np.float32(0.25) * (grad * 2 - np.float32(ridge) * v)
+        w, v = step, step + np.float32(t / (t + 3)) * (step - w)
+    margin, ab = (x @ w[:-1] + w[-1]).astype(float), np.array([2.0, 0.0])
     for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(ab[0] * margin + ab[1], -30, 30)))
         g = weight * (p - (y > 0))
         ab -= 2.0 * np.array([(g * margin).sum(), g.sum()])
-    return w.astype(np.float32), ab
+    return w, ab
 
 
 @dataclass
@@ -136,22 +141,28 @@ class LanguageModel:
         return langs, score
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", at_most: int = 3000, families: dict[str, str] = FAMILIES) -> LanguageModel:
-    """Learn from at most ``at_most`` labelled rows, an even sample; rows without text or language don't count."""
-    rows = bounded(labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(text, lang), at_most, text)
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", at_most: int = 3000, max_bytes: int = 64 << 20, families: dict[str, str] = FAMILIES) -> LanguageModel:
+    """Learn from at most ``at_most`` labelled rows and ``max_bytes`` of text, chosen by a hash of ``key``; rows without text or language don't count."""
+    known = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
+    rows = bounded(known, at_most, "key", text="text", max_bytes=max_bytes).select("text", "lang")
 
     def vectors(batches):
         for b in batches:
             data, at = tb.flat(b.column(0))
-            for i, j in tb.pieces(at):
+            for i, j in tb.pieces(at, rows=ROWS):
                 x = features(data[at[i] : at[j]], at[i : j + 1] - at[i]).astype(np.float16)
                 yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1).slice(i, j - i)], ["x", "lang"])
 
-    got = rows.mapInArrow(vectors, "x binary, lang string").toPandas()
-    if got.empty:
+    got = rows.mapInArrow(vectors, "x binary, lang string").toArrow()
+    if not got.num_rows:
         return LanguageModel(PairSvm([]), {})
-    x = np.stack([np.frombuffer(v, np.float16) for v in got.x]).astype(np.float32)
-    names = got.lang.to_numpy(object)
+    names = got.column("lang").to_numpy(zero_copy_only=False)
+    x = np.empty((got.num_rows, DIM), np.float32)
+    done = 0
+    for part in got.column("x").chunks:
+        x[done : done + len(part)] = tb.flat(part)[0].view(np.float16).reshape(len(part), DIM)
+        done += len(part)
+    del got
     family = np.array([families.get(v, v) for v in names], object)
     kinds = sorted(set(family))
     model = LanguageModel(PairSvm.fit(x, np.array([kinds.index(f) for f in family]), kinds), {})
@@ -170,7 +181,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     def predict(texts: pa.Array) -> pa.Array:
         data, at = tb.flat(texts)
         langs, score = np.full(len(at) - 1, "und", object), np.zeros(len(at) - 1)
-        for i, j in tb.pieces(at):
+        for i, j in tb.pieces(at, rows=ROWS):
             part, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
             known = np.flatnonzero(has_letter(part, own)) + i
             got, p = model.predict(features(part, own))

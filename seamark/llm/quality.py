@@ -4,11 +4,13 @@ A text is a sparse vector: hashed words (unit length), statistics of its structu
 metadata. The machine adds to a linear score all pairwise interactions through low-rank factors, in time
 linear in the vector by the identity: the sum over pairs is half the squared sum less the sum of squares.
 
-It is fitted by Adam on the logistic loss, on at most ``at_most`` labelled rows and ``max_bytes`` of text.
+It is fitted by Adam on the logistic loss, on at most ``at_most`` labelled rows and ``max_bytes`` of text; both
+kinds count alike. Scores are calibrated on margins of labelled rows that were kept back from a fit.
 
 Defined results: a null text counts as empty; an empty text has the score of a vector of zero words;
-without labelled rows of both kinds every score is the share of good rows (0 without any); columns of the
-input named like an output column are replaced.
+without labelled rows of both kinds every score is the share of good rows (0 without any); an empty table gives
+an empty one; texts are read whole, however long; equal texts get equal scores, so repeated rows do; columns of
+the input named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from seamark.llm import textbytes as tb
 from seamark.llm.common import bounded, bucket, labelled, read
 
 DIM = 1024
+#: Rows of features that a task holds at once.
+ROWS = 2048
+#: Parts of the labelled rows of which each is kept back once, to calibrate the scores.
+FOLDS = 4
 RANK = 8
 #: Labelled rows that a model is fitted on, at most.
 AT_MOST = 4000
@@ -91,6 +97,7 @@ class Machine:
     mean: np.ndarray
     spread: np.ndarray
     trained: bool = True
+    platt: tuple[float, float] = (1.0, 0.0)
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
         out = x.astype(np.float32)
@@ -103,11 +110,34 @@ class Machine:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.trained:
             return np.full(len(x), self.bias)
-        return 1 / (1 + np.exp(-np.clip(self.margin(self.scaled(x)), -30, 30).astype(float)))
+        scale, shift = self.platt
+        return 1 / (1 + np.exp(-np.clip(scale * self.margin(self.scaled(x)).astype(float) + shift, -30, 30)))
+
+
+def calibrated(x: np.ndarray, y: np.ndarray) -> Machine:
+    """A machine with Platt's scale and shift, found on the margins of rows that each were kept back from a fit."""
+    m, fold = train(x, y), np.arange(len(y)) % FOLDS
+    kept = np.zeros(len(y))
+    for k in range(FOLDS):
+        own = fold == k
+        if not own.any() or y[~own].min() == y[~own].max():
+            return m
+        part = train(x[~own], y[~own])
+        kept[own] = part.margin(part.scaled(x[own]))
+    z, ab = np.stack([kept, np.ones(len(y))], 1), np.array([1.0, 0.0])
+    # Platt's targets, which keep the scale finite where the kinds can be told apart.
+    aim = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ ab, -30, 30)))
+        ab = ab - np.clip(np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (p - aim)), -0.5, 0.5)
+    m.platt = (max(float(ab[0]), 0.1), float(ab[1]))
+    return m
 
 
-def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.02, ridge: float = 2e-4) -> Machine:
-    """x: rows of features(); y: 1 for good."""
+def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.02, ridge: float = 2e-4, least: int = 300) -> Machine:
+    """x: rows of features(); y: 1 for good. The kinds count alike; small sets get more epochs, ``least`` steps at least."""
+    epochs = max(epochs, -(-least * batch // max(1, len(x))))
+    weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())).astype(np.float32) * len(y)
     stats = x[:, DIM:].astype(np.float32)
     rng = np.random.default_rng(5)
     m = Machine(0.0, np.zeros(x.shape[1], np.float32), (0.05 * rng.standard_normal((x.shape[1], RANK))).astype(np.float32), stats.mean(0), np.maximum(stats.std(0), 1e-3))
@@ -119,7 +149,7 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate
         for k in range(0, len(x), batch):
             rows = order[k : k + batch]
             b, t = x[rows], t + 1
-            g = ((1 / (1 + np.exp(-np.clip(m.margin(b), -30, 30))) - y[rows]) / len(rows)).astype(np.float32)
+            g = ((1 / (1 + np.exp(-np.clip(m.margin(b), -30, 30))) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
             sums = b @ m.factors
             grads = {"bias": np.array([g.sum()]), "linear": g @ b + ridge * m.linear, "factors": b.T @ (g[:, None] * sums) - (g @ (b * b))[:, None] * m.factors + ridge * m.factors}
             for name, grad in grads.items():
@@ -134,13 +164,14 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate
     return m
 
 
-def fit(rows: DataFrame, text: str = "text", quality: str = "quality", at_most: int = AT_MOST, max_bytes: int = 32 << 20) -> Machine:
-    rows = bounded(rows.where(F.col(quality).isNotNull()).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(quality).cast("int").alias("y")), at_most, "text", max_bytes=max_bytes)
+def fit(rows: DataFrame, text: str = "text", quality: str = "quality", key: str = "doc_id", at_most: int = AT_MOST, max_bytes: int = 32 << 20) -> Machine:
+    known = rows.where(F.col(quality).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(quality).cast("int").alias("y"))
+    rows = bounded(known, at_most, "key", text="text", max_bytes=max_bytes).orderBy(F.xxhash64("key"), "text").select("text", "y")
 
     def vectors(batches):
         for b in batches:
             data, at = tb.flat(b.column(0))
-            for i, j in tb.pieces(at):
+            for i, j in tb.pieces(at, rows=ROWS):
                 x = features(data[at[i] : at[j]], at[i : j + 1] - at[i]).astype(np.float16)
                 yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1).slice(i, j - i)], ["x", "y"])
 
@@ -149,7 +180,7 @@ def fit(rows: DataFrame, text: str = "text", quality: str = "quality", at_most:
     if not len(y) or y.min() == y.max():
         return Machine(float(y.mean()) if len(y) else 0.0, np.zeros(1), np.zeros((1, 1)), np.zeros(1), np.ones(1), False)
     flat, _ = tb.flat(got.column("x"))
-    return train(flat.view(np.float16).reshape(len(y), DIM + N_STATS), y)
+    return calibrated(flat.view(np.float16).reshape(len(y), DIM + N_STATS), y)
 
 
 def judge(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
@@ -158,7 +189,7 @@ def judge(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         data, at = tb.flat(texts)
-        parts = [model.score(features(data[at[i] : at[j]], at[i : j + 1] - at[i])) for i, j in tb.pieces(at)]
+        parts = [model.score(features(data[at[i] : at[j]], at[i : j + 1] - at[i])) for i, j in tb.pieces(at, rows=ROWS)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn("score", score(F.col(text).cast("string")))

@@ -53,12 +53,12 @@ def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return every[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes each."""
+def pieces(offsets: np.ndarray, limit: int = PIECE, rows: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes each, and of ``rows`` rows at most."""
     n, row = len(offsets) - 1, 0
     while row < n:
         stop = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
-        stop = min(max(stop, row + 1), n)
+        stop = min(max(stop, row + 1), row + rows, n)
         yield row, stop
         row = stop
 

@@ -104,9 +104,9 @@ def _toxic_words(rows: np.ndarray, hashes: np.ndarray, toxic: np.ndarray) -> np.
     return words[(t >= 3) & (t >= 0.8 * n) & (g >= 8 + 4 * np.log(max(1.0, (n_t + n_c) / 40)))]
 
 
-def fit(rows: DataFrame, text: str = "text", toxic: str = "toxic", at_most: int = AT_MOST, max_bytes: int = 24 << 20) -> ToxicModel:
-    rows = bounded(rows.where(F.col(toxic).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(toxic).cast("int").alias("y")), at_most, "text", max_bytes=max_bytes)
-    got = rows.toArrow()
+def fit(rows: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", at_most: int = AT_MOST, max_bytes: int = 24 << 20) -> ToxicModel:
+    known = rows.where(F.col(toxic).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(toxic).cast("int").alias("y"))
+    got = bounded(known, at_most, "key", text="text", max_bytes=max_bytes).select("text", "y").toArrow()
     y = got.column("y").to_numpy() > 0
     none = ToxicModel(None, np.zeros(4), float(y.mean()) if len(y) else 0.0)
     if not y.any() or y.all():
