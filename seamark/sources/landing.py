@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,13 +12,13 @@ from pyspark.sql import DataFrame
 def landed(df: DataFrame) -> DataFrame:
     """df written as Parquet under spark.checkpoint.dir and read back, as frames land before they are decoded.
 
-    Where the session names no such folder (tests on one machine) a local one is set.
+    A session of one machine that names no such folder gets a local one; on a cluster that is an error.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/landed-{uuid.uuid4().hex}"
