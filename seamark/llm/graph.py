@@ -28,18 +28,17 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (a, b), a > b, are stars around their smallest nodes."""
+    several = edges.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a").limit(1)
+    inner = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi").limit(1)
+    return not several.union(inner).take(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is the smallest node that can be reached."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
-    def sign(df):
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    seen = sign(now)
-    while True:
+    while not _settled(now):
         now = stored(_stars(_stars(now, True), False))
-        if (at := sign(now)) == seen:
-            break
-        seen = at
     nodes = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -8,8 +8,8 @@ dual traversal prunes node pairs by the largest overlap that they allow. Pairs t
 the sets themselves.
 
 Links only matter for components, so the groups are joined in rounds, and what is linked is contracted
-before the next one. In the first rounds each representative is in one group only, of an element that
-similar texts most likely agree on, and the trees of a group propose a spanning forest. The last round
+before the next one. In the first round each representative is in two groups at most, of elements that
+similar texts most likely agree on, and the trees of a group propose a spanning forest. The second round
 takes every key of the prefix, which no link escapes, but only groups whose members are still in different
 components, and pairs across components. Large groups are cut into blocks of ``BLOCK`` members, each pair of
 blocks in a task of its own.
@@ -378,11 +378,10 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     firsts = _with_ids(texts, stored(copies), "left_anti")
     found = stored(prefix.profiles(firsts, lambda data, at: sets(data, at, size), total, percent))
     comp = stored(components(mixed)) if several.where("mixed").take(1) else None
-    for k in range(len(prefix.SEEDS)):
-        groups = found.select(F.col("groups")[k].alias("gid"), "rep", F.lit(True).alias("short"))
-        comp = _contracted(comp, _verified(_joined(groups, found, comp, True, percent), texts, size, percent))
-    groups = found.select("rep", F.explode(F.arrays_zip("keys", "short")).alias("key")).select(F.col("key.keys").alias("gid"), "rep", F.col("key.short").alias("short"))
-    return signed, reps, _contracted(comp, _verified(_joined(groups, found, comp, False, percent), texts, size, percent))
+    likely = found.select(F.explode(F.array_distinct("groups")).alias("gid"), "rep", F.lit(True).alias("short"))
+    comp = _contracted(comp, _verified(_joined(likely, found, comp, True, percent), texts, size, percent))
+    every = found.select("rep", F.explode(F.arrays_zip("keys", "short")).alias("key")).select(F.col("key.keys").alias("gid"), "rep", F.col("key.short").alias("short"))
+    return signed, reps, _contracted(comp, _verified(_joined(every, found, comp, False, percent), texts, size, percent))
 
 
 def _contracted(comp: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -404,16 +403,17 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Rows without words stay, as they are linked with nothing, and so do rows without an id.
     """
-    found = join_components(docs, doc_id, text)
-    kept = stored(found.where("n_shingles > 0 AND doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__rows")))
-    own = docs[doc_id].cast("long") == F.col("__keep")
+    found = stored(join_components(docs, doc_id, text).where("n_shingles > 0 AND doc_id IS NOT NULL"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    several = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("c")).where("c > 1").select("id")
     free = F.col(doc_id).cast("long").isNull() | ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    out = docs.where(~free).join(kept.where("__rows = 1"), own, "left_semi").unionByName(docs.where(free))
-    if kept.where("__rows > 1").take(1):
-        again = docs.where(~free).join(kept.where("__rows > 1"), own, "left_semi")
-        one = again.groupBy(F.col(doc_id).cast("long")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(text)).alias("__row"))
-        out = out.unionByName(one.select("__row.*"))
-    return out
+    rows = docs.where(~free).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h"))
+    rows = _with_ids(rows, stored(gone), "left_anti")
+    several = stored(several)
+    if several.take(1):
+        one = _with_ids(rows, several, "left_semi").groupBy("id").agg(F.min_by("row", "h").alias("row"))
+        rows = _with_ids(rows, several, "left_anti").select("row").unionByName(one.select("row"))
+    return rows.select("row.*").unionByName(docs.where(free))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ class PairSvm:
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, classes: list[str]) -> PairSvm:
         out = cls(classes, list(combinations(range(len(classes)), 2)))
-        fitted = [_svm(x[m], np.where(y[m] == i, 1.0, -1.0)) for i, j in out.pairs if (m := (y == i) | (y == j)) is not None]
+        fitted = [_svm(x, np.where(y == i, 1.0, np.where(y == j, -1.0, 0.0))) for i, j in out.pairs]
         if fitted:
             out.weights, out.scale = np.stack([w for w, _ in fitted]), np.stack([s for _, s in fitted])
         return out
@@ -106,9 +106,12 @@ class PairSvm:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, steps: int = 150, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Squared-hinge SVM by accelerated gradient steps, classes weighted evenly; and Platt's scale and shift."""
+    """Squared-hinge SVM by accelerated gradient steps, classes weighted evenly; and Platt's scale and shift.
+
+    y: 1 and -1 for the two classes, 0 for rows of neither, which count nothing (x is not copied).
+    """
     y = y.astype(np.float32)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), np.where(y < 0, 0.5 / max(1, (y < 0).sum()), 0)).astype(np.float32)
     w = v = np.zeros(x.shape[1] + 1, np.float32)
     grad = np.empty_like(w)
     for t in range(steps):
@@ -167,9 +170,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     kinds = sorted(set(family))
     model = LanguageModel(PairSvm.fit(x, np.array([kinds.index(f) for f in family]), kinds), {})
     for kind in kinds:
-        own = family == kind
-        langs = sorted(set(names[own]))
-        model.within[kind] = PairSvm.fit(x[own], np.array([langs.index(v) for v in names[own]]), langs)
+        langs = sorted(set(names[family == kind]))
+        model.within[kind] = PairSvm.fit(x, np.array([langs.index(v) if f == kind else -1 for v, f in zip(names, family, strict=True)]), langs)
     return model
 
 

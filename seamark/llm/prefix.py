@@ -29,7 +29,7 @@ CHUNK_BYTES = 1 << 20
 TASK_ELEMENTS = 1_000_000
 #: A bitmap has four to eight bits for each element, a power of two in all.
 LEAST_BITS = 256
-#: Keys by which a text joins its first groups, one after the other.
+#: Of the hashes by which a text chooses its first groups.
 SEEDS = (0, 0x5DEECE66D)
 
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
