@@ -121,6 +121,33 @@ def presence(events: DataFrame) -> DataFrame:
     return last.groupBy("mmsi").agg(F.sort_array(F.collect_set(F.when(F.col("kind") == "enter", F.col("zone_id")))).alias("zones"))
 
 
+#: Kinds of zones in the order in which lists show them.
+KIND_ORDER = ("port", "anchorage", "general")
+
+
+def badges(present: DataFrame, zones: DataFrame) -> DataFrame:
+    """(mmsi, zone_id, label, kind): the zones that each vessel of ``present`` (mmsi, zones) is in, with their attributes."""
+    rows = present.select("mmsi", F.explode("zones").alias("zone_id"))
+    return rows.join(zones.select(F.col("id").alias("zone_id"), "label", "kind"), "zone_id", "left").select("mmsi", "zone_id", F.coalesce("label", "zone_id").alias("label"), "kind")
+
+
+def last_seen_in_zones(positions: DataFrame, zones: DataFrame) -> DataFrame:
+    """(mmsi, last_seen_s): the newest fix of each vessel in any zone."""
+    return membership(positions, operational(zones)).groupBy("mmsi").agg(F.max("t_s").alias("last_seen_s"))
+
+
+def zone_counts(zones: DataFrame) -> DataFrame:
+    """(kind, ord, n) in the order of kinds; other kinds come last."""
+    rank = F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind"))
+    return zones.groupBy("kind").agg(F.count("*").alias("n")).withColumn("ord", F.when(rank > 0, rank).otherwise(len(KIND_ORDER) + 1)).orderBy("ord", "kind")
+
+
+def with_defaults(drawn: DataFrame, first: int) -> DataFrame:
+    """Zones as drawn (id, rings) with the properties of new ones: numbered labels from ``first`` on in order of id."""
+    number = F.row_number().over(Window.orderBy("id")) + (first - 1)
+    return drawn.withColumns({"label": F.concat(F.lit("Custom Zone "), number), "kind": F.lit("general"), "visible": F.lit(True), "decorative": F.lit(False)})
+
+
 def presence_changes(positions: DataFrame, zones: DataFrame) -> DataFrame:
     """(mmsi, seq, zones) of the fixes at which the set of zones around a vessel differs from before."""
     hits = membership(positions, operational(zones)).groupBy("mmsi", "seq").agg(F.sort_array(F.collect_set("zone_id")).alias("zones"))

@@ -36,6 +36,17 @@ def snapshot(statics: DataFrame, positions: DataFrame, as_of_s: int, fresh_s: in
     return array.join(statics.select("mmsi", "vessel_name", "ship_type"), "mmsi", "left")
 
 
+def vessel(statics: DataFrame, positions: DataFrame, mmsi: int) -> DataFrame:
+    """One vessel with its latest fix, or no row; both tables are read by the id."""
+    return list_vessels(statics.where(F.col("mmsi") == mmsi), positions.where(F.col("mmsi") == mmsi), 1)
+
+
+def live_from_history(snapshots: DataFrame, served_s: int, source_id: int = 3) -> DataFrame:
+    """A live vessel from the last point of each history, stamped with the server's time and a default source."""
+    last = F.element_at("history", -1)
+    return snapshots.where(F.size("history") > 0).select("mmsi", last["lng"].alias("lng"), last["lat"].alias("lat"), last["t_s"].alias("fix_s"), F.lit(served_s).cast("long").alias("t_s"), F.lit(source_id).alias("source_id"))
+
+
 def archive(live: DataFrame, positions: DataFrame, as_of_s: int, stale_s: int = FRESH_S) -> DataFrame:
     """Last known fixes for when nothing is live: those within stale_s of the newest one, if that is older than stale_s."""
     fixes = tracks.latest(positions.where("lng IS NOT NULL AND lat IS NOT NULL")).select("mmsi", "t_s", "lng", "lat")

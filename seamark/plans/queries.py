@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.functions import ais
-from seamark.operators import frames, geo, quality, reads, tracks
+from seamark.operators import feeds, frames, geo, quality, reads, tracks
 from seamark.sources import fixtures
 from seamark.sources.fixtures import AS_OF, POSITIONS, STATICS, ZONES
 from seamark.sources.landing import landed
@@ -396,3 +396,99 @@ def nmea_static_roundtrip(spark, sf_dir):
 def json_adapter(spark, sf_dir):
     out = frames.adapted_json(landed(frames.json_messages(fixtures.positions(spark, sf_dir))))
     return out.select("seq", F.coalesce("mmsi", "seq_mmsi").alias("mmsi"), "outcome", "sog_t")
+
+
+# Feeds
+
+
+@_query(f"""{_P} SELECT source_id, CASE source_id WHEN 0 THEN 'LocalUdp' WHEN 1 THEN 'WebSdr' WHEN 2 THEN 'AisStream' ELSE 'EdgeBridge' END AS source,
+  CASE source_id WHEN 3 THEN 1 WHEN 2 THEN 2 WHEN 0 THEN 3 ELSE 4 END AS trust, count(*) AS n, count(CASE WHEN source_id <> 2 THEN heading END) AS headings FROM p GROUP BY 1, 2, 3""")
+def source_union(spark, sf_dir):
+    """The frames of four sources, one of which has no headings, as one table with their provenance."""
+    p = fixtures.positions(spark, sf_dir)
+    parts = {k: p.where(F.col("source_id") == k).drop("source_id", *(["heading"] if k == 2 else [])) for k in range(4)}
+    return feeds.merged(parts).groupBy("source_id", "source", "trust").agg(F.count("*").alias("n"), F.count("heading").alias("headings"))
+
+
+@_query(f"""{_P}, r AS (SELECT seq, CASE seq % 4 WHEN 0 THEN concat('!AIVDM,', seq) WHEN 1 THEN concat(' {{', seq, '}}') WHEN 2 THEN concat('$GPGGA,', seq) ELSE concat('x', seq) END AS raw, seq % 4 AS k FROM p)
+SELECT CASE k WHEN 0 THEN 'nmea' WHEN 1 THEN 'json' WHEN 2 THEN 'nmea' ELSE 'parse-error' END AS format, count(*) AS n FROM r GROUP BY 1""")
+def frame_formats(spark, sf_dir):
+    k, seq = F.col("seq") % 4, F.col("seq").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit("!AIVDM,"), seq)).when(k == 1, F.concat(F.lit(" {"), seq, F.lit("}"))).when(k == 2, F.concat(F.lit("$GPGGA,"), seq)).otherwise(F.concat(F.lit("x"), seq))
+    return fixtures.positions(spark, sf_dir).select(feeds.frame_format(raw).alias("format")).groupBy("format").agg(F.count("*").alias("n"))
+
+
+@_query(f"""{_P} SELECT source_id, count(*) FILTER (WHERE 70 + seq % 20 > 82) AS too_long, count(*) FILTER (WHERE 70 + seq % 20 <= 82 AND seq % 9 = 0) AS over_rate,
+  count(*) FILTER (WHERE 70 + seq % 20 <= 82 AND seq % 9 <> 0) AS emitted FROM p GROUP BY source_id""")
+def drop_counts(spark, sf_dir):
+    lines = fixtures.positions(spark, sf_dir).select("source_id", "seq", F.expr("repeat('a', CAST(70 + seq % 20 AS INT))").alias("value"))
+    return feeds.drop_counts(lines, in_rate=F.col("seq") % 9 != 0)
+
+
+@_query(f"""{_PS} SELECT concat('p', seq) AS key, mmsi, CASE WHEN msg_type = 18 THEN 18 ELSE 1 END AS message_type, round(lng, 6) AS lng, round(lat, 6) AS lat, sog_t, cog_t, CASE WHEN heading = 511 THEN NULL ELSE heading END AS heading,
+  CASE WHEN msg_type <> 18 THEN nav_status END AS nav_status, CASE WHEN msg_type <> 18 AND seq % 256 <> 0 THEN seq % 256 - 128 END AS rot, msg_type <> 18 AND seq % 2 = 0 AS accurate, CASE WHEN msg_type <> 18 THEN seq % 64 END AS second
+FROM p""")
+def json_positions(spark, sf_dir):
+    """Position reports of both classes through the JSON adapter, every field."""
+    out = feeds.adapted(landed(feeds.json_feed(fixtures.positions(spark, sf_dir), fixtures.statics(spark, sf_dir)))).where("position IS NOT NULL")
+    return out.select("key", "mmsi", "message_type", F.round("position.lng", 6).alias("lng"), F.round("position.lat", 6).alias("lat"), *(f"position.{c}" for c in ("sog_t", "cog_t", "heading", "nav_status", "rot", "accurate", "second")))
+
+
+@_query(f"""WITH s AS ({STATICS}) SELECT concat('s', seq) AS key, mmsi, CASE WHEN seq % 2 = 0 THEN 24 ELSE 5 END AS message_type, CASE WHEN seq % 2 = 0 THEN CASE WHEN seq % 4 = 2 THEN 1 ELSE 0 END END AS part,
+  trim(vessel_name) AS vessel_name, call_sign, CASE WHEN seq % 2 = 1 THEN imo END AS imo, ship_type, to_bow, to_stern, to_port, to_starboard, CASE WHEN seq % 2 = 1 THEN draught_t END AS draught_t,
+  CASE WHEN seq % 2 = 1 THEN trim(destination) END AS destination, CASE WHEN seq % 2 = 1 THEN eta_month END AS eta_month, CASE WHEN seq % 2 = 1 THEN eta_minute END AS eta_minute FROM s""")
+def json_statics(spark, sf_dir):
+    """Static data of both classes through the JSON adapter."""
+    out = feeds.adapted(landed(feeds.json_feed(fixtures.positions(spark, sf_dir), fixtures.statics(spark, sf_dir)))).where("static IS NOT NULL")
+    fields = ("part", "vessel_name", "call_sign", "imo", "ship_type", "to_bow", "to_stern", "to_port", "to_starboard", "draught_t", "destination", "eta_month", "eta_minute")
+    return out.select("key", "mmsi", "message_type", *(f"static.{c}" for c in fields))
+
+
+@_query(f"""WITH s AS ({STATICS}), c AS (SELECT mmsi, ship_type * 3 AS ship_type, imo, CASE WHEN imo IS NOT NULL AND NOT coalesce(imo BETWEEN 1000000 AND 9999999 AND (floor(imo / 1000000) * 7 + floor(imo / 100000) % 10 * 6 + floor(imo / 10000) % 10 * 5
+  + floor(imo / 1000) % 10 * 4 + floor(imo / 100) % 10 * 3 + floor(imo / 10) % 10 * 2) % 10 = imo % 10, false) THEN 'invalid-imo' WHEN ship_type * 3 > 255 THEN 'invalid-ship-type' ELSE 'accepted' END AS outcome FROM s)
+SELECT outcome, count(*) AS n FROM c GROUP BY 1""")
+def static_gate(spark, sf_dir):
+    s = fixtures.statics(spark, sf_dir)
+    return s.select(F.coalesce(feeds.static_reason(F.col("mmsi"), F.col("imo"), F.col("ship_type") * 3), F.lit("accepted")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@_query()
+def gate_chain(spark, sf_dir):
+    """Outcomes of the ordered gates, new vessels and the rate of each vessel included."""
+    rows = feeds.gate_chain(fixtures.positions(spark, sf_dir), burst=20, per_minute=10)
+    return rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@_query(f"""{_P}, g AS (SELECT *, {_FIRST_REASON} AS reason FROM p) SELECT msg_type, count(*) AS n, count(DISTINCT mmsi) AS vessels FROM g
+WHERE reason IS NULL AND lng IS NOT NULL AND lat IS NOT NULL AND msg_type IN (1, 2, 3, 18) GROUP BY msg_type""")
+def storable(spark, sf_dir):
+    return feeds.storable(quality.gated(fixtures.positions(spark, sf_dir))).groupBy("msg_type").agg(F.count("*").alias("n"), F.countDistinct("mmsi").alias("vessels"))
+
+
+@_query(f"""{_P}, g AS (SELECT seq, t_s, source_id, {_FIRST_REASON} AS reason FROM p), a AS (SELECT DISTINCT source_id, t_s FROM g WHERE reason IS NULL),
+l AS (SELECT t_s, max(t_s) FILTER (WHERE source_id = 3) OVER w AS l3, max(t_s) FILTER (WHERE source_id = 2) OVER w AS l2, max(t_s) FILTER (WHERE source_id = 0) OVER w AS l0, max(t_s) FILTER (WHERE source_id = 1) OVER w AS l1
+  FROM (SELECT * FROM a UNION ALL SELECT NULL, t_s FROM g GROUP BY t_s) WINDOW w AS (ORDER BY t_s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT DISTINCT t_s, CASE WHEN t_s - l3 <= 900 THEN 3 WHEN t_s - l2 <= 900 THEN 2 WHEN t_s - l0 <= 900 THEN 0 WHEN t_s - l1 <= 900 THEN 1 END AS active FROM l)
+SELECT g.seq, b.active FROM g JOIN b USING (t_s)""")
+def trusted_source(spark, sf_dir):
+    """For each frame the source that is trusted at its moment, by every source's own accepted frames."""
+    return feeds.trusted(quality.gated(fixtures.positions(spark, sf_dir))).select("seq", "active")
+
+
+@_query(f"""{_P} SELECT mmsi, round(lng, 6) AS lng, round(lat, 6) AS lat, t_s AS fix_s, {AS_OF} AS t_s, 3 AS source_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t_s DESC, seq DESC) AS rn FROM p WHERE t_s <= {AS_OF}) WHERE rn = 1
+  AND mmsi IN (SELECT mmsi FROM p WHERE t_s <= {AS_OF} GROUP BY mmsi HAVING max(t_s) >= {AS_OF} - 86400 ORDER BY max(t_s) DESC, mmsi LIMIT 500)""")
+def live_from_history(spark, sf_dir):
+    shots = reads.snapshot(fixtures.statics(spark, sf_dir), fixtures.positions(spark, sf_dir), AS_OF, fresh_s=86400)
+    return reads.live_from_history(shots, AS_OF).select("mmsi", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"), "fix_s", "t_s", "source_id")
+
+
+@_query(f"""{_P}, {_EVENTS}, n AS (SELECT mmsi, zone_id, arg_max(kind, at_s * 2 + CASE WHEN kind = 'enter' THEN 1 ELSE 0 END) AS kind FROM e GROUP BY ALL)
+SELECT mmsi, n.zone_id, label, v.kind FROM n JOIN (VALUES {", ".join(f"('{z[0]}', '{z[1]}', '{z[2]}')" for z in ZONES)}) v(zone_id, label, kind) ON v.zone_id = n.zone_id WHERE n.kind = 'enter' """)
+def zone_badges(spark, sf_dir):
+    return geo.badges(geo.presence(_events(spark, sf_dir)), fixtures.zones(spark))
+
+
+@_query(f"{_P}, h AS ({_HITS}) SELECT mmsi, max(t_s) AS last_seen_s FROM p JOIN (SELECT DISTINCT mmsi, seq FROM h) USING (mmsi, seq) GROUP BY mmsi")
+def last_seen_in_zones(spark, sf_dir):
+    return geo.last_seen_in_zones(fixtures.positions(spark, sf_dir), fixtures.zones(spark))
