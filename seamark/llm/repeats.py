@@ -291,10 +291,10 @@ def _ranges(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
-    """(docs with a ``key``, (key, cover)): the units of each text with what repeats in them."""
-    rows = docs.withColumn("key", F.xxhash64(F.col(doc_id), F.col(text)))
+    """(docs with a ``__key``, (key, cover)): the units of each text with what repeats in them."""
+    rows = docs.withColumn("__key", F.xxhash64(F.col(doc_id), F.col(text)))
     zero = F.lit(0).cast("long")
-    texts = rows.where(F.octet_length(F.col(text)) >= length).select("key", F.col(text).cast("string").alias("text"), zero.alias("h"), zero.alias("before"))
+    texts = rows.where(F.octet_length(F.col(text)) >= length).select(F.col("__key").alias("key"), F.col(text).cast("string").alias("text"), zero.alias("h"), zero.alias("before"))
     return rows, _solve(texts, length, gram, cap)
 
 
@@ -319,6 +319,7 @@ _KIND = pa.struct([("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start"
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, cap: int = CAP) -> DataFrame:
     """docs with ``repeats``: the bytes kept, and the removed spans in bytes."""
     rows, cover = repeated(docs, doc_id, text, length, gram, cap)
+    cover = cover.select(F.col("key").alias("__key"), F.col("cover").alias("__cover"))
 
     @F.arrow_udf("struct<kept: binary, spans: array<struct<start: bigint, end: bigint>>>")
     def cut(texts: pa.Array, covers: pa.Array) -> pa.Array:
@@ -331,13 +332,13 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out.append({"kept": part[~gone].tobytes(), "spans": [{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)]})
         return pa.array(out, _KIND)
 
-    ids = cover.select("key")
+    ids = cover.select("__key")
     small = ids.count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if small else ids
-    touched = rows.join(ids, "key", "left_semi").join(cover.hint("shuffle_hash"), "key")
-    touched = touched.withColumn("repeats", cut(F.col(text).cast("string"), "cover")).drop("cover", "key")
+    touched = rows.join(ids, "__key", "left_semi").join(cover.hint("shuffle_hash"), "__key")
+    touched = touched.withColumn("repeats", cut(F.col(text).cast("string"), "__cover")).drop("__cover", "__key")
     same = F.struct(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("kept"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"))
-    return rows.join(ids, "key", "left_anti").withColumn("repeats", same).drop("key").unionByName(touched)
+    return rows.join(ids, "__key", "left_anti").withColumn("repeats", same).drop("__key").unionByName(touched)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seamark.llm import jaccard_join, repeats
 from seamark.llm.suffix_array import permuted_lcp, suffix_array
@@ -124,6 +125,15 @@ def test_suffix_array():
             assert (a[: lcp[sa[r]]] == b[: lcp[sa[r]]]).all() and a[lcp[sa[r]]] != b[lcp[sa[r]]]
 
 
+def test_repeats_keep_other_columns(spark):
+    """Columns named like the operator's own tables' stay; one named like its result is replaced."""
+    line = "a passage of some length that stands in two documents, " * 6
+    rows = [(1, "x " + line, "k1", 7, "c"), (2, "y " + line, "k2", 8, "d"), (3, "short", "k3", 9, "e")]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, key string, h int, cover string").withColumn("repeats", F.lit(0))).collect()
+    assert {(r["doc_id"], r["key"], r["h"], r["cover"]) for r in got} == {(1, "k1", 7, "c"), (2, "k2", 8, "d"), (3, "k3", 9, "e")}
+    assert {r["doc_id"]: len(r["repeats"]["spans"]) for r in got} == {1: 1, 2: 1, 3: 0}
+
+
 @pytest.mark.parametrize("cap", [2048, 2])
 def test_repeats(spark, cap):
     """With the cap at 2 the finer units are used for all but pairs."""
