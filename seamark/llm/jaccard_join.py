@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE) ->
     def sign(batches):
         for b in batches:
             data, at = tb.flat(b.column(1))
-            for i, j in tb.pieces(at):
+            for i, j in tb.pieces(at, prefix.PIECE):
                 bounds, h = sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(tb.splitmix(h ^ np.uint64(s)), dtype=np.uint64)]) for s in (0, 0x5DEECE66D)]
                 signs = [pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums]
@@ -300,7 +300,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             data, at = tb.flat(b.column(3))
             a_out, b_out = [], []
             meta = [b.column(k).to_pylist() for k in range(3)]
-            for i, j in tb.pieces(at):
+            for i, j in tb.pieces(at, prefix.PIECE):
                 bounds, h = sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
                 for k in range(i, j):
                     own = h[bounds[k - i] : bounds[k - i + 1]]

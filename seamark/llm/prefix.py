@@ -25,6 +25,8 @@ from seamark.llm import textbytes as tb
 from seamark.llm.common import stored
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of text of which a task holds the elements at once; the arrays for a byte take some fifty times its room.
+PIECE = 1 << 19
 #: Elements that a task adds up, about.
 TASK_ELEMENTS = 1_000_000
 #: A bitmap has four to eight bits for each element, a power of two in all.
@@ -134,7 +136,7 @@ def profiles(texts: DataFrame, sets: Sets, total: int, percent: int) -> DataFram
 
     def own_sets(at: pa.Buffer, data: pa.Buffer):
         ends, every = np.frombuffer(at, np.int64), np.frombuffer(data, np.uint8)
-        for i, j in tb.pieces(ends):
+        for i, j in tb.pieces(ends, PIECE):
             bounds, h = sets(every[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
             yield i, j, bounds, h
 
