@@ -106,25 +106,69 @@ def coalesced(spark, sf_dir):
     return tracks.coalesce_window(fixtures.positions(spark, sf_dir), ["sog_t", "heading"], 60)
 
 
-@_query()
+
+# Recurrences as recursive SQL: a step joins each vessel's row k to what row k - 1 left.
+
+
+def _rate_sql(rows: str) -> str:
+    """CTEs r0 and rate (mmsi, seq, accepted): a bucket of 5 a vessel, a token a second, over ``rows`` (mmsi, t_s, seq)."""
+    return f"""r0 AS MATERIALIZED (SELECT mmsi, seq, t_s, row_number() OVER (PARTITION BY mmsi ORDER BY t_s, seq) AS k FROM {rows}),
+rate AS (SELECT mmsi, seq, t_s, k, CAST(4 AS BIGINT) AS tokens, TRUE AS accepted FROM r0 WHERE k = 1
+  UNION ALL SELECT mmsi, seq, t_s, k, CASE WHEN have >= 1 THEN have - 1 ELSE have END, have >= 1
+  FROM (SELECT r0.*, CAST(least(5, rate.tokens + r0.t_s - rate.t_s) AS BIGINT) AS have FROM rate JOIN r0 ON r0.mmsi = rate.mmsi AND r0.k = rate.k + 1) h)"""
+
+
+def _bucket_sql(rows: str, burst: int, per_minute: int) -> str:
+    """CTEs known and since (mmsi, from_t, from_seq): a step is the next frame of an unknown vessel that finds a token."""
+    return f"""known AS (SELECT CAST(0 AS BIGINT) AS n, CAST({60 * burst} AS BIGINT) AS tokens, (SELECT min(t_s) FROM {rows}) AS t, CAST(-1 AS BIGINT) AS s, CAST([] AS BIGINT[]) AS ids
+  UNION ALL SELECT n + 1, CAST(least({60 * burst}, tokens + (f.t_s - t) * {per_minute}) - 60 AS BIGINT), f.t_s, f.seq, list_append(ids, f.mmsi)
+  FROM (SELECT k.n, k.tokens, k.t, k.ids, min({{'t_s': f.t_s, 'seq': f.seq, 'mmsi': f.mmsi}}) AS f FROM known k JOIN {rows} f ON (f.t_s > k.t OR (f.t_s = k.t AND f.seq > k.s))
+    AND least({60 * burst}, k.tokens + (f.t_s - k.t) * {per_minute}) >= 60 AND NOT list_contains(k.ids, f.mmsi) GROUP BY ALL) g),
+since AS (SELECT ids[n] AS mmsi, t AS from_t, s AS from_seq FROM known WHERE n > 0)"""
+
+
+_TRAIL = f"""WITH RECURSIVE p AS ({POSITIONS}),
+f AS MATERIALIZED (SELECT mmsi, seq, t_s, lng, lat, row_number() OVER (PARTITION BY mmsi ORDER BY t_s, seq) AS k FROM p WHERE lng IS NOT NULL AND lat IS NOT NULL),
+o AS (SELECT mmsi, seq, t_s, lng, lat, k, CAST(0 AS BIGINT) AS session, TRUE AS accepted, t_s AS t0, lng AS lng0, lat AS lat0 FROM f WHERE k = 1
+  UNION ALL SELECT mmsi, seq, t_s, lng, lat, k, session, ok, CASE WHEN ok THEN t_s ELSE t0 END, CASE WHEN ok THEN lng ELSE lng0 END, CASE WHEN ok THEN lat ELSE lat0 END
+  FROM (SELECT *, t0 IS NULL OR t_s <= t0 OR sqrt(pow((lng - lng0) * 111000.0e0 * cos(radians((lat0 + lat) / 2)), 2) + pow((lat - lat0) * 111000.0e0, 2)) <= 60.0e0 * 0.5144e0 * (t_s - t0) + 75.0e0 AS ok
+    FROM (SELECT f.*, o.session + CASE WHEN f.t_s - o.t_s > 600 THEN 1 ELSE 0 END AS session, CASE WHEN f.t_s - o.t_s <= 600 THEN o.t0 END AS t0, o.lng0, o.lat0 FROM o JOIN f ON f.mmsi = o.mmsi AND f.k = o.k + 1) h) g)"""
+_TRAIL_POINTS = f"""{_TRAIL}, a AS (SELECT *, max(t_s) OVER (PARTITION BY mmsi) AS end_s, max(session) OVER (PARTITION BY mmsi) AS newest FROM o WHERE accepted),
+n AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t_s DESC, seq DESC) AS rn FROM a WHERE session = newest AND t_s >= end_s - 300),
+tp AS (SELECT mmsi, CAST(row_number() OVER (PARTITION BY mmsi ORDER BY t_s, seq) - 1 AS INTEGER) AS i, t_s, seq, lng, lat FROM n WHERE rn <= 30)"""
+
+_KALMAN = f"""WITH RECURSIVE p AS ({POSITIONS}),
+f AS MATERIALIZED (SELECT mmsi, seq, t_s, lng, lat, row_number() OVER (PARTITION BY mmsi ORDER BY t_s, seq) AS k FROM p WHERE lng IS NOT NULL AND lat <= 90),
+kf AS (SELECT mmsi, seq, t_s, k, lng, lat, 0.0e0 AS vlng, 0.0e0 AS vlat, 9e-4 * 9e-4 AS p00, 0.0e0 AS p01, 1e-5 * 1e-5 AS p11 FROM f WHERE k = 1
+  UNION ALL SELECT mmsi, seq, t_s, k, CASE WHEN fit THEN x + g0 * (lng - x) ELSE lng END, CASE WHEN fit THEN y + g0 * (lat - y) ELSE lat END, CASE WHEN fit THEN vlng + g1 * (lng - x) ELSE 0.0e0 END, CASE WHEN fit THEN vlat + g1 * (lat - y) ELSE 0.0e0 END,
+    CASE WHEN fit THEN n00 ELSE 9e-4 * 9e-4 END, CASE WHEN fit THEN n01 ELSE 0.0e0 END, CASE WHEN fit THEN n11 ELSE 1e-5 * 1e-5 END
+  FROM (SELECT *, abs(n00) <= 1000 AND abs(n01) <= 1000 AND abs(n11) <= 1000 AS fit
+    FROM (SELECT *, (1 - g0) * q00 AS n00, (1 - g0) * q01 AS n01, q11 - g1 * q01 AS n11
+      FROM (SELECT *, q00 / (q00 + 9e-5 * 9e-5) AS g0, q01 / (q00 + 9e-5 * 9e-5) AS g1
+        FROM (SELECT *, x0 + vlng * dt AS x, y0 + vlat * dt AS y, p00 + 2 * dt * p01 + dt * dt * p11 + 9e-7 * 9e-7 * dt * dt * dt * dt / 4 AS q00,
+            p01 + dt * p11 + 9e-7 * 9e-7 * dt * dt * dt / 2 AS q01, p11 + 9e-7 * 9e-7 * dt * dt AS q11
+          FROM (SELECT f.*, kf.lng AS x0, kf.lat AS y0, kf.vlng, kf.vlat, kf.p00, kf.p01, kf.p11, CAST(greatest(least(f.t_s - kf.t_s, 60), 0) AS DOUBLE) AS dt FROM kf JOIN f ON f.mmsi = kf.mmsi AND f.k = kf.k + 1) a) b) c) d) e)"""
+
+
+@_query(f"""WITH RECURSIVE p AS ({POSITIONS}), slow AS (SELECT mmsi, seq, CAST(floor(t_s / 15) AS BIGINT) AS t_s FROM p), {_rate_sql('slow')} SELECT mmsi, seq, accepted FROM rate""")
 def rate_limited(spark, sf_dir):
-    """Frames on a clock fifteen times as slow, so that the bucket runs dry; tested against a fold."""
+    """Frames on a clock fifteen times as slow, so that the bucket runs dry."""
     fast = fixtures.positions(spark, sf_dir).withColumn("t_s", F.floor(F.col("t_s") / 15))
     return tracks.rate_limit(fast).select("mmsi", "seq", "accepted")
 
 
-@_query()
+@_query(f"{_TRAIL} SELECT mmsi, session, seq, accepted FROM o")
 def trail_outliers(spark, sf_dir):
     return tracks.trail_outliers(fixtures.positions(spark, sf_dir)).select("mmsi", "session", "seq", "accepted")
 
 
-@_query()
+@_query(f"{_TRAIL_POINTS} SELECT mmsi, i, t_s, seq, round(lng, 6) AS lng, round(lat, 6) AS lat FROM tp")
 def trail_points(spark, sf_dir):
     rows = tracks.trails(fixtures.positions(spark, sf_dir)).select("mmsi", F.posexplode("trail").alias("i", "p"))
     return rows.select("mmsi", "i", "p.t_s", "p.seq", F.round("p.lng", 6).alias("lng"), F.round("p.lat", 6).alias("lat"))
 
 
-@_query()
+@_query(f"{_KALMAN} SELECT mmsi, seq, round(lng, 7) AS lng, round(lat, 7) AS lat, round(vlng * 1e6, 4) AS vlng_u, round(vlat * 1e6, 4) AS vlat_u FROM kf")
 def kalman_track(spark, sf_dir):
     rows = tracks.kalman(fixtures.positions(spark, sf_dir).where("lat <= 90"))
     return rows.select("mmsi", "seq", F.round("lng", 7).alias("lng"), F.round("lat", 7).alias("lat"), F.round(F.col("vlng") * 1e6, 4).alias("vlng_u"), F.round(F.col("vlat") * 1e6, 4).alias("vlat_u"))
@@ -303,9 +347,10 @@ def new_vessels_admitted(spark, sf_dir):
     return quality.admitted(fixtures.positions(spark, sf_dir), burst=20, per_minute=10).select("seq", "mmsi", "admitted")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE p AS MATERIALIZED ({POSITIONS}), {_bucket_sql('p', 20, 10)}
+SELECT p.seq, p.mmsi, coalesce(p.t_s > from_t OR (p.t_s = from_t AND p.seq >= from_seq), FALSE) AS admitted FROM p LEFT JOIN since ON since.mmsi = p.mmsi""")
 def new_vessels_bucket(spark, sf_dir):
-    """The same quotas as one bucket, at which rejected vessels try again; tested against a fold."""
+    """The same quotas as one bucket, at which rejected vessels try again."""
     return quality.admitted_by_bucket(fixtures.positions(spark, sf_dir), burst=20, per_minute=10).select("seq", "mmsi", "admitted")
 
 
@@ -452,7 +497,10 @@ def static_gate(spark, sf_dir):
     return s.select(F.coalesce(feeds.static_reason(F.col("mmsi"), F.col("imo"), F.col("ship_type") * 3), F.lit("accepted")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE p AS ({POSITIONS}), g AS MATERIALIZED (SELECT seq, mmsi, t_s, {_FIRST_REASON} AS reason FROM p), ok AS MATERIALIZED (SELECT * FROM g WHERE reason IS NULL), {_bucket_sql('ok', 20, 10)},
+adm AS MATERIALIZED (SELECT ok.* FROM ok JOIN since ON since.mmsi = ok.mmsi AND (ok.t_s > from_t OR (ok.t_s = from_t AND ok.seq >= from_seq))), {_rate_sql('adm')}
+SELECT CASE WHEN g.reason IS NOT NULL THEN g.reason WHEN rate.seq IS NULL THEN 'new-vessel-limited' WHEN NOT accepted THEN 'rate-limited' ELSE 'accepted' END AS outcome, count(*) AS n
+FROM g LEFT JOIN rate ON rate.mmsi = g.mmsi AND rate.seq = g.seq GROUP BY 1""")
 def gate_chain(spark, sf_dir):
     """Outcomes of the ordered gates, new vessels and the rate of each vessel included."""
     rows = feeds.gate_chain(fixtures.positions(spark, sf_dir), burst=20, per_minute=10)
