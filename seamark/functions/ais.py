@@ -14,6 +14,9 @@ SHIP_TYPE_LABELS = (
     (54, 54, "Anti-pollution"), (55, 55, "Law enforcement"), (58, 58, "Medical transport"), (60, 69, "Passenger"), (70, 79, "Cargo"), (80, 89, "Tanker"), (90, 99, "Other"),
 )
 SOURCES = {0: "LocalUdp", 1: "WebSdr", 2: "AisStream", 3: "EdgeBridge"}
+SOURCE_DESCRIPTIONS = {0: "Local dev UDP feed", 1: "Regional WebSDR fallback", 2: "Public AisStream fallback", 3: "Own RTL-SDR antenna over mTLS edge bridge"}
+NO_SOURCE = ("Unknown", "Source not recorded (pre sourceId tracking)")
+STALE_S = 120
 AGE_WEIGHTS = ((0, 0.95), (60, 0.92), (180, 0.7), (360, 0.45), (540, 0.15), (600, 0.0))
 SOURCE_WEIGHTS = {3: 1.0, 0: 0.55, 1: 0.55, 2: 0.55}
 UNKNOWN_SOURCE_WEIGHT = 0.4
@@ -88,6 +91,45 @@ def source_name(source_id: Column) -> Column:
     return F.when(source_id.isNull(), "Unknown").otherwise(F.coalesce(named, F.concat(F.lit("#"), source_id.cast("string"))))
 
 
+def source_label(source_id: Column) -> Column:
+    """Name for lists: any id that isn't listed is unknown."""
+    return F.coalesce(first_reason(*((source_id == k, v) for k, v in SOURCES.items())), F.lit(NO_SOURCE[0]))
+
+
+def source_description(source_id: Column) -> Column:
+    return F.coalesce(first_reason(*((source_id == k, v) for k, v in SOURCE_DESCRIPTIONS.items())), F.lit(NO_SOURCE[1]))
+
+
+def stale(age_s: Column) -> Column:
+    return age_s >= STALE_S
+
+
+# Flags and keys
+
+
+def has_flag(flags: Column, flag: int) -> Column:
+    return flags.bitwiseAND(flag) != 0
+
+
+def with_flag(flags: Column, flag: int) -> Column:
+    return flags.bitwiseOR(flag)
+
+
+def without_flag(flags: Column, flag: int) -> Column:
+    return flags.bitwiseAND(~flag)
+
+
+def membership_key(mmsi: Column, zone_id: Column) -> Column:
+    return F.concat_ws("|", mmsi.cast("string"), zone_id)
+
+
+def parsed_key(key: Column) -> Column:
+    """struct<mmsi, zone_id> of a key of two parts whose first is a number; null for any other."""
+    parts = F.split(key, r"\|")
+    mmsi = F.get(parts, F.lit(0)).try_cast("long")
+    return F.when((F.size(parts) == 2) & mmsi.isNotNull(), F.struct(mmsi.alias("mmsi"), F.get(parts, F.lit(1)).alias("zone_id")))
+
+
 # Geometry and time
 
 
@@ -141,13 +183,43 @@ def relative_time(then_s: Column, now_s: Column) -> Column:
     return F.when(age < 60, F.concat(age, F.lit("s ago"))).when(age < 3600, F.concat(F.floor(age / 60), F.lit("m ago"))).otherwise(F.concat(F.floor(age / 3600), F.lit("h ago")))
 
 
+def event_time(then_s: Column, now_s: Column) -> Column:
+    """Relative for a day, then the moment."""
+    return F.when(now_s - then_s < 86_400, relative_time(then_s, now_s)).otherwise(F.date_format(F.timestamp_seconds(then_s), "yyyy-MM-dd HH:mm"))
+
+
+def whole_seconds(millis: Column) -> Column:
+    return F.floor(millis / 1000)
+
+
+def iso_text(millis: Column) -> Column:
+    """A moment in ISO 8601; the session's time zone has to be UTC, as for all timestamps here."""
+    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def sog_text(sog: Column) -> Column:
+    return or_dash(F.format_string("%.1f kn", sog), sog.isNull())
+
+
+def cog_text(cog: Column) -> Column:
+    return or_dash(F.format_string("%.1f°", cog), cog.isNull())
+
+
+def heading_text(heading: Column) -> Column:
+    return or_dash(F.concat(heading.cast("string"), F.lit("°")))
+
+
+def ship_type_text(code: Column) -> Column:
+    return or_dash(F.concat(ship_type_label(code), F.lit(" ("), code.cast("string"), F.lit(")")))
+
+
 def or_dash(value: Column, blank: Column | None = None) -> Column:
     return F.when(value.isNull() if blank is None else value.isNull() | blank, DASH).otherwise(value)
 
 
 def degrees_text(value: Column, axis: str) -> Column:
     side = F.when(value >= 0, "N" if axis == "lat" else "E").otherwise("S" if axis == "lat" else "W")
-    return or_dash(F.concat(F.format_string("%.6f", F.abs(value)), F.lit("° "), side))
+    return or_dash(F.concat(F.format_string("%.6f", F.abs(value)), F.lit("° "), side), value.isNull())
 
 
 def eta_text(month: Column, day: Column, hour: Column, minute: Column) -> Column:

@@ -121,6 +121,11 @@ def presence(events: DataFrame) -> DataFrame:
     return last.groupBy("mmsi").agg(F.sort_array(F.collect_set(F.when(F.col("kind") == "enter", F.col("zone_id")))).alias("zones"))
 
 
+def in_any(positions: DataFrame, zones: DataFrame) -> DataFrame:
+    """The positions in any of the zones at their moment, without dwell."""
+    return positions.join(membership(positions, zones).select("mmsi", "seq").distinct(), ["mmsi", "seq"], "left_semi")
+
+
 #: Kinds of zones in the order in which lists show them.
 KIND_ORDER = ("port", "anchorage", "general")
 

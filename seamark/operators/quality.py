@@ -99,6 +99,13 @@ def quarantine(rows: DataFrame) -> DataFrame:
     return rows.where("reason IS NOT NULL").select(F.col("t_s").alias("ts"), "source_id", F.struct(F.col("reason").alias("kind"), ais.coarse_reason(F.col("reason")).alias("gate")).alias("reason"), body.alias("raw"))
 
 
+def vessel_counts(rows: DataFrame, *by: str, approximate: bool = False) -> DataFrame:
+    """Vessels, and vessels with a fix; ``approximate`` counts them in sketches, which merge without a shuffle of ids."""
+    count = F.approx_count_distinct if approximate else F.countDistinct
+    fix = F.when(F.col("lng").isNotNull() & F.col("lat").isNotNull(), F.col("mmsi"))
+    return rows.groupBy(*by).agg(count("mmsi").alias("vessels"), count(fix).alias("with_fix"))
+
+
 def source_counts(rows: DataFrame) -> DataFrame:
     """Accepted and rejected frames of each source, and the time of its last frame."""
     return rows.groupBy("source_id").agg(F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"), F.max("t_s").alias("last_frame_s"))

@@ -88,6 +88,23 @@ def events_feed(events: DataFrame, statics: DataFrame, zones: DataFrame, limit:
     return out.orderBy(F.col("at_s").desc(), "event_id").limit(limit)
 
 
+def alert_texts(events: DataFrame, statics: DataFrame, zones: DataFrame, latest: DataFrame) -> DataFrame:
+    """events with ``event_id``, ``title`` and ``about``: speed, course and call sign of the vessel, null if none is known."""
+    names = statics.select("mmsi", "vessel_name", "call_sign")
+    rows = events.join(names, "mmsi", "left").join(latest.select("mmsi", "sog_t", "cog_t"), "mmsi", "left").join(zones.select(F.col("id").alias("zone_id"), "label"), "zone_id", "left")
+    vessel = F.coalesce(F.nullif(F.trim("vessel_name"), F.lit("")), F.concat(F.lit("MMSI "), F.col("mmsi").cast("string")))
+    zone = F.coalesce("label", "zone_id")
+    # Halves go up, as they do on screens.
+    whole = lambda c: F.floor(c + 0.5).cast("string")
+    title = F.when(F.col("kind") == "enter", F.concat(vessel, F.lit(" entered "), zone)).when(F.col("kind") == "exit", F.concat(vessel, F.lit(" left "), zone))
+    title = title.otherwise(F.concat(vessel, F.lit(" silent in "), zone, F.lit(" for "), whole(F.col("silent_s") / 60), F.lit(" min")))
+    speed = F.when(F.col("sog_t").isNotNull(), ais.sog_text(F.col("sog_t") / 10))
+    course = F.when(F.col("cog_t").isNotNull(), F.concat(whole(F.col("cog_t") / 10), F.lit("°")))
+    about = F.nullif(F.concat_ws(" · ", speed, course, F.nullif(F.trim("call_sign"), F.lit(""))), F.lit(""))
+    event_id = F.concat_ws("|", "kind", F.col("mmsi").cast("string"), "zone_id", F.col("at_s").cast("string"))
+    return rows.select(*(events[c] for c in events.columns), event_id.alias("event_id"), title.alias("title"), about.alias("about"))
+
+
 def with_status(positions: DataFrame) -> DataFrame:
     """The latest fix of each vessel with moving (after hysteresis) and status."""
     sog = F.col("sog_t") / 10
@@ -119,13 +136,32 @@ def updates(positions: DataFrame) -> DataFrame:
     return positions.withColumn("flags", flag(moving, ais.FLAG_MOVING).bitwiseOR(flag(fix, ais.FLAG_FIX)).bitwiseOR(flag(ship, ais.FLAG_IDENTITY)))
 
 
-def vessel_features(latest: DataFrame, statics: DataFrame, as_of_s: int) -> DataFrame:
-    """(mmsi, feature): one GeoJSON point per vessel with a fix."""
+def live(latest: DataFrame, as_of_s: int, stale_s: int = FRESH_S) -> DataFrame:
+    """The vessels that aren't stale: a fix of exactly stale_s is kept."""
+    return latest.where(as_of_s - F.col("t_s") <= stale_s)
+
+
+def last_points(points: Column, n: int) -> Column:
+    """The last n of an array in its order."""
+    return F.slice(points, F.greatest(F.size(points) - n + 1, F.lit(1)), F.lit(n))
+
+
+def fresh_points(points: Column, from_s: Column) -> Column:
+    """points (in order of time) from the first one on that isn't before from_s."""
+    old = F.size(F.filter(points, lambda p: p["t_s"] < from_s))
+    return F.slice(points, old + 1, F.size(points))
+
+
+def vessel_features(latest: DataFrame, statics: DataFrame, as_of_s: int, selected: int | None = None) -> DataFrame:
+    """(mmsi, feature): one GeoJSON point per vessel with a fix. Without ``flags`` a vessel moves above 0.5 knots."""
+    flagged = ais.has_flag(F.col("flags"), ais.FLAG_MOVING) if "flags" in latest.columns else F.coalesce(F.col("sog_t") > 5, F.lit(False))
     rows = latest.where("lng IS NOT NULL AND lat IS NOT NULL").join(statics.select("mmsi", "vessel_name", "ship_type"), "mmsi", "left")
     age = F.greatest(F.lit(as_of_s) - F.col("t_s"), F.lit(0))
     about = F.struct(
         "mmsi", F.coalesce(F.trim("vessel_name"), F.lit("")).alias("name"), ais.ship_category(F.coalesce("ship_type", F.lit(0))).alias("category"), age.alias("ageSeconds"),
         F.coalesce("heading", (F.col("cog_t") / 10).cast("int"), F.lit(0)).cast("int").alias("heading"), "source_id",
+        (F.col("heading").isNotNull() | F.col("cog_t").isNotNull()).alias("hasHeading"), (F.col("sog_t") / 10).alias("sog"), (F.col("cog_t") / 10).alias("cog"),
+        flagged.alias("isMoving"), F.coalesce(F.col("mmsi") == F.lit(selected).cast("long"), F.lit(False)).alias("selected"),
     )
     point = F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates"))
     return rows.select("mmsi", F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), about.alias("properties"))).alias("feature"))

@@ -321,7 +321,7 @@ SELECT seq, age >= 120 AS stale, round(CASE WHEN age <= 0 THEN 0.95 WHEN age < 6
   WHEN age < 540 THEN 0.45 + (age - 360) * (0.15 - 0.45) / 180 WHEN age < 600 THEN 0.15 + (age - 540) * (0 - 0.15) / 60 ELSE 0 END * CASE WHEN source_id = 3 THEN 1.0e0 ELSE 0.55e0 END, 9) AS weight FROM a""")
 def freshness_weight(spark, sf_dir):
     age = (F.col("seq") * 7) % 700
-    return fixtures.positions(spark, sf_dir).select("seq", (age >= 120).alias("stale"), F.round(ais.freshness(age, F.col("source_id")), 9).alias("weight"))
+    return fixtures.positions(spark, sf_dir).select("seq", ais.stale(age).alias("stale"), F.round(ais.freshness(age, F.col("source_id")), 9).alias("weight"))
 
 
 @_query(f"""{_P}, l AS (SELECT * FROM (SELECT mmsi, lng, lat, row_number() OVER (PARTITION BY mmsi ORDER BY t_s DESC, seq DESC) AS rn FROM p) WHERE rn = 1 AND lng IS NOT NULL AND lat <= 90),

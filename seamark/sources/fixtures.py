@@ -50,6 +50,16 @@ SELECT c_custkey AS seq, 261000000 + c_custkey AS mmsi,
 FROM (SELECT c_custkey, c_name, c_mktsegment, 100000 + c_custkey AS d6 FROM customer) base
 """
 
+#: Two static messages per vessel: a full one, then one with some fields, blanks and a part of an arrival time.
+MESSAGES = f"""
+SELECT seq * 2 AS seq, mmsi, 1704067200 + seq * 60 AS t_s, seq % 4 AS source_id, vessel_name, call_sign, imo, ship_type, to_bow, to_stern, to_port, to_starboard, draught_t, destination, eta_month, eta_day, eta_hour, eta_minute
+FROM ({STATICS}) full_one
+UNION ALL SELECT seq * 2 + 1, mmsi, 1704067200 + seq * 60 + 7 * (seq % 3), (seq + 1) % 4, CASE WHEN seq % 3 = 0 THEN concat('NEW ', seq) ELSE ' ' END, '', CASE WHEN seq % 2 = 0 THEN imo END,
+  CASE WHEN seq % 5 = 0 THEN 0 WHEN seq % 5 < 3 THEN (seq + 1) % 100 END, CASE WHEN seq % 4 = 0 THEN to_bow + 1 END, CASE WHEN seq % 8 = 0 THEN to_stern END, CASE WHEN seq % 8 = 1 THEN to_port END, CASE WHEN seq % 8 = 9 THEN to_starboard END,
+  CASE WHEN seq % 7 = 0 THEN draught_t END, CASE WHEN seq % 3 = 1 THEN '' ELSE destination END, CASE WHEN seq % 6 = 0 THEN eta_month END, CASE WHEN seq % 6 = 1 THEN eta_day END, CASE WHEN seq % 6 = 9 THEN eta_hour END, CASE WHEN seq % 12 = 0 THEN eta_minute END
+FROM ({STATICS}) part_of
+"""
+
 #: Rings of synthetic zones; corners lie between micro-degrees, so that no fixture point is on an edge.
 ZONES = (
     ("A", "Basin A", "port", True, False, [[(14.5000005, 53.3500005), (14.6500005, 53.3500005), (14.6500005, 53.4500005), (14.5000005, 53.4500005)]]),
@@ -77,6 +87,10 @@ def statics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "customer", STATICS)
 
 
+def static_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "customer", MESSAGES)
+
+
 def zones(spark: SparkSession) -> DataFrame:
     rows = [(i, label, kind, visible, decorative, [[[x, y] for x, y in ring] for ring in rings]) for i, label, kind, visible, decorative, rings in ZONES]
     return spark.createDataFrame(rows, "id string, label string, kind string, visible boolean, decorative boolean, rings array<array<array<double>>>")

@@ -6,21 +6,25 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read back, as frames land before they are decoded.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir.
 
     A session of one machine that names no such folder gets a local one; on a cluster that is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/landed-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back, as frames land before they are decoded."""
+    path = shared_path(df.sparkSession, "landed")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

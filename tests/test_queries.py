@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from seamark.plans.queries import ORACLE_SQL, QUERIES
+from seamark.plans import queries, vessel_queries
+
+ORACLE_SQL, QUERIES = queries.ORACLE_SQL | vessel_queries.ORACLE_SQL, queries.QUERIES | vessel_queries.QUERIES
 
 
 @pytest.fixture(scope="module")
