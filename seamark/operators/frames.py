@@ -1,6 +1,7 @@
 """Radio sentences and JSON messages: encoding, checks, reassembly and decoding, as column expressions.
 
-Bit layouts follow ITU-R M.1371. A payload is turned into a text of 0s and 1s once; fields are slices of it.
+Bit layouts follow ITU-R M.1371. The armour of a payload is one-to-one with base64, so that its bits are read as hex
+digits; fields are cut out of these by shifts and masks.
 Rows that fail keep the first reason and go to quarantine; rows that wait for another part are pending.
 """
 
@@ -13,12 +14,15 @@ from seamark.operators.replay import replayed
 from seamark.streaming import reassembly
 
 # Fixed values of the standard: field widths, in order.
-POSITION_A = (("type", 6), ("repeat", 2), ("mmsi", 30), ("nav_status", 4), ("rot", 8), ("sog", 10), ("accuracy", 1), ("lng", 28), ("lat", 27), ("cog", 12), ("heading", 9), ("second", 6), ("rest", 25))
-POSITION_B = (("type", 6), ("repeat", 2), ("mmsi", 30), ("reserved", 8), ("sog", 10), ("accuracy", 1), ("lng", 28), ("lat", 27), ("cog", 12), ("heading", 9), ("second", 6), ("rest", 29))
+POSITION_A = (("type", 6), ("repeat", 2), ("mmsi", 30), ("nav_status", 4), ("rot", 8), ("sog", 10), ("accuracy", 1), ("lng", 28), ("lat", 27), ("cog", 12), ("heading", 9), ("second", 6), ("maneuver", 2), ("spare", 3), ("raim", 1), ("radio", 19))
+POSITION_B = (("type", 6), ("repeat", 2), ("mmsi", 30), ("reserved", 8), ("sog", 10), ("accuracy", 1), ("lng", 28), ("lat", 27), ("cog", 12), ("heading", 9), ("second", 6), ("spare", 2), ("cs_unit", 1), ("display", 1), ("dsc", 1), ("band", 1), ("message_22", 1), ("assigned", 1), ("raim", 1), ("radio", 20))
 STATIC_A = (("type", 6), ("repeat", 2), ("mmsi", 30), ("version", 2), ("imo", 30), ("call_sign", 42), ("vessel_name", 120), ("ship_type", 8), ("to_bow", 9), ("to_stern", 9), ("to_port", 6), ("to_starboard", 6), ("fix_type", 4), ("eta_month", 4), ("eta_day", 5), ("eta_hour", 5), ("eta_minute", 6), ("draught", 8), ("destination", 120), ("dte", 1), ("spare", 1))
 STATIC_B_NAME = (("type", 6), ("repeat", 2), ("mmsi", 30), ("part", 2), ("vessel_name", 120))
 STATIC_B_REST = (("type", 6), ("repeat", 2), ("mmsi", 30), ("part", 2), ("ship_type", 8), ("vendor", 42), ("call_sign", 42), ("to_bow", 9), ("to_stern", 9), ("to_port", 6), ("to_starboard", 6), ("spare", 6))
 TEXTS = ("call_sign", "vessel_name", "destination", "vendor")
+ARMOUR = "".join(chr(k + (48 if k < 40 else 56)) for k in range(64))
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+NO_TURN = -128
 NO_LNG, NO_LAT, NO_SOG, NO_COG, NO_HEADING = 181 * 600_000, 91 * 600_000, 1023, 3600, 511
 PART_CHARS, PART_TTL_S = 56, 5
 
@@ -43,17 +47,26 @@ def text_bits(value: Column, chars: int) -> Column:
 
 def armoured(rows: DataFrame, bits: Column) -> DataFrame:
     """rows with ``payload``: six bits to a character; the last group is filled with 0s."""
-    # A column of its own, so that the bits aren't made again for every character.
-    rows = rows.withColumn("__bits", bits).withColumn("__bits", F.rpad("__bits", (F.ceil(F.length("__bits") / 6) * 6).cast("int"), F.lit("0")))
-    value = lambda i: F.conv(F.substring("__bits", i * 6 + 1, F.lit(6)), 2, 10).cast("int")
-    codes = F.transform(F.sequence(F.lit(0), (F.length("__bits") / 6).cast("int") - 1), value)
-    return rows.withColumn("payload", F.array_join(F.transform(codes, lambda v: F.chr(v + F.when(v < 40, 48).otherwise(56))), "")).drop("__bits")
+    # A column of its own, so that the bits aren't made again for every group; 120 of them are whole hex and base64 digits.
+    rows = rows.withColumn("__bits", bits).withColumns({"__n": F.ceil(F.length("__bits") / 6).cast("int"), "__bits": F.rpad("__bits", (F.ceil(F.length("__bits") / 120) * 120).cast("int"), F.lit("0"))})
+    digits = lambda i: F.lpad(F.conv(F.substring("__bits", i * 60 + 1, F.lit(60)), 2, 16), 15, "0")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), (F.length("__bits") / 60).cast("int") - 1), digits), "")
+    return rows.withColumn("payload", F.substring(F.translate(F.base64(F.unhex(text)), BASE64, ARMOUR), F.lit(1), F.col("__n"))).drop("__bits", "__n")
 
 
 def checksum(body: Column) -> Column:
-    """Exclusive or of the characters."""
+    """Exclusive or of the characters: of ASCII texts by eight at once."""
     codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda i: F.ascii(F.substring(body, i, 1)))
-    return F.aggregate(codes, F.lit(0), lambda a, b: a.bitwiseXOR(b))
+    each = F.aggregate(codes, F.lit(0), lambda a, b: a.bitwiseXOR(b))
+    word = lambda i: F.coalesce(F.conv(F.hex(F.substring(body, i * 8 + 1, F.lit(8))), 16, 10).cast("long"), F.lit(0).cast("long"))
+    words = F.transform(F.sequence(F.lit(0), F.floor(F.length(body) / 8).cast("int")), word)
+    # Of a sum of words the bytes are added in three halvings.
+    fold = F.aggregate(words, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b), lambda a: _halved(_halved(_halved(a, 32), 16), 8).bitwiseAND(255).cast("int"))
+    return F.when(F.octet_length(body) == F.length(body), fold).otherwise(each)
+
+
+def _halved(value: Column, width: int) -> Column:
+    return value.bitwiseXOR(F.shiftrightunsigned(value, width))
 
 
 def sentence(body: Column, flip: Column | None = None) -> Column:
@@ -66,10 +79,10 @@ def position_sentences(positions: DataFrame) -> DataFrame:
     c = F.col
     lng, lat = F.round(c("lng_u") * 0.6).cast("long"), F.round(c("lat_u") * 0.6).cast("long")
     sog, cog, heading = F.coalesce(c("sog_t"), F.lit(NO_SOG)), F.coalesce(c("cog_t"), F.lit(NO_COG)), F.coalesce(c("heading"), F.lit(NO_HEADING))
-    tail = [uint_bits(sog, 10), F.lit("1"), int_bits(lng, 28), int_bits(lat, 27), uint_bits(cog, 12), uint_bits(heading, 9), uint_bits(c("t_s") % 60, 6)]
+    tail = [uint_bits(sog, 10), uint_bits(c("seq") % 2, 1), int_bits(lng, 28), int_bits(lat, 27), uint_bits(cog, 12), uint_bits(heading, 9), uint_bits(c("t_s") % 60, 6)]
     head = [uint_bits(c("msg_type"), 6), F.lit("00"), uint_bits(c("mmsi"), 30)]
-    a = F.concat(*head, uint_bits(c("nav_status"), 4), F.lit("10000000"), *tail, F.lit("0" * 25))
-    b = F.concat(*head, F.lit("0" * 8), *tail, F.lit("0" * 29))
+    a = F.concat(*head, uint_bits(c("nav_status"), 4), int_bits(c("seq") % 256 - 128, 8), *tail, uint_bits(c("seq") % 3, 2), F.lit("000"), uint_bits(c("seq") % 5 % 2, 1), uint_bits(c("seq") % 500_000, 19))
+    b = F.concat(*head, F.lit("0" * 8), *tail, F.lit("00"), uint_bits(c("seq") % 128, 7), uint_bits(c("seq") % 1_000_000, 20))
     rows = armoured(positions, F.when(c("msg_type") == 18, b).otherwise(a))
     body = F.concat(F.when(c("seq") % 43 == 0, "AIVDM,1,1,,").otherwise("AIVDM,1,1,,A,"), c("payload"), F.lit(",0"))
     return rows.withColumn("body", body).select("seq", "t_s", "source_id", sentence(c("body"), c("seq") % 41 == 0).alias("raw"))
@@ -80,8 +93,8 @@ def static_sentences(statics: DataFrame) -> DataFrame:
     c = F.col
     bits = F.concat(
         uint_bits(F.lit(5), 6), F.lit("00"), uint_bits(c("mmsi"), 30), F.lit("00"), uint_bits(F.coalesce("imo", F.lit(0)), 30), text_bits(c("call_sign"), 7), text_bits(c("vessel_name"), 20),
-        uint_bits(c("ship_type"), 8), uint_bits(c("to_bow"), 9), uint_bits(c("to_stern"), 9), uint_bits(c("to_port"), 6), uint_bits(c("to_starboard"), 6), F.lit("0001"), uint_bits(c("eta_month"), 4),
-        uint_bits(c("eta_day"), 5), uint_bits(c("eta_hour"), 5), uint_bits(c("eta_minute"), 6), uint_bits(c("draught_t"), 8), text_bits(c("destination"), 20), F.lit("00"),
+        uint_bits(c("ship_type"), 8), uint_bits(c("to_bow"), 9), uint_bits(c("to_stern"), 9), uint_bits(c("to_port"), 6), uint_bits(c("to_starboard"), 6), uint_bits(c("seq") % 16, 4), uint_bits(c("eta_month"), 4),
+        uint_bits(c("eta_day"), 5), uint_bits(c("eta_hour"), 5), uint_bits(c("eta_minute"), 6), uint_bits(c("draught_t"), 8), text_bits(c("destination"), 20), uint_bits(c("seq") % 2, 1), F.lit("0"),
     )
     rows = armoured(statics, bits).withColumn("part", F.explode(F.array(F.lit(1), F.lit(2))))
     piece = F.when(c("part") == 1, F.substring("payload", F.lit(1), F.lit(PART_CHARS))).otherwise(F.substring("payload", F.lit(PART_CHARS + 1), F.lit(100)))
@@ -91,6 +104,20 @@ def static_sentences(statics: DataFrame) -> DataFrame:
     return rows.withColumn("body", body).select((c("seq") * 2 + late).alias("seq"), (F.lit(1704067200) + F.floor(c("seq") * 2 / 5) + late).cast("long").alias("t_s"), F.lit(0).alias("source_id"), sentence(c("body")).alias("raw"))
 
 
+def static_b_sentences(statics: DataFrame) -> DataFrame:
+    """(seq, t_s, source_id, raw): both messages of type 24 of each vessel, as class B sends its static data."""
+    c = F.col
+    head = [uint_bits(F.lit(24), 6), F.lit("00"), uint_bits(c("mmsi"), 30)]
+    name = F.concat(*head, F.lit("00"), text_bits(c("vessel_name"), 20))
+    sizes = [uint_bits(c(s), w) for s, w in (("to_bow", 9), ("to_stern", 9), ("to_port", 6), ("to_starboard", 6))]
+    rest = F.concat(*head, F.lit("01"), uint_bits(c("ship_type"), 8), text_bits(F.concat(F.lit("V"), c("seq") % 1000), 7), text_bits(c("call_sign"), 7), *sizes, F.lit("0" * 6))
+    both = statics.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = armoured(both, F.when(c("part") == 0, name).otherwise(rest))
+    # 160 bits are four more than 26 characters: the 27th has two to spare.
+    body = F.concat(F.lit("AIVDM,1,1,,B,"), c("payload"), F.when(c("part") == 0, ",2").otherwise(",0"))
+    return rows.withColumn("body", body).select((c("seq") * 2 + c("part")).alias("seq"), (F.lit(1704067200) + c("seq")).cast("long").alias("t_s"), F.lit(0).alias("source_id"), sentence(c("body")).alias("raw"))
+
+
 # Checks and decoding
 
 
@@ -138,26 +165,30 @@ def reassembled(frames: DataFrame, ttl_s: int = PART_TTL_S) -> DataFrame:
     return single.unionByName(joined, allowMissingColumns=True)
 
 
-def bits_of(payload: Column) -> Column:
-    """The payload as 0s and 1s; null if a character is not of the armour."""
-    code = lambda i: F.ascii(F.substring(payload, i, 1))
-    six = lambda i: F.lpad(F.bin((code(i) - F.when(code(i) < 88, 48).otherwise(56)).cast("long")), 6, "0")
-    text = F.array_join(F.transform(F.sequence(F.lit(1), F.length(payload)), six), "")
-    return F.when(payload.rlike("^[0-W`-w]+$"), text)
+def hex_of(payload: Column) -> Column:
+    """The bits of a payload as hex digits, filled up with 0s; null if a character is not of the armour."""
+    whole = F.rpad(F.translate(payload, ARMOUR, BASE64), (F.ceil(F.length(payload) / 4) * 4).cast("int"), F.lit("A"))
+    return F.when(payload.rlike("^[0-W`-w]+$"), F.hex(F.unbase64(whole)))
 
 
-def fields(bits: Column, layout: tuple, wanted: tuple[str, ...]) -> dict[str, Column]:
-    """Slices of bits by name: texts as texts without their filling, everything else as unsigned numbers."""
-    at, out = 1, {}
+def bits_at(digits: Column, start: int, width: int) -> Column:
+    """The unsigned number of ``width`` bits (60 at most) from bit ``start`` on, out of hex digits."""
+    first, last = start // 4, (start + width - 1) // 4
+    value = F.conv(F.substring(digits, first + 1, last - first + 1), 16, 10).cast("long")
+    return F.shiftright(value, 4 * (last + 1) - start - width).bitwiseAND((1 << width) - 1)
+
+
+def fields(digits: Column, layout: tuple, wanted: tuple[str, ...]) -> dict[str, Column]:
+    """Fields by name out of hex digits: texts as texts without their filling, everything else as unsigned numbers."""
+    at, out = 0, {}
     for name, width in layout:
         if name in wanted:
-            part = F.substring(bits, at, width)
             if name in TEXTS:
                 n = width // 6
-                chars = F.transform(F.array(*(F.conv(F.substring(bits, at + 6 * k, 6), 2, 10).cast("int") for k in range(n))), lambda v: F.chr(F.when(v < 32, v + 64).otherwise(v)))
+                chars = F.transform(F.array(*(bits_at(digits, at + 6 * k, 6).cast("int") for k in range(n))), lambda v: F.chr(F.when(v < 32, v + 64).otherwise(v)))
                 out[name] = F.rtrim(F.replace(F.array_join(chars, ""), F.lit("@"), F.lit("")))
             else:
-                out[name] = F.conv(part, 2, 10).cast("long")
+                out[name] = bits_at(digits, at, width)
         at += width
     return out
 
@@ -167,40 +198,46 @@ def signed(value: Column, width: int) -> Column:
 
 
 def _length_reason(layouts: dict[int, int]) -> Column:
-    out = F.when(F.length("bits") < 6, "too-short").when(~F.col("type").isin(*layouts), "unsupported-type")
+    n = F.length("payload") * 6
+    out = F.when(~F.col("type").isin(*layouts), "unsupported-type")
     for kind, least in layouts.items():
-        out = out.when((F.col("type") == kind) & (F.length("bits") < least), "truncated")
-    return out
+        out = out.when((F.col("type") == kind) & (n < least), "truncated")
+    # The second half of class B's static data is longer than the first.
+    return out.when((F.col("type") == 24) & (n < 168) & (bits_at(F.col("hex"), 38, 2) == 1), "truncated")
 
 
+UNIT_FLAGS = ("cs_unit", "display", "dsc", "band", "message_22", "assigned")
 _LEAST = {1: 168, 2: 168, 3: 168, 18: 168, 5: 424, 24: 160}
 
 
 def typed(frames: DataFrame) -> DataFrame:
-    """reassembled frames with ``bits``, ``type`` and the first reason so far; frames may be enveloped already."""
-    rows = reassembled(frames if "payload" in frames.columns else enveloped(frames)).withColumn("bits", F.when(F.col("reason").isNull(), bits_of(F.col("payload"))))
-    rows = rows.withColumn("type", F.conv(F.substring("bits", 1, 6), 2, 10).cast("int"))
-    return rows.withColumn("reason", F.coalesce("reason", F.when(F.col("bits").isNull(), "payload-character"), _length_reason(_LEAST)))
+    """reassembled frames with ``hex``, ``type`` and the first reason so far; frames may be enveloped already."""
+    rows = reassembled(frames if "payload" in frames.columns else enveloped(frames)).withColumn("hex", F.when(F.col("reason").isNull(), hex_of(F.col("payload"))))
+    rows = rows.withColumn("type", bits_at(F.col("hex"), 0, 6).cast("int"))
+    return rows.withColumn("reason", F.coalesce("reason", F.when(F.col("hex").isNull(), "payload-character"), _length_reason(_LEAST)))
 
 
 def decoded(frames: DataFrame) -> DataFrame:
     """Position reports of types 1 to 3 and 18: wire integers, null where the standard says not available."""
     rows = typed(frames)
-    want = ("mmsi", "nav_status", "sog", "lng", "lat", "cog", "heading", "second")
-    a, b = fields(F.col("bits"), POSITION_A, want), fields(F.col("bits"), POSITION_B, want)
+    want = ("repeat", "mmsi", "nav_status", "rot", "sog", "accuracy", "lng", "lat", "cog", "heading", "second", "maneuver", "raim", "radio", *UNIT_FLAGS)
+    a, b = fields(F.col("hex"), POSITION_A, want), fields(F.col("hex"), POSITION_B, want)
+    class_a = F.col("type") != 18
     pick = lambda name: F.when(F.col("type") == 18, b[name]).otherwise(a[name])
     return rows.where(F.col("reason").isNotNull() | F.col("type").isin(1, 2, 3, 18)).select(
-        "seq", "t_s", "source_id", "raw", "reason", "type", pick("mmsi").alias("mmsi"), F.when(F.col("type") != 18, a["nav_status"]).alias("nav_status"),
+        "seq", "t_s", "source_id", "raw", "reason", "type", pick("mmsi").alias("mmsi"), F.when(class_a, a["nav_status"]).alias("nav_status"),
         F.nullif(pick("sog"), F.lit(NO_SOG)).alias("sog_t"), F.nullif(signed(pick("lng"), 28), F.lit(NO_LNG)).alias("lng_600k"), F.nullif(signed(pick("lat"), 27), F.lit(NO_LAT)).alias("lat_600k"),
         F.nullif(pick("cog"), F.lit(NO_COG)).alias("cog_t"), F.nullif(pick("heading"), F.lit(NO_HEADING)).alias("heading"), F.when(pick("second") < 60, pick("second")).alias("second"),
+        pick("repeat").alias("repeat"), F.when(class_a, F.nullif(signed(a["rot"], 8), F.lit(NO_TURN))).alias("rot"), (pick("accuracy") == 1).alias("accurate"), F.when(class_a, a["maneuver"]).alias("maneuver"),
+        (pick("raim") == 1).alias("raim"), pick("radio").alias("radio"), *(F.when(~class_a, b[f] == 1).alias(f) for f in UNIT_FLAGS),
     )
 
 
 def decoded_statics(frames: DataFrame) -> DataFrame:
     """Messages of type 5: empty and zero values are null, as are sizes if all are zero."""
     rows = typed(frames).where("reason IS NULL AND type = 5")
-    want = ("mmsi", "imo", "call_sign", "vessel_name", "ship_type", "to_bow", "to_stern", "to_port", "to_starboard", "eta_month", "eta_day", "eta_hour", "eta_minute", "draught", "destination")
-    f = fields(F.col("bits"), STATIC_A, want)
+    want = ("mmsi", "imo", "call_sign", "vessel_name", "ship_type", "to_bow", "to_stern", "to_port", "to_starboard", "eta_month", "eta_day", "eta_hour", "eta_minute", "draught", "destination", "version", "fix_type", "dte")
+    f = fields(F.col("hex"), STATIC_A, want)
     sizes = ("to_bow", "to_stern", "to_port", "to_starboard")
     some = sum(f[s] for s in sizes) > 0
     return rows.select(
@@ -208,15 +245,19 @@ def decoded_statics(frames: DataFrame) -> DataFrame:
         *(F.when(some, f[s]).alias(s) for s in sizes), F.nullif(f["draught"], F.lit(0)).alias("draught_t"),
         F.when(f["eta_month"].between(1, 12), f["eta_month"]).alias("eta_month"), F.when(f["eta_day"].between(1, 31), f["eta_day"]).alias("eta_day"),
         F.when(f["eta_hour"] < 24, f["eta_hour"]).alias("eta_hour"), F.when(f["eta_minute"] < 60, f["eta_minute"]).alias("eta_minute"),
+        f["version"].alias("version"), f["fix_type"].alias("fix_type"), (f["dte"] == 0).alias("dte"),
     )
 
 
 def decoded_statics_b(frames: DataFrame) -> DataFrame:
-    """Messages of type 24: part 1 has type, call sign and sizes; any other part number the name."""
+    """Messages of type 24: part 1 has type, vendor, call sign and sizes (null if all are 0); any other part number the name."""
     rows = typed(frames).where("reason IS NULL AND type = 24")
-    name = fields(F.col("bits"), STATIC_B_NAME, ("mmsi", "part", "vessel_name"))
-    rest = fields(F.col("bits"), STATIC_B_REST, ("ship_type", "call_sign", "to_bow", "to_stern", "to_port", "to_starboard"))
+    sizes = ("to_bow", "to_stern", "to_port", "to_starboard")
+    name = fields(F.col("hex"), STATIC_B_NAME, ("mmsi", "part", "vessel_name"))
+    rest = fields(F.col("hex"), STATIC_B_REST, ("ship_type", "vendor", "call_sign", *sizes))
     is_b = name["part"] == 1
+    some = sum(rest[s] for s in sizes) > 0
+    rest |= {s: F.when(some, rest[s]) for s in sizes}
     return rows.select("seq", "t_s", "source_id", name["mmsi"].alias("mmsi"), name["part"].alias("part"), F.when(~is_b, name["vessel_name"]).alias("vessel_name"), *(F.when(is_b, v).alias(k) for k, v in rest.items()))
 
 

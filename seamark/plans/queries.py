@@ -436,6 +436,29 @@ def nmea_static_roundtrip(spark, sf_dir):
     return frames.decoded_statics(_landed_frames(frames.static_sentences(fixtures.statics(spark, sf_dir)))).select("mmsi", "imo", "vessel_name", "call_sign", "ship_type", "to_bow", "draught_t", "destination")
 
 
+@_query(f"""{_P} SELECT seq, CASE WHEN msg_type <> 18 AND seq % 256 <> 0 THEN seq % 256 - 128 END AS rot, seq % 2 = 1 AS accurate, t_s % 60 AS second, CASE WHEN msg_type <> 18 THEN seq % 3 END AS maneuver,
+  CASE WHEN msg_type = 18 THEN seq % 2 = 1 ELSE seq % 5 % 2 = 1 END AS raim, CASE WHEN msg_type = 18 THEN seq % 1000000 ELSE seq % 500000 END AS radio, CASE WHEN msg_type = 18 THEN (seq % 128) & 64 > 0 END AS cs_unit, CASE WHEN msg_type = 18 THEN (seq % 128) & 2 > 0 END AS assigned
+FROM p WHERE seq % 41 <> 0 AND seq % 43 <> 0""")
+def nmea_position_fields(spark, sf_dir):
+    """The further fields of position reports of both classes."""
+    out = frames.decoded(_landed_frames(frames.position_sentences(fixtures.positions(spark, sf_dir))))
+    return out.where("reason IS NULL").select("seq", "rot", "accurate", "second", "maneuver", "raim", "radio", "cs_unit", "assigned")
+
+
+@_query(f"""WITH s AS ({STATICS}) SELECT mmsi, seq % 16 AS fix_type, seq % 2 = 0 AS dte, 0 AS version, CASE WHEN eta_month BETWEEN 1 AND 12 THEN eta_month END AS eta_month, CASE WHEN eta_day BETWEEN 1 AND 31 THEN eta_day END AS eta_day,
+  CASE WHEN eta_hour < 24 THEN eta_hour END AS eta_hour, CASE WHEN eta_minute < 60 THEN eta_minute END AS eta_minute FROM s""")
+def nmea_static_fields(spark, sf_dir):
+    return frames.decoded_statics(_landed_frames(frames.static_sentences(fixtures.statics(spark, sf_dir)))).select("mmsi", "fix_type", "dte", "version", *(f"eta_{x}" for x in ("month", "day", "hour", "minute")))
+
+
+@_query(f"""WITH s AS ({STATICS}) SELECT mmsi, 0 AS part, rtrim(vessel_name) AS vessel_name, NULL AS call_sign, NULL AS vendor, CAST(NULL AS BIGINT) AS ship_type, CAST(NULL AS BIGINT) AS to_bow, CAST(NULL AS BIGINT) AS to_starboard FROM s
+UNION ALL SELECT mmsi, 1, NULL, call_sign, concat('V', seq % 1000), ship_type, CASE WHEN to_bow + to_stern + to_port + to_starboard > 0 THEN to_bow END, CASE WHEN to_bow + to_stern + to_port + to_starboard > 0 THEN to_starboard END FROM s""")
+def nmea_static_b_roundtrip(spark, sf_dir):
+    """Both halves of class B's static data, encoded and decoded again."""
+    out = frames.decoded_statics_b(_landed_frames(frames.static_b_sentences(fixtures.statics(spark, sf_dir))))
+    return out.select("mmsi", "part", "vessel_name", "call_sign", "vendor", "ship_type", "to_bow", "to_starboard")
+
+
 @_query(f"""{_P} SELECT seq, mmsi, CASE WHEN seq % 7 = 0 THEN 'parse-error' WHEN seq % 5 = 0 THEN 'unsupported-type' ELSE 'accepted' END AS outcome,
   CASE WHEN seq % 7 <> 0 AND seq % 5 <> 0 THEN sog_t END AS sog_t FROM p""")
 def json_adapter(spark, sf_dir):
