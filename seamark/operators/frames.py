@@ -168,7 +168,16 @@ def reassembled(frames: DataFrame, ttl_s: int = PART_TTL_S) -> DataFrame:
 def hex_of(payload: Column) -> Column:
     """The bits of a payload as hex digits, filled up with 0s; null if a character is not of the armour."""
     whole = F.rpad(F.translate(payload, ARMOUR, BASE64), (F.ceil(F.length(payload) / 4) * 4).cast("int"), F.lit("A"))
-    return F.when(payload.rlike("^[0-W`-w]+$"), F.hex(F.unbase64(whole)))
+    return F.when(_armoured(payload), F.hex(F.unbase64(whole)))
+
+
+def _armoured(payload: Column) -> Column:
+    return F.coalesce(payload.rlike("^[0-W`-w]+$"), F.lit(False))
+
+
+def six_at(payload: Column, i: int) -> Column:
+    """The six bits of character i, from 1 on."""
+    return F.instr(F.lit(ARMOUR), F.substring(payload, i, 1)) - 1
 
 
 def bits_at(digits: Column, start: int, width: int) -> Column:
@@ -199,11 +208,12 @@ def signed(value: Column, width: int) -> Column:
 
 def _length_reason(layouts: dict[int, int]) -> Column:
     n = F.length("payload") * 6
+    part = F.shiftright(six_at(F.col("payload"), 7), 2).bitwiseAND(3)
     out = F.when(~F.col("type").isin(*layouts), "unsupported-type")
     for kind, least in layouts.items():
         out = out.when((F.col("type") == kind) & (n < least), "truncated")
     # The second half of class B's static data is longer than the first.
-    return out.when((F.col("type") == 24) & (n < 168) & (bits_at(F.col("hex"), 38, 2) == 1), "truncated")
+    return out.when((F.col("type") == 24) & (n < 168) & (part == 1), "truncated")
 
 
 UNIT_FLAGS = ("cs_unit", "display", "dsc", "band", "message_22", "assigned")
@@ -213,8 +223,9 @@ _LEAST = {1: 168, 2: 168, 3: 168, 18: 168, 5: 424, 24: 160}
 def typed(frames: DataFrame) -> DataFrame:
     """reassembled frames with ``hex``, ``type`` and the first reason so far; frames may be enveloped already."""
     rows = reassembled(frames if "payload" in frames.columns else enveloped(frames)).withColumn("hex", F.when(F.col("reason").isNull(), hex_of(F.col("payload"))))
-    rows = rows.withColumn("type", bits_at(F.col("hex"), 0, 6).cast("int"))
-    return rows.withColumn("reason", F.coalesce("reason", F.when(F.col("hex").isNull(), "payload-character"), _length_reason(_LEAST)))
+    # What filters ask for is told from single characters, so that no filter makes the digits again.
+    rows = rows.withColumn("type", F.when(F.col("reason").isNull() & _armoured(F.col("payload")), six_at(F.col("payload"), 1)))
+    return rows.withColumn("reason", F.coalesce("reason", F.when(~_armoured(F.col("payload")), "payload-character"), _length_reason(_LEAST)))
 
 
 def decoded(frames: DataFrame) -> DataFrame:
