@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.functions import ais
-from seamark.operators import feeds, geo, quality, reads, state, tracks
+from seamark.operators import geo, quality, reads, state, tracks
 from seamark.plans.queries import _CATEGORY_SQL, _EVENTS, _FIRST_REASON, _HITS, _LABEL_SQL, _LABELS, _TRAIL_POINTS
 from seamark.sources import fixtures, sinks
 from seamark.sources.fixtures import AS_OF, MESSAGES, POSITIONS, STATICS
@@ -238,6 +238,15 @@ def flag_changes(spark, sf_dir):
     return fixtures.positions(spark, sf_dir).select("seq", ais.has_flag(flags, ais.FLAG_MOVING).alias("moving"), ais.with_flag(flags, ais.FLAG_IDENTITY).alias("with_identity"), ais.without_flag(flags, ais.FLAG_FIX).alias("without_fix"))
 
 
+@_query(f"""{_P}, {_EVENTS}, n AS (SELECT mmsi, zone_id, arg_max(kind, at_s * 2 + CASE WHEN kind = 'enter' THEN 1 ELSE 0 END) AS kind FROM e GROUP BY ALL)
+SELECT mmsi, zone_id FROM n WHERE kind = 'enter' AND mmsi NOT IN (SELECT mmsi FROM p WHERE t_s <= {_EARLY} GROUP BY mmsi HAVING {_EARLY} - max(t_s) <= 600)""")
+def forced_exits(spark, sf_dir):
+    """Confirmed stays in zones of vessels that aren't live at the moment."""
+    p, zones = fixtures.positions(spark, sf_dir), fixtures.zones(spark)
+    inside = geo.badges(geo.presence(geo.geofence_events(p, zones)), zones)
+    return reads.orphans(inside, reads.live(tracks.latest(p.where(F.col("t_s") <= _EARLY)), _EARLY)).select("mmsi", "zone_id")
+
+
 # Texts
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,15 @@ def append_positions(positions: DataFrame, path: str) -> None:
     positions.withColumn("day", day).repartition("day", F.pmod(F.xxhash64("mmsi"), F.lit(16))).sortWithinPartitions("mmsi", "t_s").write.mode("append").partitionBy("day").parquet(path)
 
 
+def load_reference(vessels: DataFrame, upsert: Callable[[DataFrame, int], None], path: str, at_s: int) -> None:
+    """Vessels (mmsi, seq, their fields, lng, lat) put into the vessel table, and one position of each at ``at_s`` appended.
+
+    A run is known by its time: the vessels of one that comes again merge into the same rows.
+    """
+    upsert(vessels.drop("lng", "lat"), at_s)
+    append_positions(vessels.select("mmsi", "seq", F.lit(at_s).cast("long").alias("t_s"), "lng", "lat"), path)
+
+
 def dead_letters(rows: DataFrame, path: str, most: int = 100_000) -> None:
     """Quarantined rows as JSON lines by day, in files of a bounded number of rows."""
     rows.withColumn("day", F.to_date(F.timestamp_seconds("ts"))).write.mode("append").option("maxRecordsPerFile", most).partitionBy("day").json(path)
