@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.functions import ais
 from seamark.operators import geo, quality, reads, state, tracks
-from seamark.plans.queries import _CATEGORY_SQL, _EVENTS, _FIRST_REASON, _HITS, _LABEL_SQL, _LABELS, _TRAIL_POINTS
+from seamark.plans.queries import _CATEGORY_SQL, _EVENTS, _FIRST_REASON, _HITS, _LABEL_SQL, _LABELS, _TRAIL_POINTS, _query
 from seamark.sources import fixtures, sinks
 from seamark.sources.fixtures import AS_OF, MESSAGES, POSITIONS, STATICS
 from seamark.sources.landing import shared_path
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 _P = f"WITH p AS ({POSITIONS})"
 _PS = f"WITH p AS ({POSITIONS}), s AS ({STATICS})"
 _M = f"WITH m AS ({MESSAGES})"
@@ -27,15 +21,6 @@ _EARLY = 1704067200 + 1500
 _FAST = "1704067200 + (t_s - 1704067200) * 50"
 
 
-def _query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # State
 
 
