@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from seamark.llm.decontamination import OP2_SQL, op2_decontamination
 from seamark.llm.fingerprints import op3_fingerprints
+from seamark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from seamark.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from seamark.llm.language_id import op1_language_id
 from seamark.llm.pieces import op9_pieces
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pieces": op9_pieces,
     "op10_repeats": op10_repeats,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op7_jaccard_join": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }
