@@ -7,6 +7,7 @@ from seamark.llm.fingerprints import op3_fingerprints
 from seamark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from seamark.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from seamark.llm.language_id import op1_language_id
+from seamark.llm.lexical_search import OP13_SQL, op13_lexical_search
 from seamark.llm.pieces import op9_pieces
 from seamark.llm.pii import op4_pii
 from seamark.llm.quality import op5_quality
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_repeats": op10_repeats,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op7_jaccard_join": OP7_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op13_lexical_search": OP13_SQL,
 }

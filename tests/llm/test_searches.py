@@ -1,10 +1,15 @@
 """Hard negatives, shards and ranked search against brute force, on small odd tables."""
 
+import collections
+import math
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seamark.llm import hard_negatives
+from seamark.llm import hard_negatives, lexical_search
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double, id string, rank string"
 
@@ -60,3 +65,79 @@ def test_hard_negatives_wide(spark):
     known = {i: (m, [int(np.floor(256 * x)) for x in v]) for i, v, m in rows if i < 9}
     want = [(*r[:4], *(min(s, 2**63 - 1) for s in r[4:])) for r in _mined(known, lambda i: i in (0, 1, 2))]
     assert sorted(map(tuple, hard_negatives.mine(df, F.col("id") < 3).where("positive_score < 9e18").collect())) == [r for r in want if r[4] < 9e18]
+
+
+# Ranked lexical search
+
+
+def _terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def _ranked(docs, items, k):
+    counts = [(d, collections.Counter(_terms(t))) for d, t in docs]
+    counts = [(d, c) for d, c in counts if c]
+    n_docs, n_terms = len(counts), sum(sum(c.values()) for _, c in counts)
+    df = collections.Counter(t for _, c in counts for t in c)
+    wanted = collections.defaultdict(set)
+    for i, t in items:
+        wanted[i] |= set(_terms(t))
+    out = []
+    for i, terms in wanted.items():
+        scored = []
+        for d, c in counts:
+            m = 10 + 90 * sum(c.values()) * n_docs // n_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in terms if c[t])
+            if s:
+                scored.append((-s, d is None, d or 0))
+        out += [(i, r + 1, None if none else d, -s) for r, (s, none, d) in enumerate(sorted(scored)[:k])]
+    return out
+
+
+@pytest.fixture(scope="module")
+def library(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(300)] + ["Été", "日本", "x9"]
+    draw = lambda n: " ".join(vocabulary[min(len(vocabulary) - 1, int(k))] for k in rng.exponential(40, n))
+    docs = [(k, draw(int(rng.integers(1, 200)))) for k in range(250)] + [(250, draw(30_000)), (251, "w1 " * 5000), (252, None), (253, ""), (254, "-- !"), (None, draw(20)), (None, None)]
+    docs += [(300 + k, docs[3][1]) for k in range(40)] + [docs[5], docs[5]]  # ties, repeated rows
+    items = [(k, draw(int(rng.integers(1, 40)))) for k in range(12)] + [(12, docs[3][1]), (13, "nowhere"), (14, None), (15, "W1,w1; W2"), (3, draw(5)), (3, draw(5)), (None, draw(9))]
+    return docs, items, spark.createDataFrame([(d, t, 1.0, "r") for d, t in docs], "doc_id long, text string, score double, rank string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("k, probes", [(10, 40), (3, 3)])
+def test_lexical_search(library, k, probes, monkeypatch):
+    docs, items, df, asked = library
+    monkeypatch.setattr(lexical_search, "BLOCK_ITEMS", 7)  # several blocks of items
+    rows = lexical_search.keyed(df)
+    got = lexical_search.search(rows, lexical_search.stored(lexical_search.signatures(rows)), asked, k, probes)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(_ranked(docs, items, k))
+
+
+def test_lexical_search_empty(library):
+    _, _, df, asked = library
+    for d, i in ((df.limit(0), asked), (df, asked.limit(0))):
+        rows = lexical_search.keyed(d)
+        assert lexical_search.search(rows, lexical_search.signatures(rows), i).count() == 0
+
+
+def test_bounds_hold(monkeypatch):
+    """A bound is never below the score, whatever the filters let through; narrow filters let through nearly all."""
+    monkeypatch.setattr(lexical_search, "WIDEST", 64)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"t{int(k)}" for k in rng.integers(0, 200, rng.integers(1, 300))) for _ in range(60)]
+    keys = pa.array(range(60), pa.int64())
+    _, _, hashes, _ = lexical_search._counts(*lexical_search.tb.flat(pa.array(texts)))
+    queries = lexical_search.Queries({i: {int(h) for h in rng.choice(hashes, 12)} for i in range(5)})
+    queries.weights[:] = rng.integers(1, 9000, len(queries.weights))
+    for block in lexical_search._signed(iter([pa.RecordBatch.from_arrays([keys, keys, pa.array(texts)], ["k1", "k2", "text"])])):
+        row = block.to_pylist()[0]
+        own = np.frombuffer(row["keys"], np.int64).reshape(-1, 2)[:, 0]
+        ((_, bound),) = lexical_search._bounds(queries, row, 60, 9000)
+        for d, k in enumerate(own):
+            n, _, h, tf = lexical_search._counts(*lexical_search.tb.flat(pa.array([texts[k]])))
+            at, term = queries.found(h)
+            adds = queries.weights[term] * lexical_search.part_of(tf[at], lexical_search.lengths(n, 60, 9000)[0])
+            _, _, item, of = queries.groups[0]
+            for i in range(5):
+                assert bound[i, d] >= adds[np.isin(term, of[item == i])].sum()
