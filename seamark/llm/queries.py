@@ -13,6 +13,7 @@ from seamark.llm.pii import op4_pii
 from seamark.llm.quality import op5_quality
 from seamark.llm.repeats import op10_repeats
 from seamark.llm.secrets import op6_secrets
+from seamark.llm.sharding import op12_shards
 from seamark.llm.toxicity import op8_toxicity
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_repeats": op10_repeats,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_shards": op12_shards,
     "op13_lexical_search": op13_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {

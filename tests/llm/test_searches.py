@@ -3,13 +3,14 @@
 import collections
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seamark.llm import hard_negatives, lexical_search
+from seamark.llm import hard_negatives, lexical_search, sharding
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double, id string, rank string"
 
@@ -141,3 +142,60 @@ def test_bounds_hold(monkeypatch):
             _, _, item, of = queries.groups[0]
             for i in range(5):
                 assert bound[i, d] >= adds[np.isin(term, of[item == i])].sum()
+
+
+# Shards
+
+
+def _check_shards(rows, docs, shards=8):
+    """Every row once, right sizes, counts at most one apart, slots without gaps; the shards of each text."""
+    want = collections.Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in docs)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    assert {r["law"] for r in rows} <= {"rows"} and all(r["grown_shard"] is None for r in rows)
+    counts = collections.Counter(r["shard"] for r in rows)
+    assert set(counts) <= set(range(shards)) and max(counts[t] for t in range(shards)) - min(counts[t] for t in range(shards)) <= 1
+    for t in counts:
+        assert sorted(r["slot"] for r in rows if r["shard"] == t) == list(range(counts[t]))
+    at = collections.defaultdict(collections.Counter)
+    for r in rows:
+        at[r["text_crc32"]][r["shard"]] += 1
+    return at
+
+
+def test_shards_odd(spark):
+    """A text with 0.4 of all rows goes over as few shards as hold it; texts of fewer rows stay whole."""
+    rng = np.random.default_rng(2)
+    docs = [(k, f"single {k} " + "y" * int(rng.integers(0, 50))) for k in range(400)] + [(1000 + k, "hot") for k in range(400)]
+    docs += [(2000 + k, f"group {k % 40}") for k in range(190)] + [(3000, None), (3001, ""), (None, "single 3"), (None, None), (7, "single again"), (7, "single again")]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, shard int, node string").repartition(5)
+    at = _check_shards(sharding.shard(df).collect(), docs)
+    hot = zlib.crc32(b"hot")
+    assert len(at[hot]) == -(-400 // (len(docs) // 8))
+    assert all(len(c) == 1 for x, c in at.items() if x != hot)
+
+
+def test_shards_small(spark):
+    kind = "doc_id long, text string"
+    assert sharding.shard(spark.createDataFrame([], kind)).count() == 0
+    for docs in ([(1, "a")], [(k, "same") for k in range(20)], [(k, None) for k in range(3)]):
+        _check_shards(sharding.shard(spark.createDataFrame(docs, kind)).collect(), docs)
+
+
+def test_shards_follow_lines(spark):
+    """Documents that share lines move together, though no two texts are equal: most links are kept, not an eighth of them."""
+    line = lambda g: f"a line of the family number {g:05d}, long enough to count"
+    docs = [(k, f"{line(k % 100)}\nown words {k}") for k in range(300)] + [(1000 + k, f"no family {k}") for k in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = sharding.shard(df).collect()
+    _check_shards(rows, docs)
+    shard = {r["doc_id"]: r["shard"] for r in rows}
+    kept = sum(shard[k] == shard[k + 100] for k in range(200))
+    assert kept > 150
+
+
+def test_ranks(spark):
+    df = spark.range(5000).selectExpr("id AS doc_id", "id AS node", "CAST(id % 3 = 0 AS int) AS part")
+    got = collections.defaultdict(list)
+    for r in sharding.ranked(df, "part", 20_000).collect():
+        got[r["part"]].append(r["rank"])
+    assert all(sorted(x) == list(range(len(x))) for x in got.values()) and len(got) == 2
