@@ -63,8 +63,11 @@ def position_reason(lat: Column, lng: Column, sog: Column, cog: Column, heading:
 
 
 def coarse_reason(reason: Column) -> Column:
-    """Rejects rolled up to the gate that made them."""
-    return F.when(reason.startswith("mmsi"), "invalid-mmsi").when(reason.endswith("out-of-range"), "invalid-position").when(reason.startswith("rate"), "rate-limited").otherwise(reason)
+    """Rejects rolled up to the kinds that a source's counters tell apart; other reasons stay as they are."""
+    return (
+        F.when(reason.startswith("mmsi"), "invalid-mmsi").when(reason == "lat-out-of-range", "out-of-range-lat").when(reason == "lng-out-of-range", "out-of-range-lng")
+        .when(reason.isin("sog-out-of-range", "cog-out-of-range", "heading-out-of-range"), "invalid-payload").when(reason.isin("rate-limited", "new-vessel-limited"), "rate-limit").otherwise(reason)
+    )
 
 
 # Look-ups

@@ -1,19 +1,20 @@
 """Operators on the ordered fixes of each vessel: latest, merge, hysteresis, rate limit, trails, filter.
 
 Rows need (mmsi, t_s, seq); every order is (t_s, seq) or seq, so results don't depend on partitioning.
-Recurrences are steps over the sorted fixes of a vessel, with a small state carried from fix to fix: memory doesn't
-grow with a vessel's history, but one vessel's fixes are one task's work. ``streaming.tracks`` runs the same steps.
+A vessel's history is cut into slices of time (``slice_s``), so that it is the work of many tasks: what carries over
+from slice to slice is a row each (``operators.scans``). Streams run the same recurrences step by step.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.functions import ais
-from seamark.operators.replay import replayed
+from seamark.operators.scans import SLICE_S, Element, Scan, in_slices, scanned
 
 EVICT_S = 600
 OUTLIER_KNOTS, OUTLIER_SLACK_M = 60.0, 75.0
@@ -31,11 +32,25 @@ def latest(positions: DataFrame, n: int = 1) -> DataFrame:
     return positions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("rank")
 
 
-def sessions(positions: DataFrame, gap_s: int = EVICT_S, inclusive: bool = False) -> DataFrame:
-    """positions with ``session``: a new one after a silence of more than gap_s (or of gap_s: inclusive)."""
-    silent = F.col("t_s") - F.lag("t_s").over(by_vessel())
-    cut = (silent >= gap_s) if inclusive else (silent > gap_s)
-    return positions.withColumn("session", F.sum(F.when(cut, 1).otherwise(0)).over(by_vessel().rowsBetween(Window.unboundedPreceding, 0)))
+def sessions(positions: DataFrame, gap_s: int = EVICT_S, inclusive: bool = False, slice_s: int = SLICE_S) -> DataFrame:
+    """positions with ``session``: a new one after a silence of more than gap_s (or of gap_s: inclusive).
+
+    Silences are counted within slices; the time at which the slice before ended, and the count up to there, come from a
+    table of slices. Rows without an id are no vessel's: their sessions mean nothing.
+    """
+    key = ["mmsi", "__slice"]
+    rows = positions.withColumn("__slice", F.floor(F.col("t_s") / slice_s))
+    over_slices = Window.partitionBy("mmsi").orderBy("__slice")
+    ends = rows.groupBy(*key).agg(F.max("t_s").alias("end")).select(*key, F.lag("end").over(over_slices).alias("__before"))
+    w = Window.partitionBy(*key).orderBy("t_s", "seq")
+    rows = rows.join(ends, key, "left")
+    silent = F.col("t_s") - F.coalesce(F.lag("t_s").over(w), F.col("__before"))
+    cut = F.when((silent >= gap_s) if inclusive else (silent > gap_s), 1).otherwise(0)
+    rows = rows.withColumn("__cut", cut).drop("__before")
+    counts = rows.groupBy(*key).agg(F.sum("__cut").alias("n"))
+    earlier = counts.select(*key, F.coalesce(F.sum("n").over(over_slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"))
+    rows = rows.join(earlier, key, "left").withColumn("session", F.coalesce("__earlier", F.lit(0)) + F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.drop("__cut", "__earlier", "__slice")
 
 
 def moving_step(on: float = 0.5, off: float = 0.3):
@@ -85,31 +100,53 @@ def rate_step(size: int = BUCKET_SIZE, per_s: int = BUCKET_PER_S):
     return step
 
 
-def rate_limit(frames: DataFrame, key: str = "mmsi", size: int = BUCKET_SIZE, per_s: int = BUCKET_PER_S) -> DataFrame:
-    """(key, seq, accepted) of a token bucket per key that starts full."""
-    return replayed(frames, [key], ["t_s", "seq"], rate_step(size, per_s), "seq long, accepted boolean")
+class Bucket(Scan):
+    """A token bucket: a row's element adds c and keeps the tokens between lo and hi; such functions compose to such functions."""
+
+    names, number, result = ("c", "lo", "hi"), "long", "seq long, accepted boolean"
+
+    def __init__(self, size: int, per_s: int):
+        self.size, self.per_s = size, per_s
+
+    def elements(self, t: np.ndarray, before: np.ndarray, first: np.ndarray, fields: list[np.ndarray]) -> Element:
+        # Refill, then take one if there is one; the bucket of a first row is full.
+        add = np.where(first, 0, (t - before) * self.per_s) - 1
+        return add, np.where(first, self.size - 1, 0), np.full(len(t), self.size - 1)
+
+    def combine(self, a: Element, b: Element) -> Element:
+        (ca, la, ha), (cb, lb, hb) = a, b
+        return ca + cb, np.minimum(np.maximum(la + cb, lb), hb), np.minimum(np.maximum(ha + cb, lb), hb)
+
+    def identity(self, n: int) -> Element:
+        return np.zeros(n, np.int64), np.full(n, -(1 << 40)), np.full(n, 1 << 40)
+
+    def told(self, before, after, t, before_t, first, fields):
+        tokens = np.where(first, self.size, before[1] + (t - before_t) * self.per_s)
+        return [fields[0], tokens >= 1]
+
+
+def rate_limit(frames: DataFrame, key: str | list[str] = "mmsi", size: int = BUCKET_SIZE, per_s: int = BUCKET_PER_S, slice_s: int = SLICE_S) -> DataFrame:
+    """(*key, seq, accepted) of a token bucket per key that starts full."""
+    return scanned(frames, [key] if isinstance(key, str) else key, ["seq"], Bucket(size, per_s), slice_s=slice_s)
 
 
 def outlier_step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-    """(state, (t_s, seq, lng, lat)) -> (state, row of trail_outliers); state: (session, time before, last accepted t, lng and lat)."""
-    t, seq, lng, lat = row
-    session, before, t0, lng0, lat0 = state if state is not None else (0, t, None, None, None)
-    if t - before > EVICT_S:
-        session, t0 = session + 1, None
+    """(state, (session, t_s, seq, lng, lat)) -> (state, row of trail_outliers); state: session, t, lng and lat of the last accepted fix."""
+    session, t, seq, lng, lat = row
+    now, t0, lng0, lat0 = state if state is not None else (session, t, lng, lat)
     ok = True
-    if t0 is not None and t > t0:
+    if now == session and t > t0:
         east = (lng - lng0) * ais.METRES_PER_DEGREE * math.cos(math.radians((lat0 + lat) / 2))
         # A distance that is no number is far.
         ok = math.hypot(east, (lat - lat0) * ais.METRES_PER_DEGREE) <= OUTLIER_KNOTS * ais.KNOT_M_PER_S * (t - t0) + OUTLIER_SLACK_M
-    if ok:
-        t0, lng0, lat0 = t, lng, lat
-    return (session, t, t0, lng0, lat0), (session, seq, t, lng, lat, ok)
+    return ((session, t, lng, lat) if ok else state), (session, seq, t, lng, lat, ok)
 
 
-def trail_outliers(positions: DataFrame) -> DataFrame:
+def trail_outliers(positions: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     """(mmsi, session, seq, t_s, lng, lat, accepted): a fix too far from the last accepted one is an outlier."""
-    fixes = positions.where("lng IS NOT NULL AND lat IS NOT NULL")
-    return replayed(fixes, ["mmsi"], ["t_s", "seq", "lng", "lat"], outlier_step, "session long, seq long, t_s long, lng double, lat double, accepted boolean")
+    fixes = sessions(positions.where("lng IS NOT NULL AND lat IS NOT NULL"), slice_s=slice_s)
+    kind = "session long, seq long, t_s long, lng double, lat double, accepted boolean"
+    return in_slices(fixes, ["mmsi"], ["session", "t_s", "seq", "lng", "lat"], outlier_step, "session long, t long, lng double, lat double", kind, slice_s=slice_s)
 
 
 def trails(positions: DataFrame, age_s: int = TRAIL_S, points: int = TRAIL_POINTS) -> DataFrame:
@@ -145,14 +182,73 @@ def kalman_step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
     return (t, *new), (seq, *new)
 
 
-def kalman(positions: DataFrame) -> DataFrame:
-    """(mmsi, seq, lng, lat, vlng, vlat, p00, p01, p11): constant-velocity filter of each vessel's fixes.
+class Kalman(Scan):
+    """The filter as a scan: elements (A, b, C, eta, J) of a filtering step and their composition as in Saerkkae and
+    Garcia-Fernandez, Temporal Parallelization of Bayesian Smoothers (2021). The axes share A, C and J.
+
+    Slices start from the scan and go on by steps. With measurements at every step no covariance comes near COVARIANCE_CAP, at which a step would begin anew.
+    """
+
+    names = ("a00", "a01", "a10", "a11", "x0", "x1", "y0", "y1", "c00", "c01", "c11", "ex0", "ex1", "ey0", "ey1", "j00", "j01", "j11")
+    number, result = "double", "seq long, lng double, lat double, vlng double, vlat double, p00 double, p01 double, p11 double"
+
+    def elements(self, t: np.ndarray, before: np.ndarray, first: np.ndarray, fields: list[np.ndarray]) -> Element:
+        _, _, x, y = fields
+        dt, q, r = np.clip(t - before, 0, MOST_S).astype(np.float64), ACCEL_SIGMA**2, MEASURE_SIGMA**2
+        q00, q01, q11 = q * dt**4 / 4, q * dt**3 / 2, q * dt**2
+        s = q00 + r
+        k0, k1, o = q00 / s, q01 / s, np.zeros(len(t))
+        out = (1 - k0, (1 - k0) * dt, -k1, 1 - k1 * dt, k0 * x, k1 * x, k0 * y, k1 * y, (1 - k0) * q00, (1 - k0) * q01, q11 - k1 * q01, x / s, dt * x / s, y / s, dt * y / s, 1 / s, dt / s, dt * dt / s)
+        start = (o, o, o, o, x, o, y, o, o + START_SIGMA**2, o, o + START_SPEED_SIGMA**2, o, o, o, o, o, o, o)
+        return tuple(np.where(first, z, e) for z, e in zip(start, out, strict=True))
+
+    def combine(self, a: Element, b: Element) -> Element:
+        a00, a01, a10, a11, x0, x1, y0, y1, c00, c01, c11, ex0, ex1, ey0, ey1, j00, j01, j11 = a
+        b00, b01, b10, b11, u0, u1, v0, v1, d00, d01, d11, fx0, fx1, fy0, fy1, k00, k01, k11 = b
+        # M = inverse of I + C J', with C of the first and J' of the second.
+        m00, m01, m10, m11 = 1 + c00 * k00 + c01 * k01, c00 * k01 + c01 * k11, c01 * k00 + c11 * k01, 1 + c01 * k01 + c11 * k11
+        det = m00 * m11 - m01 * m10
+        m00, m01, m10, m11 = m11 / det, -m01 / det, -m10 / det, m00 / det
+        # B = A' M
+        p00, p01, p10, p11 = b00 * m00 + b01 * m10, b00 * m01 + b01 * m11, b10 * m00 + b11 * m10, b10 * m01 + b11 * m11
+
+        def mean(z0, z1, f0, f1, w0, w1):
+            s0, s1 = z0 + c00 * f0 + c01 * f1, z1 + c01 * f0 + c11 * f1
+            return p00 * s0 + p01 * s1 + w0, p10 * s0 + p11 * s1 + w1
+
+        # G = A^T M^T
+        g00, g01, g10, g11 = a00 * m00 + a10 * m01, a00 * m10 + a10 * m11, a01 * m00 + a11 * m01, a01 * m10 + a11 * m11
+
+        def information(z0, z1, f0, f1, e0, e1):
+            s0, s1 = f0 - k00 * z0 - k01 * z1, f1 - k01 * z0 - k11 * z1
+            return g00 * s0 + g01 * s1 + e0, g10 * s0 + g11 * s1 + e1
+
+        q00, q01, q10, q11 = p00 * c00 + p01 * c01, p00 * c01 + p01 * c11, p10 * c00 + p11 * c01, p10 * c01 + p11 * c11
+        h00, h01, h10, h11 = g00 * k00 + g01 * k01, g00 * k01 + g01 * k11, g10 * k00 + g11 * k01, g10 * k01 + g11 * k11
+        return (
+            p00 * a00 + p01 * a10, p00 * a01 + p01 * a11, p10 * a00 + p11 * a10, p10 * a01 + p11 * a11,
+            *mean(x0, x1, fx0, fx1, u0, u1), *mean(y0, y1, fy0, fy1, v0, v1),
+            q00 * b00 + q01 * b01 + d00, q00 * b10 + q01 * b11 + d01, q10 * b10 + q11 * b11 + d11,
+            *information(x0, x1, fx0, fx1, ex0, ex1), *information(y0, y1, fy0, fy1, ey0, ey1),
+            h00 * a00 + h01 * a10 + j00, h00 * a01 + h01 * a11 + j01, h10 * a01 + h11 * a11 + j11,
+        )
+
+    def identity(self, n: int) -> Element:
+        o, one = np.zeros(n), np.ones(n)
+        return (one, o, o, one, *(o,) * 14)
+
+    def state(self) -> Column:
+        return F.struct("__t", "x0", "y0", "x1", "y1", "c00", "c01", "c11")
+
+
+def kalman(positions: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
+    """(mmsi, seq, lng, lat, vlng, vlat, p00, p01, p11): constant-velocity filter of each vessel's fixes; ones that are no numbers are left out.
 
     The axes share one gain, as they start alike and never mix; so the state is one 2 x 2 covariance and
     two positions and speeds.
     """
-    fixes = positions.where("lng IS NOT NULL AND lat IS NOT NULL").withColumns({c: F.col(c).cast("double") for c in ("lng", "lat")})
-    return replayed(fixes, ["mmsi"], ["t_s", "seq", "lng", "lat"], kalman_step, "seq long, lng double, lat double, vlng double, vlat double, p00 double, p01 double, p11 double")
+    fixes = positions.withColumns({c: F.col(c).cast("double") for c in ("lng", "lat")}).where("abs(lng) < double('Infinity') AND abs(lat) < double('Infinity')")
+    return scanned(fixes, ["mmsi"], ["t_s", "seq", "lng", "lat"], Kalman(), slice_s=slice_s, step=kalman_step)
 
 
 def covariance16(p00: Column, p01: Column, p11: Column) -> Column:

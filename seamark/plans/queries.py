@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.functions import ais
-from seamark.operators import feeds, frames, geo, quality, reads, tracks
+from seamark.operators import failover, feeds, frames, geo, quality, reads, tracks
 from seamark.sources import fixtures
 from seamark.sources.fixtures import AS_OF, POSITIONS, STATICS, ZONES
 from seamark.sources.landing import landed
@@ -42,6 +42,10 @@ _FIRST_REASON = """CASE
     WHEN heading IS NOT NULL AND NOT heading BETWEEN 0 AND 359 THEN 'heading-out-of-range' END"""
 
 
+_COARSE_REASON = """CASE WHEN reason LIKE 'mmsi%' THEN 'invalid-mmsi' WHEN reason = 'lat-out-of-range' THEN 'out-of-range-lat' WHEN reason = 'lng-out-of-range' THEN 'out-of-range-lng'
+    WHEN reason IN ('sog-out-of-range', 'cog-out-of-range', 'heading-out-of-range') THEN 'invalid-payload' WHEN reason IN ('rate-limited', 'new-vessel-limited') THEN 'rate-limit' ELSE reason END"""
+
+
 @_query(f"""{_PS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t_s DESC, seq DESC) AS rn FROM p) WHERE rn = 1)
 SELECT s.mmsi, vessel_name, CASE WHEN lng IS NOT NULL AND lat IS NOT NULL THEN round(lng, 6) END AS lng,
   CASE WHEN lng IS NOT NULL AND lat IS NOT NULL THEN round(lat, 6) END AS lat, to_bow + to_stern AS length_m, t_s AS updated_s
@@ -52,7 +56,7 @@ def latest_positions(spark, sf_dir):
 
 
 @_query(f"""{_P}, g AS (SELECT *, {_FIRST_REASON} AS reason FROM p)
-SELECT coalesce(reason, 'accepted') AS outcome, CASE WHEN reason LIKE 'mmsi%' THEN 'invalid-mmsi' WHEN reason IS NOT NULL THEN 'invalid-position' ELSE 'accepted' END AS gate,
+SELECT coalesce(reason, 'accepted') AS outcome, coalesce({_COARSE_REASON}, 'accepted') AS gate,
   count(*) AS n, count(DISTINCT mmsi) AS vessels FROM g GROUP BY 1, 2""")
 def gate_counts(spark, sf_dir):
     rows = quality.gated(fixtures.positions(spark, sf_dir))
@@ -340,13 +344,6 @@ def active_source(spark, sf_dir):
     return tracks.active_source(fixtures.positions(spark, sf_dir), alive_s=20).select("seq", "mmsi", "source_id", "active")
 
 
-@_query(f"""{_P}, f AS (SELECT mmsi, min(seq) AS first_seq, CAST(floor(min(t_s) / 60) AS BIGINT) AS minute FROM p GROUP BY mmsi),
-r AS (SELECT mmsi, row_number() OVER (PARTITION BY minute ORDER BY first_seq) <= CASE WHEN minute = (SELECT min(minute) FROM f) THEN 20 ELSE 10 END AS admitted FROM f)
-SELECT seq, mmsi, admitted FROM p JOIN r USING (mmsi)""")
-def new_vessels_admitted(spark, sf_dir):
-    return quality.admitted(fixtures.positions(spark, sf_dir), burst=20, per_minute=10).select("seq", "mmsi", "admitted")
-
-
 @_query(f"""WITH RECURSIVE p AS MATERIALIZED ({POSITIONS}), {_bucket_sql('p', 20, 10)}
 SELECT p.seq, p.mmsi, coalesce(p.t_s > from_t OR (p.t_s = from_t AND p.seq >= from_seq), FALSE) AS admitted FROM p LEFT JOIN since ON since.mmsi = p.mmsi""")
 def new_vessels_bucket(spark, sf_dir):
@@ -522,12 +519,13 @@ def static_gate(spark, sf_dir):
 
 @_query(f"""WITH RECURSIVE p AS ({POSITIONS}), g AS MATERIALIZED (SELECT seq, mmsi, t_s, {_FIRST_REASON} AS reason FROM p), ok AS MATERIALIZED (SELECT * FROM g WHERE reason IS NULL), {_bucket_sql('ok', 20, 10)},
 adm AS MATERIALIZED (SELECT ok.* FROM ok JOIN since ON since.mmsi = ok.mmsi AND (ok.t_s > from_t OR (ok.t_s = from_t AND ok.seq >= from_seq))), {_rate_sql('adm')}
-SELECT CASE WHEN g.reason IS NOT NULL THEN g.reason WHEN rate.seq IS NULL THEN 'new-vessel-limited' WHEN NOT accepted THEN 'rate-limited' ELSE 'accepted' END AS outcome, count(*) AS n
-FROM g LEFT JOIN rate ON rate.mmsi = g.mmsi AND rate.seq = g.seq GROUP BY 1""")
+SELECT coalesce(reason, 'accepted') AS outcome, coalesce({_COARSE_REASON}, 'accepted') AS gate, count(*) AS n
+FROM (SELECT CASE WHEN g.reason IS NOT NULL THEN g.reason WHEN rate.seq IS NULL THEN 'new-vessel-limited' WHEN NOT accepted THEN 'rate-limited' END AS reason FROM g LEFT JOIN rate ON rate.mmsi = g.mmsi AND rate.seq = g.seq) GROUP BY 1, 2""")
 def gate_chain(spark, sf_dir):
-    """Outcomes of the ordered gates, new vessels and the rate of each vessel included."""
+    """Outcomes of the ordered gates, new vessels and the rate of each vessel included, and the kinds they are counted as."""
     rows = feeds.gate_chain(fixtures.positions(spark, sf_dir), burst=20, per_minute=10)
-    return rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+    gate = F.coalesce(ais.coarse_reason(F.col("reason")), F.lit("accepted"))
+    return rows.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome"), gate.alias("gate")).agg(F.count("*").alias("n"))
 
 
 @_query(f"""{_P}, g AS (SELECT *, {_FIRST_REASON} AS reason FROM p) SELECT msg_type, count(*) AS n, count(DISTINCT mmsi) AS vessels FROM g
@@ -563,3 +561,59 @@ def zone_badges(spark, sf_dir):
 @_query(f"{_P}, h AS ({_HITS}) SELECT mmsi, max(t_s) AS last_seen_s FROM p JOIN (SELECT DISTINCT mmsi, seq FROM h) USING (mmsi, seq) GROUP BY mmsi")
 def last_seen_in_zones(spark, sf_dir):
     return geo.last_seen_in_zones(fixtures.positions(spark, sf_dir), fixtures.zones(spark))
+
+
+#: Frames on a clock six times as fast, with stretches in which a source, or every source, is silent.
+_OUTAGES = "SELECT seq, 1704067200 + (t_s - 1704067200) * 6 AS t_s, source_id, reason FROM g WHERE (CAST(floor((t_s - 1704067200) * 6 / 2400) AS BIGINT) + source_id) % 3 <> 0 AND CAST(floor((t_s - 1704067200) * 6 / 5000) AS BIGINT) % 4 <> 3"
+_FREE = lambda warm: f"CASE WHEN {warm} % 2 = 0 THEN 0 WHEN {warm} // 2 % 2 = 0 THEN 1 WHEN {warm} // 4 % 2 = 0 THEN 2 WHEN {warm} // 8 % 2 = 0 THEN 3 END"
+
+
+@_query(f"""WITH RECURSIVE p AS ({POSITIONS}), g AS (SELECT seq, t_s, source_id, {_FIRST_REASON} AS reason FROM p), f AS MATERIALIZED ({_OUTAGES}),
+a AS (SELECT t_s, CASE source_id WHEN 3 THEN 0 WHEN 2 THEN 1 WHEN 0 THEN 2 WHEN 1 THEN 3 END AS rank, min(seq) AS seq FROM f WHERE reason IS NULL GROUP BY ALL),
+q AS (SELECT DISTINCT t_s, -1 AS rank, CAST(9000000000000000000 AS BIGINT) AS seq FROM f WHERE t_s >= (SELECT min(t_s) FROM a)),
+ev AS MATERIALIZED (SELECT t_s, rank, row_number() OVER (ORDER BY t_s, seq) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM q)),
+st AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT min(t_s) FROM a) AS t_s, 0 AS mode, 0 AS cur, 0 AS warm, (SELECT min(t_s) FROM a) AS since
+  UNION ALL SELECT CASE WHEN due <= et THEN k ELSE k + 1 END, CASE WHEN due <= et THEN t_s ELSE et END,
+    CASE WHEN due <= et THEN CASE WHEN mode = 0 THEN 1 WHEN mode = 1 THEN CASE WHEN nxt IS NULL THEN 2 ELSE 0 END ELSE 0 END WHEN own OR back THEN 0 ELSE mode END,
+    CASE WHEN due <= et THEN CASE WHEN mode = 0 THEN cur WHEN mode = 1 THEN coalesce(nxt, cur) ELSE 0 END WHEN back THEN rank ELSE cur END,
+    CASE WHEN due <= et THEN CASE WHEN mode = 0 THEN warm WHEN mode = 1 THEN warm2 ELSE 0 END WHEN back THEN warm - bit + CASE WHEN warm // curbit % 2 = 0 THEN curbit ELSE 0 END ELSE warm END,
+    CASE WHEN due <= et THEN due WHEN own OR back THEN et ELSE since END
+  FROM (SELECT *, {_FREE('warm2')} AS nxt, coalesce(rank = cur AND mode <> 2, FALSE) AS own, coalesce(rank >= 0 AND rank < cur AND warm // bit % 2 = 1, FALSE) AS back FROM (
+    SELECT st.*, ev.t_s AS et, ev.rank, since + CASE mode WHEN 0 THEN 300 WHEN 1 THEN 600 ELSE 60 END AS due, CAST(1 << cur AS INTEGER) AS curbit, CAST(1 << greatest(ev.rank, 0) AS INTEGER) AS bit,
+      warm + CASE WHEN warm // CAST(1 << cur AS INTEGER) % 2 = 0 THEN CAST(1 << cur AS INTEGER) ELSE 0 END AS warm2 FROM st JOIN ev ON ev.k = st.k + 1) x) y),
+l AS (SELECT t_s, mode, cur FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY since DESC) AS r1 FROM st WHERE k > 0) WHERE r1 > 0 AND k IN (SELECT max(k) FROM ev GROUP BY t_s) QUALIFY row_number() OVER (PARTITION BY k ORDER BY since) = 1),
+o AS (SELECT t_s, CASE mode WHEN 0 THEN 'active' WHEN 1 THEN 'degraded' ELSE 'exhausted' END AS mode, CASE WHEN mode <> 2 THEN CASE cur WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END END AS active FROM l)
+SELECT f.seq, o.mode, CAST(o.active AS BIGINT) AS active, coalesce(o.active = f.source_id, FALSE) AS trusted FROM f LEFT JOIN o USING (t_s)""")
+def source_failover(spark, sf_dir):
+    """For each frame the state of the failover automaton, and whether its source is the one that is trusted then."""
+    quality.gated(fixtures.positions(spark, sf_dir)).createOrReplaceTempView("seamark_gated")
+    frames_ = spark.sql(_OUTAGES.replace("FROM g ", "FROM seamark_gated "))
+    return failover.trusted(frames_).select("seq", "mode", "active", "trusted")
+
+
+@_query(f"""WITH RECURSIVE p AS ({POSITIONS}), slow AS (SELECT source_id * 8 + CAST(mmsi % 8 AS BIGINT) AS mmsi, seq, CAST(floor(t_s / 15) AS BIGINT) AS t_s FROM p), {_rate_sql('slow')}
+SELECT seq, mmsi // 8 AS source_id, mmsi % 8 AS connection, accepted FROM rate""")
+def source_rate_limited(spark, sf_dir):
+    """A bucket for each connection of each source, on a slow clock so that it runs dry."""
+    rows = fixtures.positions(spark, sf_dir).withColumns({"t_s": F.floor(F.col("t_s") / 15), "connection": F.col("mmsi") % 8})
+    return tracks.rate_limit(rows, ["source_id", "connection"], size=5, per_s=1).select("seq", "source_id", "connection", "accepted")
+
+
+@_query(ORACLE_SQL["rate_limited"])
+def rate_limited_sliced(spark, sf_dir):
+    """The buckets of rate_limited, each vessel's history in slices of ten seconds of the slow clock."""
+    slow = fixtures.positions(spark, sf_dir).withColumn("t_s", F.floor(F.col("t_s") / 15))
+    return tracks.rate_limit(slow, slice_s=10).select("mmsi", "seq", "accepted")
+
+
+@_query(ORACLE_SQL["trail_outliers"])
+def trail_outliers_sliced(spark, sf_dir):
+    """trail_outliers with each vessel's history in slices of five minutes."""
+    return tracks.trail_outliers(fixtures.positions(spark, sf_dir), slice_s=300).select("mmsi", "session", "seq", "accepted")
+
+
+@_query(ORACLE_SQL["kalman_track"])
+def kalman_track_sliced(spark, sf_dir):
+    """kalman_track with each vessel's history in slices of five minutes; digits that rounding can't reach."""
+    rows = tracks.kalman(fixtures.positions(spark, sf_dir).where("lat <= 90"), slice_s=300)
+    return rows.select("mmsi", "seq", F.round("lng", 7).alias("lng"), F.round("lat", 7).alias("lat"), F.round(F.col("vlng") * 1e6, 4).alias("vlng_u"), F.round(F.col("vlat") * 1e6, 4).alias("vlat_u"))

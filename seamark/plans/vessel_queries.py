@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seamark.functions import ais
 from seamark.operators import geo, quality, reads, state, tracks
-from seamark.plans.queries import _CATEGORY_SQL, _EVENTS, _FIRST_REASON, _HITS, _LABEL_SQL, _LABELS, _TRAIL_POINTS, _query
+from seamark.plans.queries import _CATEGORY_SQL, _COARSE_REASON, _EVENTS, _FIRST_REASON, _HITS, _LABEL_SQL, _LABELS, _TRAIL_POINTS, _query
 from seamark.sources import fixtures, sinks
 from seamark.sources.fixtures import AS_OF, MESSAGES, POSITIONS, STATICS
 from seamark.sources.landing import shared_path
@@ -159,7 +159,7 @@ def positions_by_day(spark, sf_dir):
 
 
 @_query(f"""{_P}, g AS (SELECT *, {_FIRST_REASON} AS reason FROM p)
-SELECT seq, t_s AS ts, source_id, reason AS kind, CASE WHEN reason LIKE 'mmsi%' THEN 'invalid-mmsi' ELSE 'invalid-position' END AS gate, strftime(make_timestamp(t_s * 1000000), '%Y-%m-%d') AS day FROM g WHERE reason IS NOT NULL""")
+SELECT seq, t_s AS ts, source_id, reason AS kind, {_COARSE_REASON} AS gate, strftime(make_timestamp(t_s * 1000000), '%Y-%m-%d') AS day FROM g WHERE reason IS NOT NULL""")
 def dead_letters(spark, sf_dir):
     """Quarantined rows written as JSON lines by day, and read back."""
     path = shared_path(spark, "dead-letters")

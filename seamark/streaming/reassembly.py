@@ -41,11 +41,11 @@ class Reassembly(StatefulProcessor):
             wanted, first, numbers, held = self.state.get()
             now = wanted, first, dict(zip(numbers, held, strict=True))
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values(["t_s", "seq"]).itertuples():
-                now, whole = step(now, (int(r.t_s), int(r.fragments), int(r.fragment), r.payload))
-                if whole is not None:
-                    out.append((*key, int(r.seq), int(r.t_s), int(r.fragments), whole))
+        # They may come in several frames, which aren't in order among themselves.
+        for r in pd.concat(rows).sort_values(["t_s", "seq"]).itertuples():
+            now, whole = step(now, (int(r.t_s), int(r.fragments), int(r.fragment), r.payload))
+            if whole is not None:
+                out.append((*key, int(r.seq), int(r.t_s), int(r.fragments), whole))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if now is None:

@@ -25,6 +25,11 @@ def coalesced(positions: DataFrame, window: str = "1 second") -> DataFrame:
     return positions.groupBy(F.window("received_at", window), "mmsi").agg(F.count("*").alias("n_frames"), F.max("seq").alias("last_seq"), F.max_by(F.struct("lng", "lat", "sog_t", "source_id"), "seq").alias("newest")).select("mmsi", F.col("window.start").alias("window_start"), "n_frames", "last_seq", "newest.*")
 
 
+def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one batch in order: they may come in several frames, which aren't in order among themselves."""
+    return pd.concat(frames).sort_values(["t_s", "seq"])
+
+
 class DwellProcessor(StatefulProcessor):
     """Geofence state of one vessel and zone: the run it is in, what was told last, when it was last heard.
 
@@ -43,18 +48,17 @@ class DwellProcessor(StatefulProcessor):
         return _frame(rows)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for r in pdf.sort_values(["t_s", "seq"]).itertuples():
-                t, inside = int(r.t_s), bool(r.inside)
-                if self.state.exists() and t - self.state.get()[3] >= SILENCE_S:
-                    yield self._silent(key, t)
-                told, run, since, last = self.state.get() if self.state.exists() else (False, not inside, t, t)
-                if inside != run:
-                    run, since = inside, t
-                if inside != told and t - since >= DWELL_S:
-                    told = inside
-                    yield _frame([("enter" if inside else "exit", key[0], key[1], t, None)])
-                self.state.update((told, run, since, max(last, t)))
+        for r in _in_order(rows).itertuples():
+            t, inside = int(r.t_s), bool(r.inside)
+            if self.state.exists() and t - self.state.get()[3] >= SILENCE_S:
+                yield self._silent(key, t)
+            told, run, since, last = self.state.get() if self.state.exists() else (False, not inside, t, t)
+            if inside != run:
+                run, since = inside, t
+            if inside != told and t - since >= DWELL_S:
+                told = inside
+                yield _frame([("enter" if inside else "exit", key[0], key[1], t, None)])
+            self.state.update((told, run, since, max(last, t)))
         if self.state.exists():
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -92,8 +96,7 @@ class Carried(StatefulProcessor):
         self.state = handle.getValueState("carried", self.kind)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A vessel's rows of one batch may come in several frames, which aren't in order.
-        batch = pd.concat(rows).sort_values(["t_s", "seq"])[self.fields]
+        batch = _in_order(rows)[self.fields]
         state, out = tuple(self.state.get()) if self.state.exists() else None, []
         for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
             state, got = self.step(state, row)

@@ -119,9 +119,10 @@ def test_evict_policy_and_zone_checks(spark, sf_dir):
     assert {r["check"]: r["failures"] for r in geo.zone_problems(edited).collect()}["pipe_in_id"] == 1
 
 
-def test_admission_tries_again(spark, sf_dir, rows):
-    """Against one bucket over all frames: vessels beyond the burst get in as it refills."""
-    got = {r["seq"]: r["admitted"] for r in quality.admitted_by_bucket(fixtures.positions(spark, sf_dir), burst=3, per_minute=2).collect()}
+@pytest.mark.parametrize("round_rows", [100, quality.ROUND_ROWS])
+def test_admission_tries_again(spark, sf_dir, rows, round_rows):
+    """Against one bucket over all frames: vessels beyond the burst get in as it refills, whatever the rounds."""
+    got = {r["seq"]: r["admitted"] for r in quality.admitted_by_bucket(fixtures.positions(spark, sf_dir), burst=3, per_minute=2, round_rows=round_rows).collect()}
     tokens, last, known, late = 3 * 60, None, set(), 0
     for t, seq, mmsi in sorted((r["t_s"], r["seq"], r["mmsi"]) for track in rows.values() for r in track):
         tokens, last = min(3 * 60, tokens + (t - (last if last is not None else t)) * 2), t
@@ -162,3 +163,16 @@ def test_nearby_pairs_anywhere(spark, metres):
                 want.add((a, b))
     got = [(r["a"], r["b"]) for r in geo.nearby_pairs(fixes, metres).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_round_ends(spark):
+    df = spark.createDataFrame([(t,) for t in [5] * 9 + [6, 7, 4000, 4001]], "t_s long")
+    assert quality._until(df, 100) == 4001 and quality._until(df, 3, 4) == 5 and 7 <= quality._until(df, 11, 4) < 4000
+    assert quality._until(df.limit(0), 3) is None
+
+
+def test_admission_of_a_crowd(spark):
+    """Thousands of ids in one second: the bucket admits its burst, and a round carries no more of them than can matter."""
+    crowd = spark.range(3000).selectExpr("id AS mmsi", "100 + id DIV 1500 AS t_s", "id AS seq")
+    got = quality.admitted_by_bucket(crowd, burst=7, per_minute=60, round_rows=50)
+    assert sorted(r["seq"] for r in got.where("admitted").collect()) == [*range(7), 1500]

@@ -62,3 +62,38 @@ def test_carried_state_stream(spark, landed, tmp_path, name):
     want = tracks.hysteresis(rows, F.col("sog")).select("mmsi", "seq", "session", "moving") if name == "hysteresis" else getattr(tracks, name)(rows)
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(want.columns).collect()}
     assert got == {tuple(r) for r in want.collect()} and got
+
+
+@pytest.fixture
+def small_frames(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _append(stream, tmp_path):
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return stream.sparkSession.read.parquet(str(tmp_path / "out")).collect()
+
+
+def test_dwell_over_many_frames(spark, small_frames, tmp_path):
+    """A vessel in and out by turns, its rows in no order and in frames of three: events as of the rows in order."""
+    rows = [(1, "A", 1000 + 20 * k, k, k // 10 % 2 == 0) for k in range(60)]
+    spark.createDataFrame([rows[(7 * k) % 60] for k in range(60)], "mmsi long, zone_id string, t_s long, seq long, inside boolean").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    stream = live.timed(spark.readStream.schema("mmsi long, zone_id string, t_s long, seq long, inside boolean").parquet(str(tmp_path / "rows")), "10 days")
+    got = sorted((r["at_s"], r["kind"]) for r in _append(live.geofence_events(stream), tmp_path))
+    assert got == [(1000 + 20 * (10 * j + 2), "exit" if j % 2 else "enter") for j in range(6)]
+
+
+def test_reassembly_over_many_frames(spark, small_frames, tmp_path):
+    """Messages of four parts one after another under one id: none is lost, whatever the frames they come in."""
+    from seamark.streaming import reassembly
+
+    kind = "source_id int, channel string, message_id string, seq long, t_s long, fragments int, fragment int, payload string"
+    rows = [(0, "A", "7", k, 100 + k // 4 * 3, 4, k % 4 + 1, f"p{k};") for k in range(40)]
+    spark.createDataFrame([rows[(13 * k) % 40] for k in range(40)], kind).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    stream = live.timed(spark.readStream.schema(kind).parquet(str(tmp_path / "rows")), "10 days")
+    got = {r["seq"]: r["payload"] for r in _append(reassembly.reassembled(stream), tmp_path)}
+    assert got == {4 * m + 3: "".join(f"p{4 * m + j};" for j in range(4)) for m in range(10)}
