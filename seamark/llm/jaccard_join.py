@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from seamark.llm import prefix
 from seamark.llm import textbytes as tb
-from seamark.llm.common import read, stored
+from seamark.llm.common import arrow_batches, read, stored, tidy
 from seamark.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 80
 BLOCK = 512
 LEAF = 16
+#: Of rows that go to Python at once; a task holds a batch twice, and the elements of a part of it.
+BATCH_BYTES = 8 << 20
 #: Pairs of ids are sent to every task only up to this many ids; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -87,7 +89,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE) ->
                 yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(np.diff(bounds).astype(np.int64)), *signs], ["doc_id", "n", "s1", "s2"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string"))
-    return rows.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long")
+    return rows.mapInArrow(tidy(sign), "doc_id long, n long, s1 long, s2 long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -275,7 +277,7 @@ def _tree_pairs(members: DataFrame, bitmaps: DataFrame, spanning: bool, percent:
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     rows = members.join(bitmaps, "rep").select("task", "side", "rep", "n", "bitmap", "comp", "short").repartition("task").sortWithinPartitions("task")
-    return rows.mapInArrow(join, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(join), "a long, b long").distinct()
 
 
 def _with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -318,7 +320,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     met = _with_ids(texts, roles, "inner").select("task", "side", "id", "text").repartition("task").sortWithinPartitions("task", "side")
-    return met.mapInArrow(check, "a long, b long").distinct()
+    return met.mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 COLS = ("task", "side", "rep", "comp")
@@ -359,6 +361,11 @@ def _joined(groups: DataFrame, profiles: DataFrame, comp: DataFrame | None, span
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ids with signatures, representatives of equal sets, components of the ids that have links)."""
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _links(docs, doc_id, text, size, percent)
+
+
+def _links(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     sign = ["n", "s1", "s2"]
     signed = stored(signatures(docs, doc_id, text, size))
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
@@ -376,7 +383,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 
     total = reps.agg(F.sum("n")).first()[0] or 0
     firsts = _with_ids(texts, stored(copies), "left_anti")
-    found = stored(prefix.profiles(firsts, lambda data, at: sets(data, at, size), total, percent))
+    found = prefix.profiles(firsts, lambda data, at: sets(data, at, size), total, percent)
     comp = stored(components(mixed)) if several.where("mixed").take(1) else None
     likely = found.select(F.explode(F.array_distinct("groups")).alias("gid"), "rep", F.lit(True).alias("short"))
     comp = _contracted(comp, _verified(_joined(likely, found, comp, True, percent), texts, size, percent))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.llm import textbytes as tb
-from seamark.llm.common import stored
+from seamark.llm.common import dropped, stored, stored_at, tidy
 
 CHUNK_BYTES = 1 << 20
 #: Bytes of text of which a task holds the elements at once; the arrays for a byte take some fifty times its room.
@@ -81,7 +81,7 @@ def _chunked(texts: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([made], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[i:j], at[i : j + 1] - at[i], data[at[i] : at[j]]))], ["chunk", "ids", "at", "data"])
                 made += 1
 
-    return texts.mapInArrow(pack, "chunk long, ids binary, at binary, data binary")
+    return texts.mapInArrow(tidy(pack), "chunk long, ids binary, at binary, data binary")
 
 
 def _counted(sent: DataFrame, parts: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _counted(sent: DataFrame, parts: int) -> DataFrame:
         if got:
             yield _summed(part, chunk, got)
 
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "chunk long, part int, elements binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(count), "chunk long, part int, elements binary")
 
 
 def _summed(part: int, chunk: list[int], got: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -124,7 +124,7 @@ def _summed(part: int, chunk: list[int], got: list[tuple[np.ndarray, np.ndarray]
 
 
 def profiles(texts: DataFrame, sets: Sets, total: int, percent: int) -> DataFrame:
-    """(rep, n, bitmap, groups, keys, short) of the texts that can meet another one at all.
+    """(rep, n, bitmap, groups, keys, short) of the texts that can meet another one at all, stored.
 
     texts: (id, text), one row for each different set; sets: of the bytes and bounds of texts, gives the
     bounds of each text's elements and the elements; total: about how many elements all texts have.
@@ -132,7 +132,7 @@ def profiles(texts: DataFrame, sets: Sets, total: int, percent: int) -> DataFram
     elements of one text. short: whether each key is in the prefix that the smaller of a pair needs.
     """
     parts = int(max(1, -(-total // TASK_ELEMENTS)))
-    chunks = stored(_chunked(texts))
+    chunks, path = stored_at(_chunked(texts))
 
     def own_sets(at: pa.Buffer, data: pa.Buffer):
         ends, every = np.frombuffer(at, np.int64), np.frombuffer(data, np.uint8)
@@ -170,12 +170,14 @@ def profiles(texts: DataFrame, sets: Sets, total: int, percent: int) -> DataFram
         if held:
             yield from chosen()
 
-    sent = chunks.select("chunk", "at", "data").mapInArrow(send, "chunk long, part int, elements binary")
+    sent = chunks.select("chunk", "at", "data").mapInArrow(tidy(send), "chunk long, part int, elements binary")
     none = F.lit(None).cast("binary")
     back = _counted(sent, parts).select("chunk", "part", "elements", none.alias("ids"), none.alias("at"), none.alias("data"))
     whole = chunks.select("chunk", F.lit(-1).alias("part"), none.alias("elements"), "ids", "at", "data")
     met = whole.union(back).repartition("chunk").sortWithinPartitions("chunk", "part")
-    return met.mapInArrow(choose, "rep long, n long, bitmap binary, groups array<long>, keys array<long>, short array<boolean>")
+    found = stored(met.mapInArrow(tidy(choose), "rep long, n long, bitmap binary, groups array<long>, keys array<long>, short array<boolean>"))
+    dropped(texts.sparkSession, path)
+    return found
 
 
 def _prefixes(ids: np.ndarray, bounds: np.ndarray, h: np.ndarray, known: np.ndarray, texts_of: np.ndarray, percent: int) -> pa.RecordBatch:
