@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.llm import decontamination, jaccard_join, language_id, pieces, pii
-from seamark.llm.common import bucket, read, stored
+from seamark.llm.common import bucket, dropped, read, stored_at
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, path = stored_at(stage(spark, docs, sf_dir))
+        if before:
+            dropped(spark, before)
+        before = path
     return docs
