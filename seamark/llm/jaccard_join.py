@@ -39,7 +39,7 @@ PERCENT = 80
 BLOCK = 512
 LEAF = 16
 #: Of rows that go to Python at once; a task holds a batch twice, and the elements of a part of it.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Pairs of ids are sent to every task only up to this many ids; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

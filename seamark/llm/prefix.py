@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from seamark.llm import textbytes as tb
 from seamark.llm.common import dropped, stored, stored_at, tidy
 
-CHUNK_BYTES = 1 << 20
+#: Less than the half of a region of a small heap, beyond which the JVM keeps an array apart.
+CHUNK_BYTES = 384 << 10
 #: Bytes of text of which a task holds the elements at once; the arrays for a byte take some fifty times its room.
 PIECE = 1 << 19
 #: Elements that a task adds up, about.
