@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.functions import ais
+from seamark.operators import tracks
+from seamark.sources.landing import landed
 
 DWELL_S, SILENCE_S = 30, 600
-#: Zone tables up to this many rows go to every task; larger ones are joined by grid cell.
-BROADCAST_ZONES = 10_000
-CELL_DEG = 0.05
+#: A table of cells goes to every task up to this many bytes; beyond that it is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: A cell is cut further while it has more edges, so many times at most.
+CELL_EDGES, CELL_CUTS = 16, 10
+#: Beyond a cell's bounds, more than rounding can move a point or a crossing.
+_MARGIN = 1e-9
 
 
 def in_rings(lng: Column, lat: Column, rings: Column) -> Column:
@@ -63,19 +72,89 @@ def edited_zones(zones: DataFrame, added: DataFrame | None = None, changed: Data
     return zones
 
 
-def membership(positions: DataFrame, zones: DataFrame) -> DataFrame:
-    """(every position with a fix) x (zone that holds it): zone_id. Small zone sets are broadcast, others meet in grid cells."""
+_CELL = "zone_id string, level int, cx long, cy long, inside boolean, edges array<struct<ax: double, ay: double, bx: double, by: double>>, west double, east double, south double, north double"
+
+
+def _crossings(edges: np.ndarray, x: float, y: float) -> int:
+    """How many edges (ax, ay, bx, by) a ray from a point to the east crosses."""
+    ax, ay, bx, by = edges[(edges[:, 1] > y) != (edges[:, 3] > y)].T
+    return int((x < (bx - ax) * (y - ay) / (by - ay) + ax).sum())
+
+
+def _cover(edges: np.ndarray, bounds: tuple[float, float, float, float], most_edges: int, cuts: int) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
+    """(level, cx, cy, inside, edges) of the cells of one zone, as ``zone_cells`` has them."""
+    west, east, south, north = bounds
+    level = max(0, math.floor(math.log2(360 / max(east - west, north - south, 1e-6))))
+    at = lambda v: math.floor((v + 180) / (360 / 2.0**level))
+    todo = [(level, x, y, False, edges) for x in range(at(west), at(east) + 1) for y in range(at(south), at(north) + 1)]
+    while todo:
+        k, cx, cy, inside, e = todo.pop()
+        size = 360 / 2.0**k
+        w, s = cx * size - 180 - _MARGIN, cy * size - 180 - _MARGIN
+        right, top = w + size + 2 * _MARGIN, s + size + 2 * _MARGIN
+        low_x, high_x, low, high = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2]), np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+        across = (low_x > right) & (low <= s) & (high > top)
+        inside ^= bool(across.sum() % 2)
+        keep = (high >= s) & (low <= top) & (high_x >= w) & ~across
+        e, low_x = e[keep], low_x[keep]
+        # An edge whose line has all corners of the cell on one side isn't in the cell.
+        sides = np.array([(e[:, 2] - e[:, 0]) * (y - e[:, 1]) - (e[:, 3] - e[:, 1]) * (x - e[:, 0]) for x in (w, right) for y in (s, top)]).reshape(4, -1)
+        touching = int(((low_x <= right) & ~(sides > 0).all(0) & ~(sides < 0).all(0)).sum())
+        if not touching:
+            if inside ^ bool(_crossings(e, (w + right) / 2, (s + top) / 2) % 2):
+                yield k, cx, cy, True, e[:0]
+        elif touching <= most_edges or k >= level + cuts:
+            yield k, cx, cy, inside, e
+        else:
+            todo += [(k + 1, 2 * cx + i, 2 * cy + j, inside, e) for i in (0, 1) for j in (0, 1)]
+
+
+def zone_cells(zones: DataFrame, most_edges: int = CELL_EDGES, cuts: int = CELL_CUTS) -> DataFrame:
+    """(zone_id, level, cx, cy, inside, edges, and the zone's bounds): cells of a quadtree that cover each zone; one of level k is 360 / 2^k degrees wide.
+
+    A zone starts with the four cells at most that are as wide as it is. A cell without edges in it is dropped or, where its middle is
+    inside, all inside; one with many edges in it is cut in four. ``edges`` are those that decide for points of the cell which a ray to the east
+    crosses, and ``inside`` the parity of the others: edges east of the cell from its southern to its northern bound count for all its points.
+    A zone is as many rows as its outline needs, whatever its area; ones without a ring, or with corners that are no numbers, have none.
+    """
+    kind = pa.list_(pa.struct([(c, pa.float64()) for c in ("ax", "ay", "bx", "by")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for zone, rings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                corners = [np.array([p[:2] for p in r or () if p is not None and len(p) > 1], np.float64).reshape(-1, 2) for r in rings or ()]
+                if not corners or not len(corners[0]) or not all(np.isfinite(r).all() for r in corners):
+                    continue
+                edges = np.concatenate([np.hstack([r, np.roll(r, -1, 0)]) for r in corners])
+                (west, south), (east, north) = corners[0].min(0), corners[0].max(0)
+                cells = _cover(edges, (west, east, south, north), most_edges, cuts)
+                while some := list(itertools.islice(cells, 1000)):
+                    ends = np.cumsum([0, *(len(c[4]) for c in some)])
+                    flat = np.concatenate([c[4] for c in some])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, j]) for j in range(4)], fields=list(kind.value_type)))
+                    same = lambda v, n=len(some): pa.array([v] * n)
+                    yield pa.record_batch([same(zone), pa.array([c[0] for c in some], pa.int32()), *(pa.array([c[j] for c in some], pa.int64()) for j in (1, 2)), pa.array([c[3] for c in some]), lists, same(west), same(east), same(south), same(north)], ["zone_id", "level", "cx", "cy", "inside", "edges", "west", "east", "south", "north"])
+
+    return zones.select("id", "rings").mapInArrow(run, _CELL)
+
+
+def _crossed(edges: Column, lng: Column, lat: Column) -> Column:
+    """How many edges a ray from a point to the east crosses."""
+    return F.size(F.filter(edges, lambda e: ((e["ay"] > lat) != (e["by"] > lat)) & (lng < (e["bx"] - e["ax"]) * (lat - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])))
+
+
+def membership(positions: DataFrame, zones: DataFrame, most_edges: int = CELL_EDGES) -> DataFrame:
+    """(every position with a fix) x (zone that holds it): zone_id. Fixes meet zones in the cells of ``zone_cells``."""
     fixes = positions.where("lng IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lng) AND NOT isnan(lat)")
-    bounds = with_bounds(zones).select(F.col("id").alias("zone_id"), "rings", "west", "east", "south", "north")
-    inside = F.col("lng").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
-    drop = ["rings", "west", "east", "south", "north"]
-    if zones.count() <= BROADCAST_ZONES:
-        met = fixes.join(F.broadcast(bounds), inside)
-    else:
-        cell = lambda c: F.floor(F.col(c) / CELL_DEG)
-        cells = bounds.withColumn("cx", F.explode(F.sequence(cell("west"), cell("east")))).withColumn("cy", F.explode(F.sequence(cell("south"), cell("north"))))
-        met = fixes.withColumns({"cx": cell("lng"), "cy": cell("lat")}).join(cells, ["cx", "cy"]).where(inside).drop("cx", "cy")
-    return met.where(in_rings(F.col("lng"), F.col("lat"), F.col("rings"))).drop(*drop)
+    cells = landed(zone_cells(zones, most_edges))
+    n, edges, levels = cells.agg(F.count("*"), F.sum(F.size("edges")), F.collect_set("level")).first()  # some thirty levels at most
+    here = fixes.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels))) if levels else F.array().cast("array<int>")))
+    wide = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
+    here = here.withColumns({"cx": F.floor((F.col("lng") + 180) / wide), "cy": F.floor((F.col("lat") + 180) / wide)})
+    met = here.join(F.broadcast(cells) if 96 * n + 40 * (edges or 0) <= BROADCAST_BYTES else cells, ["level", "cx", "cy"])
+    lng, lat = F.col("lng"), F.col("lat")
+    met = met.where(lng.between(F.col("west"), F.col("east")) & lat.between(F.col("south"), F.col("north")))
+    return met.where(F.col("inside") != (_crossed(F.col("edges"), lng, lat) % 2 == 1)).drop("level", "cx", "cy", "inside", "edges", "west", "east", "south", "north")
 
 
 def _pairs(positions: DataFrame, zones: DataFrame) -> DataFrame:
@@ -88,27 +167,53 @@ def _pairs(positions: DataFrame, zones: DataFrame) -> DataFrame:
     return fixes.join(hits.select("mmsi", "zone_id").distinct(), "mmsi").join(hits.withColumn("inside", F.lit(True)), ["mmsi", "seq", "zone_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def geofence_events(positions: DataFrame, zones: DataFrame, dwell_s: int = DWELL_S, silence_s: int = SILENCE_S, silence_policy: str = "ghost") -> DataFrame:
+def _stays(hits: DataFrame, slice_s: int) -> DataFrame:
+    """(mmsi, zone_id, session, r0, r1, since, left_s): runs of hits of following ranks, and the time of the fix after each.
+
+    Runs are found within slices of time, and those that go on in the next slice are joined.
+    """
+    key = ["mmsi", "zone_id", "session"]
+    hits = hits.withColumn("slice", F.floor(F.col("t_s") / slice_s))
+    island = F.col("rank") - F.row_number().over(Window.partitionBy(*key, "slice").orderBy("rank"))
+    parts = hits.withColumn("island", island).groupBy(*key, "slice", "island").agg(F.min("rank").alias("r0"), F.max("rank").alias("r1"), F.min("t_s").alias("since"), F.max_by("next_t", "rank").alias("left_s"))
+    w = Window.partitionBy(*key).orderBy("r0")
+    new = F.when(F.col("r0") == F.lag("r1").over(w) + 1, 0).otherwise(1)
+    parts = parts.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy(*key, "run").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("since").alias("since"), F.max_by("left_s", "r1").alias("left_s")).drop("run")
+
+
+def geofence_events(positions: DataFrame, zones: DataFrame, dwell_s: int = DWELL_S, silence_s: int = SILENCE_S, silence_policy: str = "ghost", slice_s: int = tracks.SLICE_S) -> DataFrame:
     """(kind, mmsi, zone_id, at_s, silent_s): enter and exit after dwell_s in or out without a break; what silence ends.
 
     A run is a stretch of equal membership; its first fix at least dwell_s after its start tells, if it differs
     from what was told last (at first: outside). A silence of silence_s starts afresh; if the vessel was inside by
     then, it gives ``ghost-exit`` silence_s after its last fix, or with the policy ``evict`` a plain ``exit`` at that fix.
+
+    Only fixes in zones are looked at by zone: runs inside are stretches of their ranks, and runs outside the gaps between.
     """
     key = ["mmsi", "zone_id", "session"]
-    w = Window.partitionBy(*key).orderBy("t_s", "seq")
-    rows = _pairs(positions, operational(zones))
-    changed = F.coalesce(F.col("inside") != F.lag("inside").over(w), F.lit(True))
-    rows = rows.withColumn("run", F.sum(changed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("run_start", F.min("t_s").over(Window.partitionBy(*key, "run")))
-    told = rows.where(F.col("t_s") - F.col("run_start") >= dwell_s).groupBy(*key, "run").agg(F.min(F.struct("t_s", "seq", "inside")).alias("r")).select(*key, "run", "r.*")
-    was = F.coalesce(F.lag("inside").over(Window.partitionBy(*key).orderBy("run")), F.lit(False))
+    fixes = positions.where("lng IS NOT NULL AND lat IS NOT NULL AND mmsi IS NOT NULL").select("mmsi", "t_s", "seq", "lng", "lat")
+    fixes = landed(tracks.numbered(fixes, silence_s, True, slice_s))
+    hits = membership(fixes, operational(zones)).select(*key, "t_s", "rank", "next_t")
+    spans = landed(fixes.groupBy("mmsi", "session").agg(F.max("t_s").alias("last_s"), F.max("rank").alias("last_rank")))
+    stays = landed(_stays(hits, slice_s))
+    w = Window.partitionBy(*key).orderBy("r0")
+    inside = stays.select(*key, F.lit(True).alias("inside"), "r0", "r1", "since")
+    gaps = stays.withColumn("next", F.lead("r0").over(w)).join(spans, ["mmsi", "session"]).where("r1 < last_rank")
+    outside = gaps.select(*key, F.lit(False).alias("inside"), (F.col("r1") + 1).alias("r0"), (F.coalesce("next", F.col("last_rank") + 1) - 1).alias("r1"), F.col("left_s").alias("since"))
+    # A session has no silence of silence_s, so the first fix dwell_s after a run's start is in one of a few minutes.
+    minute = lambda t: F.floor(t / 60)
+    runs = inside.union(outside).withColumn("minute", F.explode(F.sequence(minute(F.col("since") + dwell_s), minute(F.col("since") + dwell_s + silence_s))))
+    moments = fixes.select(F.col("mmsi").alias("__mmsi"), minute(F.col("t_s")).alias("__minute"), "rank", "t_s")
+    met = runs.join(moments, (F.col("mmsi") == F.col("__mmsi")) & (F.col("minute") == F.col("__minute")) & (F.col("t_s") >= F.col("since") + dwell_s) & F.col("rank").between(F.col("r0"), F.col("r1")))
+    told = met.groupBy(*key, "r0", "inside").agg(F.min("t_s").alias("t_s"))
+    was = F.coalesce(F.lag("inside").over(w), F.lit(False))
     told = told.withColumn("new", F.col("inside") != was)
     crossings = told.where("new").select(F.when(F.col("inside"), "enter").otherwise("exit").alias("kind"), "mmsi", "zone_id", F.col("t_s").alias("at_s"), F.lit(None).cast("long").alias("silent_s"))
     # Sessions that end inside, but for a vessel's last one: that is still open.
-    state = told.groupBy(*key).agg(F.max_by("inside", "run").alias("inside")).where("inside")
-    spans = rows.groupBy("mmsi", "session").agg(F.max("t_s").alias("last_s"))
-    ended = spans.withColumn("newest", F.max("session").over(Window.partitionBy("mmsi"))).where("session < newest")
+    state = told.groupBy(*key).agg(F.max_by("inside", "r0").alias("inside")).where("inside")
+    newest = spans.groupBy("mmsi").agg(F.max("session").alias("newest"))
+    ended = spans.join(newest, "mmsi").where("session < newest")
     kind, at = ("ghost-exit", F.col("last_s") + silence_s) if silence_policy == "ghost" else ("exit", F.col("last_s"))
     silent = F.lit(silence_s if silence_policy == "ghost" else None).cast("long")
     gone = state.join(ended, ["mmsi", "session"]).select(F.lit(kind).alias("kind"), "mmsi", "zone_id", at.cast("long").alias("at_s"), silent.alias("silent_s"))

@@ -32,25 +32,32 @@ def latest(positions: DataFrame, n: int = 1) -> DataFrame:
     return positions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("rank")
 
 
-def sessions(positions: DataFrame, gap_s: int = EVICT_S, inclusive: bool = False, slice_s: int = SLICE_S) -> DataFrame:
-    """positions with ``session``: a new one after a silence of more than gap_s (or of gap_s: inclusive).
+def numbered(positions: DataFrame, gap_s: int = EVICT_S, inclusive: bool = False, slice_s: int = SLICE_S) -> DataFrame:
+    """positions with ``session``, the number of silences before; ``rank``, from 0 on in a vessel's history; ``next_t``, the time of its next row.
 
-    Silences are counted within slices; the time at which the slice before ended, and the count up to there, come from a
-    table of slices. Rows without an id are no vessel's: their sessions mean nothing.
+    A silence is one of more than gap_s (or of gap_s: inclusive). Rows are counted within slices; what came before a slice and
+    comes after it is a row of a table of slices. Rows without an id are no vessel's: their numbers mean nothing.
     """
     key = ["mmsi", "__slice"]
     rows = positions.withColumn("__slice", F.floor(F.col("t_s") / slice_s))
     over_slices = Window.partitionBy("mmsi").orderBy("__slice")
-    ends = rows.groupBy(*key).agg(F.max("t_s").alias("end")).select(*key, F.lag("end").over(over_slices).alias("__before"))
+    ends = rows.groupBy(*key).agg(F.min("t_s").alias("lo"), F.max("t_s").alias("hi"), F.count("*").alias("n"))
+    so_far = over_slices.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*key, F.lag("hi").over(over_slices).alias("__before"), F.lead("lo").over(over_slices).alias("__after"), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("__rows"))
     w = Window.partitionBy(*key).orderBy("t_s", "seq")
     rows = rows.join(ends, key, "left")
     silent = F.col("t_s") - F.coalesce(F.lag("t_s").over(w), F.col("__before"))
     cut = F.when((silent >= gap_s) if inclusive else (silent > gap_s), 1).otherwise(0)
-    rows = rows.withColumn("__cut", cut).drop("__before")
+    rows = rows.withColumns({"__cut": cut, "rank": F.col("__rows") + F.row_number().over(w) - 1, "next_t": F.coalesce(F.lead("t_s").over(w), F.col("__after"))})
     counts = rows.groupBy(*key).agg(F.sum("__cut").alias("n"))
-    earlier = counts.select(*key, F.coalesce(F.sum("n").over(over_slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"))
+    earlier = counts.select(*key, F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("__earlier"))
     rows = rows.join(earlier, key, "left").withColumn("session", F.coalesce("__earlier", F.lit(0)) + F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.drop("__cut", "__earlier", "__slice")
+    return rows.drop("__cut", "__earlier", "__slice", "__before", "__after", "__rows")
+
+
+def sessions(positions: DataFrame, gap_s: int = EVICT_S, inclusive: bool = False, slice_s: int = SLICE_S) -> DataFrame:
+    """positions with ``session``: a new one after a silence of more than gap_s (or of gap_s: inclusive)."""
+    return numbered(positions, gap_s, inclusive, slice_s).drop("rank", "next_t")
 
 
 def moving_step(on: float = 0.5, off: float = 0.3):

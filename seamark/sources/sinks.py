@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamark.sources.vessel_table import VesselTable
+
 #: Fixed layout of an update frame, little-endian, 40 bytes: absent numbers are NaN, 65535 or 255.
 FRAME = np.dtype([("mmsi", "<u4"), ("t_s", "<u4"), ("lng", "<f8"), ("lat", "<f8"), ("sog", "<f4"), ("cog", "<f4"), ("heading", "<u2"), ("nav_status", "u1"), ("flags", "u1"), ("source_id", "u1"), ("spare", "u1", 3)])
 
@@ -19,13 +19,20 @@ def append_positions(positions: DataFrame, path: str) -> None:
     positions.withColumn("day", day).repartition("day", F.pmod(F.xxhash64("mmsi"), F.lit(16))).sortWithinPartitions("mmsi", "t_s").write.mode("append").partitionBy("day").parquet(path)
 
 
-def load_reference(vessels: DataFrame, upsert: Callable[[DataFrame, int], None], path: str, at_s: int) -> None:
+def load_reference(vessels: DataFrame, table: VesselTable, path: str, at_s: int) -> None:
     """Vessels (mmsi, seq, their fields, lng, lat) put into the vessel table, and one position of each at ``at_s`` appended.
 
-    A run is known by its time: the vessels of one that comes again merge into the same rows.
+    A run is known by its time. One that comes again after a failure adds only what isn't there: positions of vessels without one
+    at that time, and the vessels unless they are in.
     """
-    upsert(vessels.drop("lng", "lat"), at_s)
-    append_positions(vessels.select("mmsi", "seq", F.lit(at_s).cast("long").alias("t_s"), "lng", "lat"), path)
+    rows = vessels.select("mmsi", "seq", F.lit(at_s).cast("long").alias("t_s"), "lng", "lat")
+    spark = vessels.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        there = spark.read.schema("mmsi long, t_s long, day date").parquet(path).where(F.col("day") == F.to_date(F.timestamp_seconds(F.lit(at_s)))).where(F.col("t_s") == at_s)
+        rows = rows.join(there.select(F.col("mmsi").cast(vessels.schema["mmsi"].dataType)), "mmsi", "left_anti").select(rows.columns)
+    append_positions(rows, path)
+    table.upsert(vessels.drop("lng", "lat"), at_s, "reference")
 
 
 def dead_letters(rows: DataFrame, path: str, most: int = 100_000) -> None:

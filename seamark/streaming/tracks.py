@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from seamark.operators import tracks
 from seamark.operators.geo import DWELL_S, SILENCE_S
+from seamark.sources.vessel_table import VesselTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -129,32 +130,9 @@ def hysteresis(positions: DataFrame) -> DataFrame:
     return _carried(positions, tracks.moving_step(), "session long, t long, moving boolean", ["t_s", "seq", "sog"], "seq long, session long, moving boolean")
 
 
-def upsert_versions(spark: SparkSession, path: str, key: str = "mmsi", order: str = "seq"):
-    """A foreachBatch sink that keeps one row per key under path, as numbered versions with a pointer to the newest.
-
-    A field that a new row lacks stays as it was. Rows merge by ``order``, and a batch that comes again writes its
-    version again, so retries neither lose nor double anything.
-    """
-    fs = spark._jvm.org.apache.hadoop.fs
-    where = fs.Path(path)
-    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def current(before: int) -> str | None:
-        if not store.exists(where):
-            return None
-        done = sorted(int(s.getPath().getName()[1:]) for s in store.listStatus(where) if s.getPath().getName().startswith("v") and store.exists(fs.Path(s.getPath(), "_SUCCESS")))
-        done = [v for v in done if v < before]
-        return f"{path}/v{done[-1]}" if done else None
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        fields = [c for c in batch.columns if c not in (key, order)]
-        old = current(batch_id)
-        rows = batch if old is None else spark.read.schema(batch.schema).parquet(old).unionByName(batch)
-        merged = rows.groupBy(key).agg(F.max(order).alias(order), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields))
-        merged.select(batch.columns).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-
-    sink.current = lambda: current(1 << 62)
-    return sink
+def upsert_versions(spark: SparkSession, path: str, key: str = "mmsi", order: str = "seq") -> VesselTable:
+    """A foreachBatch sink that keeps one row per key under path; ``read`` gives its rows to readers."""
+    return VesselTable(spark, path, key, order)
 
 
 def dead_letters(rows: DataFrame, path: str, checkpoint: str):

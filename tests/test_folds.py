@@ -104,7 +104,7 @@ def test_dwell(spark, sf_dir, rows):
 def test_grid_join_equals_broadcast(spark, sf_dir, monkeypatch):
     p, zones = fixtures.positions(spark, sf_dir), fixtures.zones(spark)
     small = {(r["seq"], r["zone_id"]) for r in geo.membership(p, zones).collect()}
-    monkeypatch.setattr(geo, "BROADCAST_ZONES", 0)
+    monkeypatch.setattr(geo, "BROADCAST_BYTES", 0)
     assert {(r["seq"], r["zone_id"]) for r in geo.membership(p, zones).collect()} == small
 
 

@@ -1,10 +1,12 @@
 """Snapshot and deltas, the alert stream, the load of reference rows, and texts on hand-made rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from seamark.functions import ais
 from seamark.operators import quality, reads
 from seamark.sources import fixtures, sinks
+from seamark.sources.vessel_table import VesselTable
 from seamark.streaming import tracks as live
 from seamark.streaming import views
 
@@ -36,10 +38,60 @@ def test_reference_load(spark, tmp_path):
     sink, path = live.upsert_versions(spark, str(tmp_path / "v")), str(tmp_path / "p")
     for at in (1704067200, 1704153600):
         sinks.load_reference(rows, sink, path, at)
-    assert {(r["mmsi"], r["vessel_name"]) for r in spark.read.parquet(sink.current()).collect()} == {(1, "a"), (2, "b")}
+    assert {(r["mmsi"], r["vessel_name"]) for r in sink.read().collect()} == {(1, "a"), (2, "b")}
     assert sorted((r["mmsi"], str(r["day"])) for r in spark.read.parquet(path).collect()) == [(1, "2024-01-01"), (1, "2024-01-02"), (2, "2024-01-01"), (2, "2024-01-02")]
 
 
+def test_reference_load_that_failed(spark, tmp_path):
+    """Its positions are there, its vessels aren't: the second run adds only those. Then a stream's batches go on from it."""
+    kind = "mmsi long, seq long, vessel_name string, lng double, lat double"
+    rows = spark.createDataFrame([(1, 1, "a", 14.0, 53.0), (2, 2, "b", 15.0, 54.0)], kind)
+    table, path = live.upsert_versions(spark, str(tmp_path / "v")), str(tmp_path / "p")
+
+    class Broken:
+        def upsert(self, *_):
+            raise OSError
+
+    with pytest.raises(OSError):
+        sinks.load_reference(rows, Broken(), path, 1704067200)
+    for _ in range(2):
+        sinks.load_reference(rows, table, path, 1704067200)
+    assert spark.read.parquet(path).count() == 2
+    for batch_id in range(6):  # as numbers go, long before the time of the load
+        table(spark.createDataFrame([(1, 10 + batch_id, None, None)], "mmsi long, seq long, vessel_name string, sog long"), batch_id)
+    assert sorted(tuple(r) for r in table.read().select("mmsi", "seq", "vessel_name").collect()) == [(1, 15, "a"), (2, 2, "b")]
+    assert table.manifest()["done"] == {"reference": 1704067200, "stream": 5}
+
+
+def test_vessel_table(spark, tmp_path):
+    kind = "mmsi long, seq long, name string, sog int"
+    path = str(tmp_path / "t")
+    table = VesselTable(spark, path, buckets=4, keep=2)
+    assert table.read().count() == 0
+    table.upsert(spark.createDataFrame([(k, k, f"n{k}", None) for k in range(40)], kind), 0)
+    before, old = table.manifest(), table.read()
+    table.upsert(spark.createDataFrame([(7, 100, None, 5)], kind), 1)
+    after = table.manifest()
+    changed = [b for b in after["buckets"] if after["buckets"][b] != before["buckets"][b]]
+    assert len(changed) == 1 and after["version"] == 2  # one bucket is rewritten
+    assert old.count() == 40 and {tuple(r) for r in table.read().where("mmsi = 7").collect()} == {(7, 100, "n7", 5)}
+    assert not table._commit(before | {"version": 2})  # the number is taken
+    # Two writers that start from one manifest: the second finds its number taken and goes again from the first one's result.
+    other, taken = VesselTable(spark, path, buckets=4, keep=2), []
+
+    def late(manifest, commit=table._commit):
+        if not taken:
+            taken.append(other.upsert(spark.createDataFrame([(50, 1, "new", 1)], kind), 9, "other"))
+        return commit(manifest)
+
+    table._commit = late
+    table.upsert(spark.createDataFrame([(51, 1, "x", 2)], kind), 2)
+    assert {r["mmsi"] for r in table.read().collect()} == {*range(40), 50, 51} and table.manifest()["done"] == {"stream": 2, "other": 9}
+    assert len(table.versions()) == 2 and len(list((tmp_path / "t" / "data").iterdir())) <= 5
+    table.upsert(spark.createDataFrame([(51, 9, "y", 2)], kind), 2)  # a batch that is done
+    assert table.read().where("mmsi = 51").first()["name"] == "x"
+
+
 def test_counts_and_slices(spark, sf_dir):
     p = fixtures.positions(spark, sf_dir)
     exact, rough = (quality.vessel_counts(p, approximate=a).first() for a in (False, True))
