@@ -18,6 +18,7 @@ columns of the input named like an output column are replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,18 +46,67 @@ MAX_PATTERNS = math.prod(_SIZES)
 PRECISION = 0.95
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the matches, in code points."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, value: string>>").alias("out"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))).alias("out"))
 
-    pairs = F.transform(values, lambda v, i: F.struct(F.get(gaps, i).alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+def running(sizes: Column) -> Column:
+    """The sums of the numbers before each one of an array (bound by ``let``), in blocks of its root, as arrays grow by copies."""
+
+    def fold(numbers, at):
+        none = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(numbers, none, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    k = F.greatest(F.ceil(F.sqrt(F.size(sizes))).cast("int"), F.lit(1))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / k).cast("int"))
+    own = lambda b: F.slice(sizes, b * k + 1, k)
+    starts = fold(F.transform(blocks, lambda b: F.aggregate(own(b), F.lit(0), lambda x, y: x + y)), F.lit(0))
+    return F.when(F.size(sizes) > 0, let(starts, lambda s: F.flatten(F.transform(blocks, lambda b: fold(own(b), F.get(s, b)))))).otherwise(F.array().cast("array<int>"))
+
+
+def matches(text: Column, pattern: str, context: bool = False) -> Column:
+    """array<struct<start, end, value>> of the matches, in code points; with ``context`` also up to 16 characters before and one after."""
+
+    def placed(m):
+        gap, value = (lambda i: F.get(m["gaps"], i)), (lambda i: F.get(m["values"], i))
+        sizes = F.transform(m["values"], lambda v, i: F.length(gap(i)) + F.length(v))
+
+        def row(v, i, before):
+            start = F.get(before, i) + F.length(gap(i))
+            span = [start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value")]
+            if context:
+                # Four matches back are 16 characters at least: a match has three, and between two of them there is one.
+                back = [x for j in (4, 3, 2, 1) for x in (value(i - j), gap(i - j + 1))]
+                span += [F.right(F.concat(*(F.coalesce(x, F.lit("")) for x in back)), F.lit(16)).alias("before"), F.substring(gap(i + 1), 1, 1).alias("after")]
+            return F.struct(*span)
+
+        return let(sizes, lambda n: let(running(n), lambda before: F.transform(m["values"], lambda v, i: row(v, i, before))))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values")), placed)
+
+
+def touched(spans: Column, others: Column, chars: Column, verdict: Callable[[Column, Column], Column]) -> Column:
+    """struct<s, hit> of each span: whether verdict(span, other) holds for any of ``others`` that overlaps it.
+
+    Others are dealt to stretches of the text, about the root of its length each, and a span looks at its own stretches only.
+    """
+    overlap = lambda s, o: (o["start"] < s["end"]) & (s["start"] < o["end"])
+
+    def dealt(both):
+        width = F.greatest(F.ceil(F.sqrt(10 * both["chars"])).cast("int"), F.lit(4096))
+        stretch = lambda b: F.filter(both["others"], lambda o: (o["start"] < (b + 1) * width) & (o["end"] > b * width))
+        at = lambda c: F.floor(c / width).cast("int")
+        stretches = F.transform(F.sequence(F.lit(0), at(both["chars"])), stretch)
+
+        def looked(by):
+            own = lambda s: F.slice(by, at(s["start"]) + 1, at(s["end"]) - at(s["start"]) + 1)
+            return F.transform(both["spans"], lambda s: F.struct(s.alias("s"), F.exists(own(s), lambda some: F.exists(some, lambda o: overlap(s, o) & verdict(s, o))).alias("hit")))
+
+        none = F.transform(both["spans"], lambda s: F.struct(s.alias("s"), F.lit(False).alias("hit")))
+        return F.when((F.size(both["others"]) == 0) | (F.size(both["spans"]) == 0), none).otherwise(let(stretches, looked))
+
+    return let(F.struct(spans.alias("spans"), others.alias("others"), chars.alias("chars")), dealt)
 
 
 def _digits(v: Column) -> Column:
@@ -99,29 +149,26 @@ def _spots(docs: DataFrame, text: str) -> DataFrame:
     """docs with ``__b``: base spans by kind; ``__c``: candidates with their features."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = docs.withColumn("__t", body).withColumn("__b", F.struct(*(v.alias(k) for k, v in _base(F.col("__t")).items())))
-    none = F.array().cast("array<struct<start: int, end: int, value: string>>")
+    none = F.array().cast("array<struct<start: int, end: int, value: string, before: string, after: string>>")
     t, b = F.col("__t"), F.col("__b")
-    out = out.withColumn("__g", F.struct(F.when(F.contains(t, F.lit("@")), matches(t, ADDRESS)).otherwise(none).alias("address"), F.when(t.rlike("[0-9]"), matches(t, NUMBER)).otherwise(none).alias("number")))
+    out = out.withColumn("__g", F.struct(F.when(F.contains(t, F.lit("@")), matches(t, ADDRESS, True)).otherwise(none).alias("address"), F.when(t.rlike("[0-9]"), matches(t, NUMBER, True)).otherwise(none).alias("number")))
     base = F.concat(*(b[k] for k in KINDS))
 
     def describe(kind):
         def row(m):
-            v = m["value"]
-            plus = F.substring(t, m["start"], 1) == "+"
-            before = F.when(m["start"] > 0, F.substring(t, F.greatest(m["start"] - 15, F.lit(1)), F.least(m["start"], F.lit(16)))).otherwise("")
-            after = F.substring(t, m["end"] + 1, 1)
-            near = F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
+            v, before = m["value"], m["before"]
             return F.struct(
                 m["start"].alias("start"), m["end"].alias("end"), F.lit(int(kind == "address")).alias("address"),
                 F.least(F.length(_digits(v)), F.lit(20)).alias("digits"), F.least(F.length(F.regexp_replace(v, r"[^\x20()-]", "")), F.lit(4)).alias("separators"),
-                F.least(F.length(F.regexp_replace(v, r"[^.]", "")), F.lit(4)).alias("dots"), (plus & (m["start"] > 0)).cast("int").alias("plus"),
-                before.rlike(r"[\p{L}0-9]$").cast("int").alias("left"), after.rlike(r"^[\p{L}0-9]").cast("int").alias("right"),
-                before.rlike(CUES).cast("int").alias("cue"), v.rlike("[A-Za-z]").cast("int").alias("letters"), near.alias("near"),
+                F.least(F.length(F.regexp_replace(v, r"[^.]", "")), F.lit(4)).alias("dots"), before.endswith("+").cast("int").alias("plus"),
+                before.rlike(r"[\p{L}0-9]$").cast("int").alias("left"), m["after"].rlike(r"^[\p{L}0-9]").cast("int").alias("right"),
+                before.rlike(CUES).cast("int").alias("cue"), v.rlike("[A-Za-z]").cast("int").alias("letters"),
             )
 
         return F.transform(F.col("__g")[kind], row)
 
-    return out.withColumn("__c", F.concat(describe("address"), describe("number")))
+    near = touched(F.concat(describe("address"), describe("number")), base, F.length(t), lambda s, o: F.lit(True))
+    return out.withColumn("__c", F.transform(near, lambda x: x["s"].withField("near", x["hit"])))
 
 
 @dataclass
@@ -250,8 +297,8 @@ def find(docs: DataFrame, model: Trees | None, text: str = "text") -> DataFrame:
 
         out = out.withColumn("__new", F.filter(F.transform(F.filter("__c", lambda c: ~c["near"]), add), lambda s: s["p"] >= model.cutoff))
         # Of overlapping additions the likelier stays; of equals the one listed first.
-        beaten = lambda s: F.exists("__new", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & ((o["p"] > s["p"]) | ((o["p"] == s["p"]) & (o < s))))
-        added = F.filter("__new", lambda s: ~beaten(s)).cast(kind)
+        beaten = touched(F.col("__new"), F.col("__new"), F.length("__t"), lambda s, o: (o["p"] > s["p"]) | ((o["p"] == s["p"]) & (o < s)))
+        added = F.transform(F.filter(beaten, lambda x: ~x["hit"]), lambda x: x["s"]).cast(kind)
     return out.withColumns({"base": F.col("__base"), "pii": F.array_sort(F.concat("__base", added))}).drop("__t", "__b", "__g", "__c", "__base", "__new")
 
 

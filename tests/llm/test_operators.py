@@ -333,3 +333,37 @@ def test_pieces_equal_an_agenda_word_by_word(dropout):
         chunks = pieces._CHUNK.findall(" " + t) if t else []
         want = [x for place, c in enumerate(chunks) for x in vocabulary.split(c, pieces._mix(own + place * 0xA0761D6478BD642F & pieces._M64), dropout)]
         assert ids[bounds[k] : bounds[k + 1]].tolist() == want
+
+
+# Long texts full of finds
+
+
+def test_pii_running_sums(spark):
+    rows = [([],), ([3],), (list(range(1, 40)),), ([5] * 1000,)]
+    df = spark.createDataFrame(rows, "n array<int>").withColumn("r", pii.let(F.col("n"), pii.running))
+    for r in df.collect():
+        assert r["r"] == [sum(r["n"][:k]) for k in range(len(r["n"]))] if len(r["n"]) < 50 else r["r"] == [5 * k for k in range(1000)]
+
+
+def test_pii_touched(spark):
+    rng = np.random.default_rng(6)
+    kind = "struct<start: int, end: int>"
+    draw = lambda n, most: [{"start": int(a), "end": int(a + w)} for a, w in zip(rng.integers(0, 60_000, n), rng.integers(1, most, n), strict=True)]
+    rows = [(draw(80, 9000), draw(300, 40)), (draw(20, 30), []), ([], draw(5, 5)), (draw(200, 20), draw(200, 20_000))]
+    df = spark.createDataFrame(rows, f"a array<{kind}>, b array<{kind}>").withColumn("t", pii.touched(F.col("a"), F.col("b"), F.lit(90_000), lambda s, o: F.lit(True)))
+    for r in df.collect():
+        assert [x["hit"] for x in r["t"]] == [any(o["start"] < s["end"] and s["start"] < o["end"] for o in r["b"]) for s in r["a"]]
+
+
+def test_pii_on_a_text_full_of_numbers(spark):
+    """A megabyte of numbers and addresses: all base spans, in a time that grows with the text."""
+    import time
+
+    parts = [f"u{k}@host{k}.org" if k % 9 == 0 else f"+49 30 {1000000 + k}" if k % 7 == 0 else f"{7000000 + k}" for k in range(100_000)]
+    df = spark.createDataFrame([(1, " x ".join(parts)), (2, "a@b.org")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find(df, pii.fit(df)).select("doc_id", F.size("base").alias("n"), F.get("base", F.lit(1)).alias("second"), F.element_at("base", -1).alias("last")).collect() if r["doc_id"] == 1}[1]
+    assert time.time() - began < 120
+    starts = np.cumsum([0] + [len(p) + 3 for p in parts])
+    base = [k for k in range(100_000) if k % 9 == 0 or k % 7 == 0]
+    assert got["n"] == len(base) and got["second"]["start"] == starts[base[1]] and got["last"]["start"] == starts[base[-1]]
