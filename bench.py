@@ -11,6 +11,7 @@ from seamark.plans.queries import QUERIES
 HEADLINES = (
     "latest_positions", "gate_counts", "live_merge", "movement_hysteresis", "coalesced", "rate_limited", "trail_outliers", "kalman_track", "dead_reckoning",
     "zone_membership", "geofence_events", "events_feed", "snapshot_history", "nearby_pairs", "static_as_of", "nmea_roundtrip", "json_adapter",
+    "new_vessels_bucket", "gate_chain", "trusted_source", "source_failover", "presence_changes",
 )
 
 
