@@ -195,7 +195,7 @@ def geofence_events(positions: DataFrame, zones: DataFrame, dwell_s: int = DWELL
     fixes = positions.where("lng IS NOT NULL AND lat IS NOT NULL AND mmsi IS NOT NULL").select("mmsi", "t_s", "seq", "lng", "lat")
     fixes = landed(tracks.numbered(fixes, silence_s, True, slice_s))
     hits = membership(fixes, operational(zones)).select(*key, "t_s", "rank", "next_t")
-    spans = landed(fixes.groupBy("mmsi", "session").agg(F.max("t_s").alias("last_s"), F.max("rank").alias("last_rank")))
+    spans = fixes.groupBy("mmsi", "session").agg(F.max("t_s").alias("last_s"), F.max("rank").alias("last_rank"))
     stays = landed(_stays(hits, slice_s))
     w = Window.partitionBy(*key).orderBy("r0")
     inside = stays.select(*key, F.lit(True).alias("inside"), "r0", "r1", "since")

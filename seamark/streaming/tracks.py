@@ -61,9 +61,7 @@ class DwellProcessor(StatefulProcessor):
                 yield _frame([("enter" if inside else "exit", key[0], key[1], t, None)])
             self.state.update((told, run, since, max(last, t)))
         if self.state.exists():
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((self.state.get()[3] + SILENCE_S) * 1000)
+            _only_timer(self.handle, (self.state.get()[3] + SILENCE_S) * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
@@ -88,46 +86,108 @@ def geofence_events(memberships: DataFrame) -> DataFrame:
 
 
 class Carried(StatefulProcessor):
-    """A step of ``operators.tracks`` over the rows of one vessel as they come, sorted within a batch; its state stays."""
+    """A step of ``operators.tracks`` over the rows of one vessel as they come, sorted within a batch; its state stays.
 
-    def __init__(self, step, state: str, fields: list[str], columns: list[str]) -> None:
-        self.step, self.kind, self.fields, self.columns = step, state, fields, columns
+    expire_s: a vessel that is silent for longer starts afresh, whenever that is noticed, and an event-time timer drops its state.
+    """
+
+    def __init__(self, step, state: str, fields: list[str], columns: list[str], expire_s: int | None = None) -> None:
+        self.step, self.kind, self.fields, self.columns, self.expire_s = step, state, fields, columns, expire_s
+        self.time = [c.split()[0] for c in state.split(", ")].index("t")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("carried", self.kind)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows)[self.fields]
         state, out = tuple(self.state.get()) if self.state.exists() else None, []
         for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
+            if state is not None and self.expire_s is not None and row[0] - state[self.time] > self.expire_s:
+                state = None
             state, got = self.step(state, row)
             out.append((*key, *got))
         self.state.update(state)
+        if self.expire_s is not None:
+            _only_timer(self.handle, (state[self.time] + self.expire_s + 1) * 1000)
         yield pd.DataFrame(out, columns=self.columns)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def _carried(fixes: DataFrame, step, state: str, fields: list[str], kind: str) -> DataFrame:
+def _only_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(int(at_ms))
+
+
+def _carried(fixes: DataFrame, step, state: str, fields: list[str], kind: str, expire_s: int | None = None) -> DataFrame:
     columns = ["mmsi", *(c.split()[0] for c in kind.split(", "))]
-    rows = fixes.select("mmsi", *fields).groupBy("mmsi")
-    return rows.transformWithStateInPandas(Carried(step, state, fields, columns), outputStructType=f"mmsi {fixes.schema['mmsi'].dataType.simpleString()}, {kind}", outputMode="Append", timeMode="None")
+    rows = fixes.select("mmsi", *fields, *(["received_at"] if expire_s is not None else [])).groupBy("mmsi")
+    mode = "None" if expire_s is None else "EventTime"
+    return rows.transformWithStateInPandas(Carried(step, state, fields, columns, expire_s), outputStructType=f"mmsi {fixes.schema['mmsi'].dataType.simpleString()}, {kind}", outputMode="Append", timeMode=mode)
 
 
 def kalman(positions: DataFrame) -> DataFrame:
-    """``operators.tracks.kalman`` of a stream. This and the two below need the RocksDB state store."""
+    """``operators.tracks.kalman`` of a stream; a vessel's filter never starts afresh. This and those below need the RocksDB state store."""
     names = "lng double, lat double, vlng double, vlat double, p00 double, p01 double, p11 double"
     return _carried(positions.where("lng IS NOT NULL AND lat IS NOT NULL"), tracks.kalman_step, f"t long, {names}", ["t_s", "seq", "lng", "lat"], f"seq long, {names}")
 
 
-def rate_limit(frames: DataFrame) -> DataFrame:
-    return _carried(frames, tracks.rate_step(), "tokens long, t long", ["t_s", "seq"], "seq long, accepted boolean")
+def rate_limit(frames: DataFrame, expire: bool = False) -> DataFrame:
+    """expire: buckets that have filled up again are dropped, which changes no answer; frames need a watermark (``timed``)."""
+    full_after = -(-tracks.BUCKET_SIZE // tracks.BUCKET_PER_S) if expire else None
+    return _carried(frames, tracks.rate_step(), "tokens long, t long", ["t_s", "seq"], "seq long, accepted boolean", full_after)
+
+
+def hysteresis(positions: DataFrame, expire: bool = False) -> DataFrame:
+    """(mmsi, seq, session, moving) of a stream with ``sog`` in knots.
+
+    expire: state of vessels that have left is dropped, and sessions are numbered from 0 since a vessel came back; positions need a watermark.
+    """
+    return _carried(positions, tracks.moving_step(), "session long, t long, moving boolean", ["t_s", "seq", "sog"], "seq long, session long, moving boolean", tracks.EVICT_S if expire else None)
+
+
+class Evictions(StatefulProcessor):
+    """The last time of one vessel; a row when it has been silent for longer than ``after_s``, by a timer or by its next row."""
+
+    def __init__(self, after_s: int) -> None:
+        self.after_s = after_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "t long")
+
+    def _gone(self, key, last: int) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], last, last + self.after_s)], columns=["mmsi", "last_seen_s", "gone_s"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.state.get()[0] if self.state.exists() else None
+        for t in sorted(int(t) for pdf in rows for t in pdf["t_s"]):
+            if last is not None and t - last > self.after_s:
+                yield self._gone(key, last)
+            last = t if last is None else max(last, t)
+        self.state.update((last,))
+        _only_timer(self.handle, (last + self.after_s + 1) * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            yield self._gone(key, self.state.get()[0])
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
 
 
-def hysteresis(positions: DataFrame) -> DataFrame:
-    """(mmsi, seq, session, moving) of a stream with ``sog`` in knots."""
-    return _carried(positions, tracks.moving_step(), "session long, t long, moving boolean", ["t_s", "seq", "sog"], "seq long, session long, moving boolean")
+def evictions(positions: DataFrame, after_s: int = tracks.EVICT_S) -> DataFrame:
+    """(mmsi, last_seen_s, gone_s) of vessels that have left: what static rows, filters and memberships are dropped by. Needs a watermark."""
+    kind = f"mmsi {positions.schema['mmsi'].dataType.simpleString()}, last_seen_s long, gone_s long"
+    return positions.select("mmsi", "t_s", "received_at").groupBy("mmsi").transformWithStateInPandas(Evictions(after_s), outputStructType=kind, outputMode="Append", timeMode="EventTime")
 
 
 def upsert_versions(spark: SparkSession, path: str, key: str = "mmsi", order: str = "seq") -> VesselTable:

@@ -97,3 +97,32 @@ def test_reassembly_over_many_frames(spark, small_frames, tmp_path):
     stream = live.timed(spark.readStream.schema(kind).parquet(str(tmp_path / "rows")), "10 days")
     got = {r["seq"]: r["payload"] for r in _append(reassembly.reassembled(stream), tmp_path)}
     assert got == {4 * m + 3: "".join(f"p{4 * m + j};" for j in range(4)) for m in range(10)}
+
+
+def _in_batches(spark, tmp_path, kind, batches, operator):
+    """The rows of a stream over batches that come one after another."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+        stream = live.timed(spark.readStream.schema(kind).parquet(str(tmp_path / "rows")), "1 second")
+        got = _append(operator(stream), tmp_path)
+    return got
+
+
+def test_state_expires(spark, small_frames, tmp_path):
+    """Vessels 1 and 2 fall silent; the clock of vessel 3 goes on, and their state goes. Answers stay those of the batch operator."""
+    kind = "mmsi long, t_s long, seq long, sog double"
+    burst = [(1, 1000, k, 1.0) for k in range(8)] + [(2, 1001, 8, 0.4), (3, 1001, 9, 1.0)]
+    later = [(3, 3000 + k, 20 + k, 0.4) for k in range(3)]
+    back = [(1, 4000, 30 + k, 0.4) for k in range(8)] + [(3, 4000, 40, 0.4)]
+    got = {r["seq"]: r["accepted"] for r in _in_batches(spark, tmp_path / "a", kind, [burst, later, back], lambda s: live.rate_limit(s, expire=True))}
+    want = {r["seq"]: r["accepted"] for r in tracks.rate_limit(spark.createDataFrame(burst + later + back, kind)).collect()}
+    assert got == want and not got[7] and got[30]
+    got = {r["seq"]: (r["session"], r["moving"]) for r in _in_batches(spark, tmp_path / "b", kind, [burst, later, back], lambda s: live.hysteresis(s, expire=True))}
+    assert got[7] == (0, True) and got[30] == (0, False) and got[20] == (0, False)  # afresh: 0.4 knots don't start a vessel
+
+
+def test_evictions(spark, small_frames, tmp_path):
+    kind = "mmsi long, t_s long, seq long"
+    batches = [[(1, 1000, 0), (2, 1000, 1), (2, 1500, 2)], [(3, 1700, 3), (1, 1601, 4)], [(3, 2300, 5)], [(3, 2301, 6)]]
+    got = sorted((r["mmsi"], r["last_seen_s"], r["gone_s"]) for r in _in_batches(spark, tmp_path, kind, batches, live.evictions))
+    assert got == [(1, 1000, 1600), (1, 1601, 2201), (2, 1500, 2100)]  # 600 s exactly are kept, as vessel 3 shows
