@@ -167,13 +167,29 @@ def vessel_features(latest: DataFrame, statics: DataFrame, as_of_s: int, selecte
     return rows.select("mmsi", F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), about.alias("properties"))).alias("feature"))
 
 
-def trail_features(trails: DataFrame) -> DataFrame:
-    """(mmsi, feature): one GeoJSON line per trail of two points or more."""
+def trail_features(trails: DataFrame, positions: DataFrame | None = None, statics: DataFrame | None = None, selected: int | None = None, visible: DataFrame | None = None) -> DataFrame:
+    """(mmsi, feature): one GeoJSON line per trail of two points or more, of the vessels in ``visible`` (mmsi) if it is given.
+
+    Properties as its marker has them: the category by ``statics``, whether it is selected, and whether it moved above 0.5 knots at
+    its newest point, by ``positions``.
+    """
+    rows = trails.where(F.size("trail") >= 2)
+    if visible is not None:
+        rows = rows.join(visible.select("mmsi").distinct(), "mmsi", "left_semi")
+    about = [F.col("mmsi")]
+    if statics is not None:
+        rows = rows.join(statics.select("mmsi", "ship_type"), "mmsi", "left")
+        about.append(ais.ship_category(F.coalesce("ship_type", F.lit(0))).alias("category"))
+    about.append(F.coalesce(F.col("mmsi") == F.lit(selected).cast("long"), F.lit(False)).alias("selected"))
+    if positions is not None:
+        rows = rows.withColumn("seq", F.element_at("trail", -1)["seq"]).join(positions.select("mmsi", "seq", "sog_t"), ["mmsi", "seq"], "left")
+        about.append(F.coalesce(F.col("sog_t") > 5, F.lit(False)).alias("isMoving"))
     line = F.struct(F.lit("LineString").alias("type"), F.transform("trail", lambda p: F.array(p["lng"], p["lat"])).alias("coordinates"))
-    return trails.where(F.size("trail") >= 2).select("mmsi", F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), F.struct("mmsi").alias("properties"))).alias("feature"))
+    return rows.select("mmsi", F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), F.struct(*about).alias("properties"))).alias("feature"))
 
 
-def feature_collection(features: DataFrame, most: int = 5000) -> DataFrame:
-    """One row: the features as one text, of at most ``most`` of them by id."""
-    few = features.orderBy("mmsi").limit(most)
-    return few.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("mmsi", "feature"))), lambda r: r["feature"]), ","), F.lit("]}")).alias("collection"))
+def feature_collections(features: DataFrame, most: int = 5000) -> DataFrame:
+    """(part, collection): all features as GeoJSON collections of about ``most`` each, in order of id; a small table is one part."""
+    parts = max(1, -(-features.count() // most))
+    rows = features.groupBy(F.pmod(F.xxhash64("mmsi"), F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("mmsi", "feature"))).alias("rows"))
+    return rows.select("part", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("rows", lambda r: r["feature"]), ","), F.lit("]}")).alias("collection"))

@@ -59,8 +59,8 @@ def row_stamp(position_s: Column, static_s: Column, position_source: Column, sta
 
 
 def watched(positions: DataFrame, watch_list: DataFrame) -> DataFrame:
-    """Positions of the vessels on a curated list, with the list's columns; the list is small by nature and sent to all tasks."""
-    return positions.join(F.broadcast(watch_list), "mmsi")
+    """Positions of the vessels on a curated list, with the list's columns; Spark sends the list to all tasks while it is small."""
+    return positions.join(watch_list, "mmsi")
 
 
 def wire_static(statics: DataFrame) -> DataFrame:

@@ -183,6 +183,28 @@ def trail_lines(spark, sf_dir):
     return rows.select("mmsi", F.size(line).cast("long").alias("n"), at(-1, 1).alias("last_lng"), at(1, 2).alias("first_lat"))
 
 
+@_query(f"""{_TRAIL_POINTS}, s AS ({STATICS}), ends AS (SELECT mmsi, arg_max(seq, i) AS seq FROM tp GROUP BY mmsi HAVING count(*) >= 2)
+SELECT n.mmsi, CASE WHEN s.ship_type IS NULL THEN 'other' ELSE {_CATEGORY_SQL} END AS category, n.mmsi = 261000007 AS selected, coalesce(p.sog_t > 5, FALSE) AS is_moving
+FROM ends n LEFT JOIN s ON s.mmsi = n.mmsi JOIN p ON p.mmsi = n.mmsi AND p.seq = n.seq WHERE n.mmsi % 3 <> 0""")
+def trail_properties(spark, sf_dir):
+    """What trails say of their vessels, of the vessels whose trails are shown; read back from the features."""
+    p = fixtures.positions(spark, sf_dir)
+    shown = p.select("mmsi").where("mmsi % 3 <> 0")
+    rows = reads.trail_features(tracks.trails(p), p, fixtures.statics(spark, sf_dir), 261000007, shown)
+    about = F.from_json("feature", "properties struct<category: string, selected: boolean, isMoving: boolean>")["properties"]
+    return rows.select("mmsi", about["category"].alias("category"), about["selected"].alias("selected"), about["isMoving"].alias("is_moving"))
+
+
+@_query(f"""{_P}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t_s DESC, seq DESC) AS rn FROM p) WHERE rn = 1)
+SELECT mmsi, round(lng, 6) AS lng FROM l WHERE lng IS NOT NULL AND lat IS NOT NULL""")
+def collected_features(spark, sf_dir):
+    """All features in collections of about twenty, read back."""
+    rows = reads.feature_collections(reads.vessel_features(tracks.latest(fixtures.positions(spark, sf_dir)), fixtures.statics(spark, sf_dir), AS_OF), 20)
+    kind = "features array<struct<properties: struct<mmsi: long>, geometry: struct<coordinates: array<double>>>>"
+    each = rows.select(F.explode(F.from_json("collection", kind)["features"]).alias("f"))
+    return each.select("f.properties.mmsi", F.round(F.get("f.geometry.coordinates", F.lit(0)), 6).alias("lng"))
+
+
 # Live views
 
 
