@@ -20,6 +20,8 @@ DWELL_S, SILENCE_S = 30, 600
 BROADCAST_BYTES = 64 << 20
 #: A cell is cut further while it has more edges, so many times at most.
 CELL_EDGES, CELL_CUTS = 16, 10
+#: Rows of one side of a key in which neighbours meet, and pairs that a task looks at, both about so many.
+BLOCK_ROWS, TASK_PAIRS = 2_000, 20_000_000
 #: Beyond a cell's bounds, more than rounding can move a point or a crossing.
 _MARGIN = 1e-9
 
@@ -274,29 +276,51 @@ def near(positions: DataFrame, lng: float, lat: float, metres: float) -> DataFra
     return positions.where(box & (ais.great_circle_m(F.lit(lng), F.lit(lat), F.col("lng"), F.col("lat")) <= metres))
 
 
-def nearby_pairs(fixes: DataFrame, metres: float, cell_deg: float = 0.02) -> DataFrame:
+def nearby_pairs(fixes: DataFrame, metres: float, cell_deg: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, metres) of vessels, a < b, at most metres apart: rows meet in grid cells, one side also in the cells around.
 
-    Cells span cell_deg, or more where metres need it: latitude is cut in bands, and each band's circle in equal
+    Cells span cell_deg, or what metres need: latitude is cut in bands, and each band's circle in equal
     cells as wide as metres reach at its end nearer to a pole. They wrap at 180 degrees; at a pole one cell is a band.
+    Of two neighbouring bands only the rows of the northern one go to the other.
+
+    Cells of more than block_rows rows are cut by hashes of the ids: on both sides into blocks of about as many, and each block
+    of one side meets each of the other in a key of its own. Keys are dealt over as many tasks as the pairs to look at ask for.
     """
     # A trifle more than metres, so that rounding loses no pair.
     angle = metres / 6_371_008.8 * (1 + 1e-9) + 1e-12
-    height = max(cell_deg, math.degrees(angle))
-    rows = fixes.where("lng IS NOT NULL AND lat IS NOT NULL").select("mmsi", "lng", "lat", F.floor(F.col("lat") / height).alias("cy"))
+    height = max(cell_deg or 0, math.degrees(angle))
+    fixes = landed(fixes.where("lng IS NOT NULL AND lat IS NOT NULL").select("mmsi", "lng", "lat"))
+    rows = fixes.withColumn("cy", F.floor(F.col("lat") / height))
 
     def cells(band: Column) -> Column:
         end = F.greatest(F.abs(band * height), F.abs((band + 1) * height))
         reach = F.degrees(F.asin(F.lit(math.sin(angle)) / F.cos(F.radians(end)))) * (1 + 1e-9)
-        return F.when(end + math.degrees(angle) >= 90, 1).otherwise(F.greatest(F.floor(360 / F.greatest(reach, F.lit(cell_deg))), F.lit(1))).cast("long")
+        return F.when(end + math.degrees(angle) >= 90, 1).otherwise(F.greatest(F.floor(360 / F.greatest(reach, F.lit(cell_deg or 0.0))), F.lit(1))).cast("long")
 
     def cell(band: Column) -> Column:
         return F.floor((F.col("lng") + 180) / 360 * cells(band))
 
     left = rows.select(F.col("mmsi").alias("a"), F.col("lng").alias("lng_a"), F.col("lat").alias("lat_a"), "cy", F.pmod(cell(F.col("cy")), cells(F.col("cy"))).alias("cx"))
-    right = rows.withColumn("cy", F.explode(F.array(*(F.col("cy") + k for k in (-1, 0, 1)))))
+    right = rows.withColumn("south", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("cy", F.col("cy") - F.col("south").cast("int"))
     # Of three cells or fewer in a band, some are the same on both sides.
     around = F.array_distinct(F.array(*(F.pmod(cell(F.col("cy")) + k, cells(F.col("cy"))) for k in (-1, 0, 1))))
-    right = right.select(F.col("mmsi").alias("b"), F.col("lng").alias("lng_b"), F.col("lat").alias("lat_b"), "cy", F.explode(around).alias("cx"))
+    right = right.select(F.col("mmsi").alias("b"), F.col("lng").alias("lng_b"), F.col("lat").alias("lat_b"), "cy", "south", F.explode(around).alias("cx"))
+
+    key = ["cx", "cy"]
+    counts = left.select(*key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    counts = landed(counts.groupBy(*key).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l > 0"))
+    pairs = counts.agg(F.sum(F.col("l").cast("double") * F.col("r"))).first()[0] or 0.0
+    tasks = max(1, math.ceil(pairs / TASK_PAIRS), int(fixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # There is no more than a row of it for every block_rows rows.
+    crowded = counts.where(F.greatest("l", "r") > block_rows).select(*key, *(F.ceil(F.col(c) / block_rows).alias(c) for c in ("l", "r")))
+    left, right = (side.join(F.broadcast(crowded), key, "left").na.fill(1, ["l", "r"]) for side in (left, right))
+
+    def blocked(side: DataFrame, own: str, other: str, id_: str) -> DataFrame:
+        """side once for each block of the other side, with ``l`` and ``r`` the numbers of both blocks."""
+        block, all_ = F.pmod(F.xxhash64(id_), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        return side.withColumn(own, block).withColumn(other, all_).repartition(tasks, *key, "l", "r")
+
+    met = blocked(left, "l", "r", "a").join(blocked(right, "r", "l", "b"), [*key, "l", "r"]).where("a <> b AND (south OR a < b)")
     d = ais.great_circle_m(F.col("lng_a"), F.col("lat_a"), F.col("lng_b"), F.col("lat_b"))
-    return left.join(right, ["cx", "cy"]).where("a < b").withColumn("metres", d).where(F.col("metres") <= metres).select("a", "b", "metres")
+    met = met.withColumn("metres", d).where(F.col("metres") <= metres)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "metres")

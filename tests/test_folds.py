@@ -165,6 +165,14 @@ def test_nearby_pairs_anywhere(spark, metres):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
+def test_nearby_pairs_of_a_crowd(spark):
+    """Of vessels in one spot every pair comes once, and no task has most of them."""
+    crowd = spark.range(0, 2500, 1, 1).selectExpr("CAST(id AS INT) AS mmsi", "14.5 + id * 1e-7 AS lng", "53.405 AS lat")
+    tasks = geo.nearby_pairs(crowd, 1000.0).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("a", "b").alias("pairs")).collect()
+    assert sum(r["n"] for r in tasks) == sum(r["pairs"] for r in tasks) == 2500 * 2499 // 2
+    assert max(r["n"] for r in tasks) < 0.7 * 2500 * 2499 // 2
+
+
 def test_round_ends(spark):
     df = spark.createDataFrame([(t,) for t in [5] * 9 + [6, 7, 4000, 4001]], "t_s long")
     assert quality._until(df, 100) == 4001 and quality._until(df, 3, 4) == 5 and 7 <= quality._until(df, 11, 4) < 4000
