@@ -22,6 +22,8 @@ STATIC_B_REST = (("type", 6), ("repeat", 2), ("mmsi", 30), ("part", 2), ("ship_t
 TEXTS = ("call_sign", "vessel_name", "destination", "vendor")
 ARMOUR = "".join(chr(k + (48 if k < 40 else 56)) for k in range(64))
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: The character of each six bits of a text.
+SIX_BITS = "".join(chr(k + 64 if k < 32 else k) for k in range(64))
 NO_TURN = -128
 NO_LNG, NO_LAT, NO_SOG, NO_COG, NO_HEADING = 181 * 600_000, 91 * 600_000, 1023, 3600, 511
 PART_CHARS, PART_TTL_S = 56, 5
@@ -39,10 +41,13 @@ def int_bits(value: Column, width: int) -> Column:
 
 
 def text_bits(value: Column, chars: int) -> Column:
-    """Six bits a character, filled up with @."""
-    padded = F.rpad(F.coalesce(value, F.lit("")), chars, "@")
-    code = lambda i: F.ascii(F.substring(padded, i, 1))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(chars)), lambda i: F.lpad(F.bin(F.when(code(i) >= 64, code(i) - 64).otherwise(code(i)).cast("long")), 6, "0")), "")
+    """Six bits a character, filled up with @; characters that aren't ASCII are question marks."""
+    padded = F.regexp_replace(F.rpad(F.coalesce(value, F.lit("")), chars, "@"), r"[^\x00-\x7F]", "?")
+    ascii_ = [chr(k) for k in range(128)]
+    whole = F.rpad(F.translate(padded, "".join(ascii_), "".join(BASE64[ord(c) % 64] for c in ascii_)), -(-chars // 4) * 4, "A")
+    digits, n = F.hex(F.unbase64(whole)), -(-chars // 4) * 6
+    parts = [F.lpad(F.conv(F.substring(digits, i + 1, 15), 16, 2), 4 * min(15, n - i), "0") for i in range(0, n, 15)]
+    return F.substring(F.concat(*parts), 1, 6 * chars)
 
 
 def armoured(rows: DataFrame, bits: Column) -> DataFrame:
@@ -51,6 +56,8 @@ def armoured(rows: DataFrame, bits: Column) -> DataFrame:
     rows = rows.withColumn("__bits", bits).withColumns({"__n": F.ceil(F.length("__bits") / 6).cast("int"), "__bits": F.rpad("__bits", (F.ceil(F.length("__bits") / 120) * 120).cast("int"), F.lit("0"))})
     digits = lambda i: F.lpad(F.conv(F.substring("__bits", i * 60 + 1, F.lit(60)), 2, 16), 15, "0")
     text = F.array_join(F.transform(F.sequence(F.lit(0), (F.length("__bits") / 60).cast("int") - 1), digits), "")
+    # Up to 480 bits without a lambda function; digits of none are null.
+    text = F.when(F.length("__bits") <= 480, F.concat_ws("", *(digits(i) for i in range(8)))).otherwise(text)
     return rows.withColumn("payload", F.substring(F.translate(F.base64(F.unhex(text)), BASE64, ARMOUR), F.lit(1), F.col("__n"))).drop("__bits", "__n")
 
 
@@ -96,7 +103,7 @@ def static_sentences(statics: DataFrame) -> DataFrame:
         uint_bits(c("ship_type"), 8), uint_bits(c("to_bow"), 9), uint_bits(c("to_stern"), 9), uint_bits(c("to_port"), 6), uint_bits(c("to_starboard"), 6), uint_bits(c("seq") % 16, 4), uint_bits(c("eta_month"), 4),
         uint_bits(c("eta_day"), 5), uint_bits(c("eta_hour"), 5), uint_bits(c("eta_minute"), 6), uint_bits(c("draught_t"), 8), text_bits(c("destination"), 20), uint_bits(c("seq") % 2, 1), F.lit("0"),
     )
-    rows = armoured(statics, bits).withColumn("part", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = armoured(statics.repartition("seq"), bits).withColumn("part", F.explode(F.array(F.lit(1), F.lit(2))))
     piece = F.when(c("part") == 1, F.substring("payload", F.lit(1), F.lit(PART_CHARS))).otherwise(F.substring("payload", F.lit(PART_CHARS + 1), F.lit(100)))
     body = F.concat(F.lit("AIVDM,2,"), c("part"), F.lit(","), c("seq") % 10, F.lit(",A,"), piece, F.lit(","), F.when(c("part") == 2, 2).otherwise(0))
     late = F.when(c("seq") % 3 == 0, 2 - c("part")).otherwise(c("part") - 1)
@@ -111,7 +118,7 @@ def static_b_sentences(statics: DataFrame) -> DataFrame:
     name = F.concat(*head, F.lit("00"), text_bits(c("vessel_name"), 20))
     sizes = [uint_bits(c(s), w) for s, w in (("to_bow", 9), ("to_stern", 9), ("to_port", 6), ("to_starboard", 6))]
     rest = F.concat(*head, F.lit("01"), uint_bits(c("ship_type"), 8), text_bits(F.concat(F.lit("V"), c("seq") % 1000), 7), text_bits(c("call_sign"), 7), *sizes, F.lit("0" * 6))
-    both = statics.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = statics.repartition("seq").withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
     rows = armoured(both, F.when(c("part") == 0, name).otherwise(rest))
     # 160 bits are four more than 26 characters: the 27th has two to spare.
     body = F.concat(F.lit("AIVDM,1,1,,B,"), c("payload"), F.when(c("part") == 0, ",2").otherwise(",0"))
@@ -150,7 +157,7 @@ def reassembled(frames: DataFrame, ttl_s: int = PART_TTL_S) -> DataFrame:
 
     The buffer of ``streaming.reassembly`` runs over the parts of each key (source, channel, message id) in order:
     a message ends with its last part, so the next one of its id starts anew however soon it comes. Its row has
-    that part's time and seq. Incomplete ones stay out.
+    that part's time and seq. Incomplete ones stay out. Keys are few, so messages are dealt anew before they are decoded.
     """
     single = frames.where("reason IS NOT NULL OR fragments = 1")
     parts = frames.where("reason IS NULL AND fragments > 1")
@@ -162,7 +169,7 @@ def reassembled(frames: DataFrame, ttl_s: int = PART_TTL_S) -> DataFrame:
         return state, None if payload is None else (seq, t, part[0], payload)
 
     joined = replayed(parts, key, ["seq", "t_s", "fragments", "fragment", "payload"], whole, "seq long, t_s long, fragments int, payload string")
-    return single.unionByName(joined, allowMissingColumns=True)
+    return single.unionByName(joined.repartition("seq"), allowMissingColumns=True)
 
 
 def hex_of(payload: Column) -> Column:
@@ -187,15 +194,27 @@ def bits_at(digits: Column, start: int, width: int) -> Column:
     return F.shiftright(value, 4 * (last + 1) - start - width).bitwiseAND((1 << width) - 1)
 
 
+def text_at(digits: Column, start: int, chars: int) -> Column:
+    """The text of six-bit characters from bit ``start`` on without any @: eight at once, by way of base64."""
+    parts = []
+    for k in range(0, chars, 8):
+        n = min(8, chars - k)
+        first, last = (start + 6 * k) // 4, (start + 6 * (k + n) - 1) // 4
+        own = F.conv(F.rpad(F.substring(digits, first + 1, last - first + 1), last - first + 1, "0"), 16, 10).cast("long")
+        own = F.shiftright(own, 4 * (last + 1) - start - 6 * (k + n)).bitwiseAND((1 << 6 * n) - 1)
+        whole = -(-n // 4) * 4
+        parts.append(F.lpad(F.hex(F.shiftleft(own, 6 * (whole - n))), whole * 6 // 4, "0"))
+    # What fills up the last part is left out as an @ is.
+    return F.translate(F.base64(F.unhex(F.concat_ws("", *parts))), BASE64[1:] + BASE64[0], SIX_BITS[1:])
+
+
 def fields(digits: Column, layout: tuple, wanted: tuple[str, ...]) -> dict[str, Column]:
     """Fields by name out of hex digits: texts as texts without their filling, everything else as unsigned numbers."""
     at, out = 0, {}
     for name, width in layout:
         if name in wanted:
             if name in TEXTS:
-                n = width // 6
-                chars = F.transform(F.array(*(bits_at(digits, at + 6 * k, 6).cast("int") for k in range(n))), lambda v: F.chr(F.when(v < 32, v + 64).otherwise(v)))
-                out[name] = F.rtrim(F.replace(F.array_join(chars, ""), F.lit("@"), F.lit("")))
+                out[name] = F.rtrim(text_at(digits, at, width // 6))
             else:
                 out[name] = bits_at(digits, at, width)
         at += width

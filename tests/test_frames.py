@@ -101,3 +101,34 @@ def test_reassembly_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["seq"], r["payload"]) for r in spark.table("whole").collect()}
     assert got == {(r["seq"], r["payload"]) for r in frames.reassembled(rows).collect()} and len(got) > 15
+
+
+def test_texts_of_six_bits(spark):
+    """Texts of every length and place, through bits, armour and hex digits, on few plain expressions without a lambda for each character."""
+    chars = "".join(chr(k) for k in (*range(32, 64), *range(65, 96)))
+    rows = [(chars[k:] + chars[:k], k) for k in range(63)] + [("", 63), ("A B ", 64), ("@@A@B", 65), ("a\x7f", 66)]
+    df = spark.createDataFrame(rows, "text string, k int")
+    for before in (40, 70, 112, 2):
+        for n in (1, 7, 8, 19, 20):
+            bits = F.concat(F.lit("1" * before), frames.text_bits(F.col("text"), n), F.lit("11"))
+            digits = frames.armoured(df, bits).withColumn("hex", frames.hex_of(F.col("payload")))
+            got = {r["k"]: r["t"] for r in digits.select("k", frames.text_at(F.col("hex"), before, n).alias("t")).collect()}
+            want = {k: "".join(frames.SIX_BITS[ord(x) % 64] for x in text[:n]).replace("@", "") for text, k in rows}
+            assert got == want
+    text = frames.fields(F.col("hex"), frames.STATIC_A, ("vessel_name",))["vessel_name"]
+    assert "lambda" not in str(text) + str(frames.text_bits(F.col("text"), 20))
+
+
+def test_statics_are_dealt_before_and_after_their_keys(spark):
+    """Messages of one file are encoded by many tasks, and those of one key decoded by many."""
+    from seamark.sources import fixtures
+
+    few = fixtures.statics(spark, "/root/testdata/sf0.001").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be put together again
+    try:
+        for sentences in (frames.static_sentences(few), frames.static_b_sentences(few)):
+            assert sentences.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+        rows = [(4 * k + j, 2, j + 1, f"{k}{'ab'[j]}") for k in range(50) for j in (0, 1)]
+        assert frames.reassembled(_parts(spark, rows)).select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
