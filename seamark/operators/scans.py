@@ -185,9 +185,10 @@ def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -
 def sliced(rows: DataFrame, key: list[str], t: str, fields: list[str], order: tuple[str, ...], slice_s: int) -> tuple[DataFrame, DataFrame | None]:
     """(rows with ``__slice`` and ``__t``; a mark for each slice that follows another one of its key, with that one's last time).
 
-    There are no marks if no key has two slices.
+    There are no marks if no key has two slices. The rows are landed, as marks, ends and each round read them again.
     """
     rows = rows.select(*key, *fields, F.floor(F.col(t) / slice_s).alias("__slice"), F.col(t).cast("long").alias("__t"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), F.lit(False).alias("__mark"))
+    rows = landed(rows)
     spans = rows.groupBy(*key).agg((F.max("__slice") > F.min("__slice")).alias("several")).where("several")
     if not spans.take(1):
         return rows, None

@@ -101,6 +101,14 @@ def test_sessions(spark, walks, fixes, slice_s):
                 assert got[seq] == session
 
 
+def test_rows_are_made_once(spark, fixes):
+    """What comes before the slices is not made again by each use of the rows."""
+    made, n = spark.sparkContext.accumulator(0), fixes.count()
+    counted = fixes.mapInArrow(lambda batches: (made.add(b.num_rows) or b for b in batches), FIXES)
+    got = scans.in_slices(counted, ["mmsi"], ["seq"], lambda s, r: (r, r), "last long", "seq long", slice_s=3600)
+    assert got.count() == n == made.value
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], FIXES)
     assert [f(none).count() for f in (tracks.rate_limit, tracks.kalman, tracks.trail_outliers)] == [0, 0, 0]
